@@ -19,7 +19,7 @@ from .common import numbered, staged, utf8_bytes
 from .tokens import Vocabulary
 
 #: Entries of the dictionary that are broadcast, at about 100 bytes each in a worker. Changes speed only.
-BROADCAST_PIECES = 400_000
+BROADCAST_PIECES = 250_000
 #: Distinct pre-tokens a task gathers before it hands them on.
 GATHERED = 400_000
 
@@ -81,8 +81,16 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
     """
     spark = docs.sparkSession
     pieces = staged(dictionary(docs, vocabulary), "token-counts")
-    # a fixed number of rows, whatever the input
-    common = dict(pieces.orderBy(F.desc("freq"), "piece").limit(BROADCAST_PIECES).select("piece", "n_pieces").toPandas().itertuples(index=False, name=None))
+    step = F.floor(F.log2("freq") * 8).cast("int").alias("step")
+    least, n = None, 0
+    for r in sorted(pieces.groupBy(step).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # 8 rows for each doubling
+        n += r["n"]
+        if n > BROADCAST_PIECES:
+            break
+        least = r["step"]
+    # at most BROADCAST_PIECES rows, whatever the input
+    common = pieces.where(step >= least if least is not None else F.lit(False)).select("piece", "n_pieces").toPandas()
+    common = dict(zip(common["piece"], common["n_pieces"].tolist(), strict=True))
     shared = spark.sparkContext.broadcast(common)
     fields = ["uid", "doc_id", "n_bytes", "piece", "freq", "known"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
