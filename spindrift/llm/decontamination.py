@@ -57,10 +57,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short are never found. Repeated rows and null ids are rows of their own. Empty tables give an empty
     result.
     """
+    # outer, as Spark would push "not empty" below an inner explode and hash each window again and again there
     items = _templates(benchmark.select(F.col("item_id").alias("item_id"), "text"))
-    windows = staged(items.select("item_id", F.col("n_words").alias("item_words"), F.col("slots").alias("item_slots"), F.posexplode("hs").alias("item_pos", "h")), "decontamination-items")
+    windows = staged(items.select("item_id", F.col("n_words").alias("item_words"), F.col("slots").alias("item_slots"), F.posexplode_outer("hs").alias("item_pos", "h")).where("h is not null"), "decontamination-items")
     few = windows.count() <= BROADCAST_WINDOWS
-    found = _templates(numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")).select("uid", "doc_id", "slots", F.posexplode("hs").alias("pos", "h"))
+    found = _templates(numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")).select("uid", "doc_id", "slots", F.posexplode_outer("hs").alias("pos", "h"))
     met = found.join(F.broadcast(windows) if few else windows, "h")
 
     def inside(slots: str, pos: str) -> Column:

@@ -35,7 +35,8 @@ def repeated_lines(docs: DataFrame, run: int = 2) -> DataFrame:
         window = F.slice("hs", i + 1, run)
         return (i + F.array_position(window, F.array_min(window)) - 1).cast("int")
 
-    picked = lines.withColumn("p", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("hs") - run), least))))
+    # outer, as Spark would push "not empty" below an inner explode and compute its array there too
+    picked = lines.withColumn("p", F.explode_outer(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("hs") - run), least))))
     first = F.greatest(F.col("p") - (run - 1), F.lit(0))
     # what surrounds a fingerprint: run - 1 lines to either side
     prints = picked.select("uid", "doc_id", F.element_at("hs", F.col("p") + 1).alias("h"), first.alias("first"), (F.col("p") - first).alias("left"), F.slice("s", first + 1, (F.col("p") - first) + run).alias("near"))

@@ -81,7 +81,7 @@ def references(docs: DataFrame) -> DataFrame:
     others = F.col("c6") - sum(F.col(f"c{i}") for i in range(CLASSES - 1))
     shares = [F.greatest(c, F.lit(0)) / F.greatest("c6", F.lit(1)) for c in (*(F.col(f"c{i}") for i in range(CLASSES - 1)), others)]
     classes = sums.select("lang", F.array(*shares).alias("class_ref"))
-    words = rows.select("lang", F.explode(F.split(F.lower("t"), SPACE)).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = rows.select("lang", F.explode_outer(F.split(F.lower("t"), SPACE)).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     words = staged(words, "quality-words")
     total = words.groupBy("lang").agg(F.sum("n").alias("total"))
     # at most 1 / SHARE words of a language are left to rank
