@@ -18,7 +18,7 @@ WINDOW = 5
 WORDS, SHARE = 16, 0.005
 #: Least lengths at which the histograms count, and the greatest distances (0 to 1) of kept documents.
 MIN_CHARS, MIN_WORDS = 200, 100
-MAX_CLASS, MAX_WORD = 0.30, 0.55
+MAX_CLASS, MAX_WORD = 0.25, 0.27
 #: Languages whose references may be broadcast (under 2 kB each); more are joined by shuffle.
 BROADCAST_LANGS = 2000
 
