@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,6 +33,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Plan nodes that give the same rows in the same order each time, whatever columns are asked for.
+_REPEATABLE = ("Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "View")
+
+
+def repeatable(docs: DataFrame) -> DataFrame:
+    """``docs``, or a staged copy if a shuffle or a user function in its plan could order rows anew each time.
+
+    Operators that read ``docs`` more than once and join by ``numbered`` ids start with this.
+    """
+    plan = docs._jdf.queryExecution().analyzed().toString()
+    nodes = [re.sub(r"^[\s:+'~-]*", "", line).split(" ")[0].split("[")[0].rstrip(",") for line in plan.splitlines() if line.strip()]
+    return docs if all(n in _REPEATABLE for n in nodes) else staged(docs, "documents")
+
+
 def numbered(docs: DataFrame, *columns: str) -> DataFrame:
     """``columns`` of ``docs`` with a row id ``uid``: rows stay apart even where doc_id is null or repeated."""
     return docs.select(F.monotonically_increasing_id().alias("uid"), *columns)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, staged
+from .common import numbered, repeatable, staged
 
 #: Words in a window, and item words that must be covered on the whole (all of a shorter item).
 WINDOW, COVERED = 8, 13
@@ -85,6 +85,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a benchmark item; all columns stay."""
+    docs = repeatable(docs)
     held = matches(docs, benchmark).select("uid").distinct()
     rows = docs.withColumn("_uid", F.monotonically_increasing_id())
-    return rows.join(held, rows["_uid"] == held["uid"], "left_anti").drop("_uid")
+    return rows.join(held.select(F.col("uid").alias("_uid")), "_uid", "left_anti").drop("_uid")

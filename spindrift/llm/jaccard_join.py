@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, staged
+from .common import numbered, repeatable, staged
 from .components import components
-from .shingles import chunks, mix, shingle_set
+from .shingles import chunks, mix, shingle_sets
 
 #: Smallest hashes of a set, and how many two sets must share to be tried in the first step.
 SMALLEST, SHARED = 8, 3
@@ -95,10 +95,10 @@ def _sets(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 cols: list[list] = [[] for _ in range(6)]
-                for uid, doc, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    s = shingle_set(text, length)
-                    s1 = int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else None
-                    s2 = int(mix(s ^ np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64).view(np.int64)) if len(s) else None
+                uids, ids, texts = (c.to_pylist() for c in part.columns)
+                for uid, doc, s in zip(uids, ids, shingle_sets(texts, length), strict=True):
+                    # two sums over the set: equal sets have equal sums, others don't but by a chance of 2^-128
+                    s1, s2 = (int(x.sum(dtype=np.uint64).view(np.int64)) for x in (s, mix(s))) if len(s) else (None, None)
                     for col, v in zip(cols, (uid, doc, len(s), s1, s2, s[:SMALLEST].view(np.int64).tolist()), strict=True):
                         col.append(v)
                     if len(s) and (s1, s2) not in seen:
@@ -143,8 +143,8 @@ def _postings(docs: DataFrame, length: int, threshold: int, common: dict[int, in
         for batch in batches:
             for part in chunks(batch):
                 out: list[list[np.ndarray]] = [[], [], [], []]
-                for uid, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    s = shingle_set(text, length)
+                uids, texts = (c.to_pylist() for c in part.columns)
+                for uid, s in zip(uids, shingle_sets(texts, length), strict=True):
                     n = len(s)
                     key = s.tobytes() if n <= 8 else (n, int(s.sum(dtype=np.uint64)), int(mix(s).sum(dtype=np.uint64)))
                     if not n or key in seen:
@@ -195,8 +195,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, length: int, threshold: int) ->
                     while to < len(b) and b[to] == b[at]:
                         to += 1
                     if b[at] != last:
-                        last, probe = b[at], shingle_set(tb[at], length)
-                    found += [i for i, ok in zip(range(at, to), tree_links(probe, [shingle_set(t, length) for t in ta[at:to]], threshold), strict=True) if ok]
+                        last, probe = b[at], shingle_sets([tb[at]], length)[0]
+                    found += [i for i, ok in zip(range(at, to), tree_links(probe, shingle_sets(ta[at:to], length), threshold), strict=True) if ok]
                     at = to
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in found], pa.int64()), pa.array([b[i] for i in found], pa.int64())], ["a", "b"])
 
@@ -213,6 +213,7 @@ def jaccard_components(docs: DataFrame, length: int = 5, threshold: int = 75) ->
     their own; a null doc_id is no component's id unless all of its are null. An empty table gives an
     empty result; other columns are not read.
     """
+    docs = repeatable(docs)
     found = staged(_sets(docs, length), "jaccard-sets")
     own = found.where("uid is not null").select("uid", "doc_id", "n", "s1", "s2", "smallest")
     full = own.where("n > 0")
@@ -254,10 +255,11 @@ def jaccard_components(docs: DataFrame, length: int = 5, threshold: int = 75) ->
 
 def one_of_each(docs: DataFrame, length: int = 5, threshold: int = 75) -> DataFrame:
     """``docs`` with one document of each component: the one of smallest doc_id. All columns stay."""
+    docs = repeatable(docs)
     found = jaccard_components(docs, length, threshold)
     # a component may hold a third of all documents: its first is found by aggregation
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")
     firsts = found.where("component_id is not null").groupBy("component_id").agg(F.min(key).alias("k")).select(F.col("k.uid").alias("uid"))
     kept = firsts.union(found.where("component_id is null").select("uid"))
     rows = docs.withColumn("_uid", F.monotonically_increasing_id())
-    return rows.join(kept, rows["_uid"] == kept["uid"], "left_semi").drop("_uid")
+    return rows.join(kept.select(F.col("uid").alias("_uid")), "_uid", "left_semi").drop("_uid")

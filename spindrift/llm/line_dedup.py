@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import numbered, repeatable
 
 #: Lines with a character other than space, tab, line feed, vertical tab, form feed or return.
 _HAS_WORD = "[^ \\t-\\r]"
@@ -63,10 +63,12 @@ def line_dedup(docs: DataFrame, run: int = 2) -> DataFrame:
     that overlap themselves (A A A) shrink to the first line. Rows with null doc_id count as later than
     all others. An empty table gives an empty result.
     """
+    docs = repeatable(docs)
     doomed = repeated_lines(docs, run).groupBy("uid").agg(F.collect_set("no").alias("_gone"))
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    doomed = doomed.withColumnRenamed("uid", "_doomed")
     rows = docs.select(F.monotonically_increasing_id().alias("_uid"), *kept_columns)
-    rows = rows.join(doomed, rows["_uid"] == doomed["uid"], "left")
+    rows = rows.join(doomed, rows["_uid"] == doomed["_doomed"], "left")
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone, i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

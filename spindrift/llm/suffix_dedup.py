@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, staged
-from .shingles import chunks, window_hashes, word_hashes
+from .common import numbered, repeatable, staged
+from .shingles import chunks, distinct, window_hashes, words_of
 
 #: Words that a minimiser looks at, and windows of which it is the least.
 GRAM, WINDOWS = 8, 25
@@ -49,11 +49,12 @@ def repeated_windows(docs: DataFrame, passage: int = 50) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 keys, uids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for uid, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    words = word_hashes((text or "").encode("utf-8", "surrogatepass"), lower=False)[0]
-                    at = np.unique(_minimisers(words, passage))
+                hashed, starts = words_of(part.column(1).to_pylist(), lower=False)
+                for uid, a, b in zip(part.column(0).to_pylist(), starts, starts[1:], strict=False):
+                    words = hashed[a:b]
+                    at = distinct(_minimisers(words, passage))
                     if len(at):
-                        keys.append(np.unique(window_hashes(words, tail)[at]))
+                        keys.append(distinct(window_hashes(words, tail)[at]))
                         uids.append(np.full(len(keys[-1]), uid, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(uids))], ["key", "uid"])
 
@@ -74,8 +75,9 @@ def repeated_windows(docs: DataFrame, passage: int = 50) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 keys, uids, ats = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for uid, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    words = word_hashes((text or "").encode("utf-8", "surrogatepass"), lower=False)[0]
+                hashed, starts = words_of(part.column(1).to_pylist(), lower=False)
+                for uid, a, b in zip(part.column(0).to_pylist(), starts, starts[1:], strict=False):
+                    words = hashed[a:b]
                     least = _minimisers(words, passage)
                     if len(least):
                         bit = _place(window_hashes(words, tail)[least])
@@ -99,6 +101,7 @@ def repeated_passages(docs: DataFrame, passage: int = 50) -> DataFrame:
     first window. Null, empty and shorter texts have none; repeats inside one document alone don't count;
     rows with a null or repeated doc_id are documents of their own. An empty table gives an empty result.
     """
+    docs = repeatable(docs)
     found = staged(repeated_windows(docs, passage), "suffix-windows")
     order = Window.partitionBy("uid").orderBy("at")
     opens = F.coalesce(F.col("at") > F.lag("at").over(order) + passage, F.lit(True)).cast("int")
