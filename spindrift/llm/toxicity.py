@@ -4,7 +4,8 @@
    pattern voters (word beginnings); one more voter is a fixed list of insults. A voter votes or abstains.
 2. The votes of all documents are counted by pattern: with V voters there are at most 2^V patterns.
 3. A label model explains these counts: each voter's rates given the hidden label, and its dependence on
-   one other voter (a tree over the pairs that go together most), are fitted by expectation maximisation.
+   one other voter (a tree over the pairs that go together most), are fitted by expectation maximisation,
+   anchored by the votes on rows whose label may be learnt.
 4. The model's posterior labels a bounded sample of rows, on which a logistic regression is trained; that
    classifier alone scores every document.
 """
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 LABELLED_ROWS = 20_000
 #: Mined features, in lexicon and pattern voters, and features of the classifier.
 MINED, LEXICONS, PATTERNS, CLASSIFIER = 600, 6, 5, 4000
-#: Rows that a mined feature must occur in, and its least log ratio of rates.
-SUPPORT, LEAST_RATIO = 5, 2.5
+#: Rows that a feature must occur in, and its least log ratio of rates to be a voter's or the classifier's.
+SUPPORT, LEAST_RATIO, CLASSIFIER_RATIO = 5, 2.5, 1.5
 #: Common English insults: the fixed voter. Fixed values.
 INSULTS = frozenset("bastard clown crap disgusting dumb fool idiot idiotic imbecile jerk loser moron pathetic scum stupid trash ugly vermin worthless".split())
 V = LEXICONS + PATTERNS + 1
@@ -88,14 +89,20 @@ def _tree(votes: np.ndarray, weight: np.ndarray, q: np.ndarray) -> list[int]:
     return parent
 
 
-def fit_label_model(votes: np.ndarray, weight: np.ndarray, rounds: int = 60) -> LabelModel:
-    """Expectation maximisation over vote patterns (rows) and their counts, from "any vote" as the first guess."""
-    q = np.where(votes.sum(axis=1) > 0, 0.95, 0.02)
+def fit_label_model(votes: np.ndarray, weight: np.ndarray, known: np.ndarray, rounds: int = 60) -> LabelModel:
+    """Expectation maximisation over vote patterns (rows), their counts, and counts of them by known label.
+
+    Known labels (pattern x label) anchor the hidden one: without them, the label could settle on any cause
+    that voters share. They weigh as much as all other rows together.
+    """
+    anchor = known * (weight.sum() / max(known.sum(), 1.0))
+    guess = np.where(votes.sum(axis=1) > 0, 0.9, 0.02)
+    q = (known[:, 1] + 2 * guess) / (known.sum(axis=1) + 2)
     parent = _tree(votes, weight, q)
     n = votes.shape[1]
     model = LabelModel(0.5, parent, np.full((n, 2, 2), 0.5))
     for _ in range(rounds):
-        both = np.stack([weight * (1 - q), weight * q], axis=1)
+        both = np.stack([weight * (1 - q), weight * q], axis=1) + anchor
         model.prior = float(np.clip(both[:, 1].sum() / max(both.sum(), 1e-9), 1e-4, 0.6))
         for v in range(n):
             above = votes[:, parent[v]] if parent[v] >= 0 else np.zeros(len(votes), int)
@@ -108,6 +115,12 @@ def fit_label_model(votes: np.ndarray, weight: np.ndarray, rounds: int = 60) ->
     return model
 
 
+def _dealt(ranked: list[str], n: int) -> list[frozenset[str]]:
+    """Features in order of strength, dealt to ``n`` voters, each of twice as many as the one before: the model finds out how far each is to be trusted."""
+    ends = [len(ranked) * (2**i - 1) // (2**n - 1) for i in range(n + 1)]
+    return [frozenset(ranked[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def _pattern(found: set[str], voters: list[frozenset[str]]) -> int:
     return sum(1 << i for i, lexicon in enumerate(voters) if not lexicon.isdisjoint(found))
 
@@ -116,8 +129,11 @@ def _bits(patterns: np.ndarray) -> np.ndarray:
     return (patterns[:, None] >> np.arange(V)) & 1
 
 
-def _logistic(rows: list[list[int]], target: np.ndarray, size: int, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and intercept over sparse 0/1 rows, by gradient steps with diagonal scaling and an L2 term."""
+def _logistic(rows: list[list[int]], target: np.ndarray, size: int, rounds: int = 4000) -> tuple[np.ndarray, float]:
+    """Weights and intercept over sparse 0/1 rows, by gradient steps with diagonal scaling and an L2 term.
+
+    Weights are kept from falling below 0: a long text doesn't outweigh its insults by all else it says.
+    """
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.array([c for r in rows for c in r], int)
     w, b = np.zeros(size), math.log((target.sum() + 0.5) / (len(target) - target.sum() + 0.5))
@@ -128,7 +144,7 @@ def _logistic(rows: list[list[int]], target: np.ndarray, size: int, rounds: int
         g = np.bincount(col, r[at], size) + 1e-6 * w
         g2, gb = g2 + g * g, r.sum()
         gb2 += gb * gb
-        w -= 0.5 * g / np.sqrt(g2)
+        w = np.maximum(w - g / np.sqrt(g2), 0.0)
         b -= 0.1 * gb / math.sqrt(gb2)
     return w, b
 
@@ -173,9 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     ratio = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("q") + 0.5) / (neg + 1))
     rated = counts.where(F.col("p") + F.col("q") >= SUPPORT).select("feature", "p", ratio.alias("ratio"))
     mined = [r["feature"] for r in rated.where((F.col("p") >= SUPPORT) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc(F.col("ratio") * F.sqrt("p")), "feature").limit(MINED).collect()]
-    chosen = [r["feature"] for r in rated.orderBy(F.desc(F.abs("ratio") * F.log2(F.col("p") + 2)), "feature").limit(CLASSIFIER).collect()]
+    chosen = [r["feature"] for r in rated.where(F.col("ratio") >= CLASSIFIER_RATIO).orderBy(F.desc(F.col("ratio") * F.log2(F.col("p") + 2)), "feature").limit(CLASSIFIER).collect()]
     words, starts = [f for f in mined if f[0] != "^"], [f for f in mined if f[0] == "^"]
-    voters = [frozenset(words[i::LEXICONS]) for i in range(LEXICONS)] + [frozenset(starts[i::PATTERNS]) for i in range(PATTERNS)] + [INSULTS]
+    voters = _dealt(words, LEXICONS) + _dealt(starts, PATTERNS) + [INSULTS]
     index = {f: i for i, f in enumerate(chosen)}
     sent = spark.sparkContext.broadcast((voters, index))
 
@@ -194,14 +210,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
             sets = [features(t or "") for t in batch.column(0).to_pylist()]
             patterns = [_pattern(s, voters) for s in sets]
             rows = [sorted(index[f] for f in s if f in index) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.int64()), pa.array(rows, pa.list_(pa.int32()))], ["pattern", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.int64()), pa.array(rows, pa.list_(pa.int32())), batch.column(1)], ["pattern", "row", "toxic"])
 
     votes = docs.select("text").mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 2^V rows
     if not votes or not pos:
         return Classifier({}, -6.0)
-    model = fit_label_model(_bits(np.array([r["pattern"] for r in votes])), np.array([r["n"] for r in votes], float))
     # about LABELLED_ROWS rows of the classifier's few features
-    taken = sample.select("text").mapInArrow(examples, "pattern long, row array<int>").orderBy("pattern", "row").collect()
+    taken = sample.mapInArrow(examples, "pattern long, row array<int>, toxic int").orderBy("pattern", "row", "toxic").collect()
+    patterns = sorted({r["pattern"] for r in votes})
+    at = {p: i for i, p in enumerate(patterns)}
+    weight, known = np.zeros(len(at)), np.zeros((len(at), 2))
+    for r in votes:
+        weight[at[r["pattern"]]] += r["n"]
+    for r in taken:
+        known[at[r["pattern"]], int(r["toxic"] > 0)] += 1
+    model = fit_label_model(_bits(np.array(patterns)), weight, known)
     target = model.posterior(_bits(np.array([r["pattern"] for r in taken])))
     w, b = _logistic([r["row"] for r in taken], target, len(chosen))
     return Classifier({f: float(w[i]) for f, i in index.items() if w[i]}, float(b))

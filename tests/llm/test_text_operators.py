@@ -1,0 +1,369 @@
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as hs
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from spindrift.llm import decontamination, jaccard_join, line_dedup, packing, pii, quality, sharding, suffix_dedup, token_counts, toxicity
+from spindrift.llm.components import components
+from spindrift.llm.tokens import Vocabulary
+
+WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+UPPER = {i: i + 32 for i in range(65, 91)}
+
+
+def rows(df, *names):
+    return sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
+
+
+# ------------------------------------------------------------- tokens
+
+TEXT = hs.text(alphabet=hs.sampled_from("aZ é'sß19.,!-\n\t\r  \x1c\x85\xa0ſİ中́"), max_size=40)
+
+
+@settings(max_examples=150, deadline=None)
+@given(TEXT)
+def test_pieces_encode_as_the_library_does(text):
+    for path in (WORD, BYTE):
+        v = Vocabulary.at(path)
+        got = v.pieces(text)
+        if got is not None:
+            assert [i for p in got for i in v.encode([p])[0]] == v.encode([text])[0]
+    assert packing._IdBytes.at(WORD).encode([text])[0] == packing._le32(Vocabulary.at(WORD).encode([text])[0])
+
+
+def test_token_counts_equal_the_library(spark, odd, none):
+    tok = Tokenizer.from_file(BYTE)
+    got = rows(token_counts.token_counts(odd, BYTE), "doc_id", "n_bytes", "n_tokens", "over_limit")
+    want = []
+    for r in odd.collect():
+        t = r["text"] or ""
+        n = len(tok.encode(t, add_special_tokens=False).ids)
+        want.append((r["doc_id"], len(t.encode()), n, n > 1024))
+    assert got == sorted(want, key=repr)
+    assert token_counts.token_counts(none, BYTE).count() == 0
+
+
+def test_packing_is_whole_and_tight(odd, none):
+    tok = Tokenizer.from_file(WORD)
+    window = 256
+    got = packing.pack(odd, WORD, window).collect()
+    by_doc = defaultdict(list)
+    for r in odd.collect():
+        by_doc[r["doc_id"]].append(tok.encode(r["text"] or "", add_special_tokens=False).ids + [2])
+    pieces = Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got)
+    want = Counter()
+    for d, all_ids in by_doc.items():
+        for ids in all_ids:
+            for s in range(0, len(ids), window):
+                part = ids[s : s + window]
+                want[(d, s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids))] += 1
+    assert pieces == want
+    at = defaultdict(list)
+    for r in got:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in at.values():
+        end = 0
+        for o, n in sorted(parts):
+            assert o == end
+            end += n
+        assert end <= window
+    assert sorted(at) == list(range(len(at)))
+    assert packing.pack(none, WORD, window).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(hs.dictionaries(hs.integers(1, 40), hs.integers(1, 60), max_size=15))
+def test_plan_is_best_fit_decreasing(counts):
+    runs, windows = packing.best_fit_plan(counts, 40)
+    rooms: list[int] = []
+    for n in sorted(counts, reverse=True):  # item by item
+        for _ in range(counts[n]):
+            fit = min((r for r in rooms if r >= n), default=None)
+            if fit is None:
+                rooms.append(40 - n)
+            else:
+                rooms[rooms.index(fit)] -= n
+    used = Counter()
+    for length, first, end, per, window, _ in runs:
+        for k in range(end - first):
+            used[window + k // per] += length
+    assert windows == len(rooms) and sorted(40 - r for r in rooms) == sorted(used.values())
+
+
+# ------------------------------------------------------------- near copies
+
+def shingles(text, k=5):
+    w = SPLIT.findall((text or "").translate(UPPER))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(docs):
+    sets = [(d, shingles(t)) for d, t in docs]
+    up = list(range(len(sets)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, (_, a) in enumerate(sets):
+        for j in range(i):
+            b = sets[j][1]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = top(i), top(j)
+                up[max(x, y)] = min(x, y)
+    groups = defaultdict(list)
+    for i in range(len(sets)):
+        groups[top(i)].append(sets[i][0])
+    return sorted(((d, len(s), min((x for x in groups[top(i)] if x is not None), default=None)) for i, (d, s) in enumerate(sets)), key=repr)
+
+
+def test_jaccard_components_equal_brute_force(spark, odd, none):
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(400)]
+    docs = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    common = [rng.choice(words) for _ in range(60)]
+    for i in range(100, 220):
+        if i % 3 == 0:
+            text = common + [rng.choice(words) for _ in range(rng.choice([2, 10, 18, 25, 60]))]
+        elif i % 3 == 1:
+            text = common[:]
+            for _ in range(rng.choice([1, 2, 3, 4])):
+                text[rng.randrange(60)] = rng.choice(words)
+        else:
+            text = [rng.choice(words) for _ in range(rng.randrange(1, 40))]
+        docs.append((i, " ".join(text)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert rows(jaccard_join.jaccard_components(df), "doc_id", "n_shingles", "component_id") == brute_components(docs)
+    assert jaccard_join.jaccard_components(none).count() == 0
+    kept = rows(jaccard_join.one_of_each(odd), "doc_id")
+    assert (1,) in kept and (2,) not in kept and (4,) in kept and (9,) not in kept
+
+
+@settings(max_examples=100, deadline=None)
+@given(hs.sets(hs.integers(0, 30), min_size=1), hs.lists(hs.sets(hs.integers(0, 30), min_size=1), min_size=1, max_size=12))
+def test_prefix_tree_finds_all_links(probe, sets):
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    got = jaccard_join.tree_links(np.array(sorted(probe), np.uint64), arrays, 75)
+    assert got == [100 * len(probe & s) >= 75 * len(probe | s) for s in sets]
+
+
+def test_components_of_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(100, 101), (101, 102), (5, 4)], "a long, b long")
+    got = dict(rows(components(edges, "test"), "node", "component"))
+    assert got == {**{i: 1 for i in range(1, 31)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_suffix_dedup_equals_brute_force(spark, odd, none):
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(80)]
+    docs = [(i, " ".join([f"x{rng.random()}" for _ in range(rng.randrange(30))] + passage[rng.randrange(20) : rng.randrange(40, 80)] + [f"y{rng.random()}" for _ in range(rng.randrange(30))])) for i in range(40)]
+    seen = defaultdict(set)
+    for d, t in docs:
+        w = t.split()
+        for i in range(len(w) - 49):
+            seen[tuple(w[i : i + 50])].add(d)
+    want = []
+    for d, t in docs:
+        w, run = t.split(), None
+        for i in [i for i in range(len(w) - 49) if len(seen[tuple(w[i : i + 50])]) > 1]:
+            if run and i <= run[1]:
+                run[1] = i + 50
+            else:
+                run = [i, i + 50]
+                want.append((d, run))
+    got = rows(suffix_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)), "doc_id", "start_word", "end_word")
+    assert got == sorted(((d, a, b) for d, (a, b) in want), key=repr) and got
+    assert suffix_dedup.repeated_passages(none).count() == 0
+    assert suffix_dedup.repeated_passages(odd).count() == 0  # its only copies are short
+
+
+# ------------------------------------------------------------- line dedup
+
+def brute_lines(docs, run=2):
+    """Texts after deletion of every run of ``run`` lines (with a word) that occurs earlier."""
+    lines = [(t.split("\n") if t is not None else []) for _, t in docs]
+    first, gone = {}, [set() for _ in docs]
+    for order in sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0, i)):
+        full = [i for i, x in enumerate(lines[order]) if SPLIT.search(x)]
+        for p in range(len(full) - run + 1):
+            at = full[p : p + run]
+            key = tuple(lines[order][i] for i in at)
+            if key in first:
+                gone[order].update(at)
+            else:
+                first[key] = order
+    return [(d, None if t is None else "\n".join(x for i, x in enumerate(lines[k]) if i not in gone[k]), len(gone[k])) for k, (d, t) in enumerate(docs)]
+
+
+def test_line_dedup_equals_brute_force(spark, odd, none):
+    rng = random.Random(8)
+    docs = [(r["doc_id"], r["text"]) for r in odd.coalesce(1).collect()]
+    docs += [(i, "\n".join(rng.choice(["l1", "l2", "l3", "l4", "", " ", "l5"]) for _ in range(rng.randrange(12)))) for i in range(50, 120)]
+    for run in (2, 3):
+        df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+        got = rows(line_dedup.line_dedup(df, run), "doc_id", "text", "n_removed")
+        assert got == sorted(brute_lines(docs, run), key=repr)
+    out = line_dedup.line_dedup(odd)
+    assert set(odd.columns) <= set(out.columns)
+    assert all(r["n_chars"] == len(r["text"] or "") for r in out.collect())
+    assert line_dedup.line_dedup(none).count() == 0
+
+
+# ------------------------------------------------------------- sharding
+
+def test_sharding_is_balanced_and_gapless(spark, odd, none):
+    rng = random.Random(1)
+    docs = [(i, "z" * rng.randrange(400), rng.choice(["a", "b"])) for i in range(3000)] + [(5000 + i, "same text", "a") for i in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = sharding.shard(df, 10, ["lang"]).collect()
+    size, slots = Counter(), defaultdict(list)
+    for r in got:
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 4500 and max(size.values()) < 1.05 * min(size.values()) and set(size) == set(range(10))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    by_id = dict((d, t) for d, t, _ in docs)
+    assert all(r["text_crc32"] == zlib.crc32(by_id[r["doc_id"]].encode()) and r["size"] == len(by_id[r["doc_id"]]) + 16 for r in got)
+    small = sharding.shard(odd, 40, ["lang"]).collect()
+    assert len(small) == odd.count() and all(0 <= r["shard"] < 40 for r in small)
+    assert sharding.shard(none, 40).count() == 0
+
+
+# ------------------------------------------------------------- quality
+
+def base_counts(text):
+    text = text or ""
+    w = SPLIT.findall(text)
+    grams = defaultdict(list)
+    for i in range(len(w) - 4):
+        grams[tuple(w[i : i + 5])].append(i)
+    repeated = {j for at in grams.values() if len(at) > 1 for i in at for j in range(i, i + 5)}
+    lines = [x for x in text.split("\n") if SPLIT.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated)
+
+
+def test_quality_base_counts(spark, odd, none):
+    rng = random.Random(2)
+    docs = [(r["doc_id"], r["text"]) for r in odd.collect()] + [(i, "\n".join(" ".join(rng.choice("ab#|é") for _ in range(rng.randrange(6))) for _ in range(8))) for i in range(40, 90)]
+    df = spark.createDataFrame([(d, t, "en") for d, t in docs], "doc_id long, text string, lang string")
+    got = rows(quality.quality(df), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    want = []
+    for d, t in docs:
+        b = base_counts(t)
+        want.append((d, *b, b[0] < 10 or 100 * b[4] > 20 * b[0]))
+    assert got == sorted(want, key=repr)
+    assert quality.quality(none).count() == 0 and quality.quality(odd).count() == odd.count()
+
+
+def test_quality_distance_by_hand(spark):
+    good = " ".join(["the cat sat on the mat and went home"] * 1)
+    rng = random.Random(4)
+    words = [f"word{chr(97 + i)}" for i in range(26)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(150)), "en") for i in range(60)] + [(99, " ".join(f"#{rng.random()}|" for _ in range(150)), "en"), (98, good, "en")]
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert not got[99]["kept"] and all(got[i]["kept"] for i in range(60))
+    assert got[98]["class_distance"] is None and got[98]["word_distance"] is None and not got[98]["kept"]  # 9 words
+    text = docs[0][1]
+    total = Counter()
+    kinds = lambda t: [sum(c.islower() for c in t), 0, sum(c.isdigit() for c in t), sum(c in "#*$%&|<>" for c in t), 0, sum(c == " " for c in t), sum(c == "." or c == "-" for c in t)]
+    for _, t, _ in docs:
+        total.update(dict(enumerate(kinds(t))))
+    q = np.array([total[i] for i in range(7)]) / sum(total.values())
+    p = np.array(kinds(text)) / len(text)
+    m = (p + q) / 2
+    part = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+    assert abs(got[0]["class_distance"] - np.sqrt((part(p) + part(q)) / 2)) < 1e-9
+
+
+# ------------------------------------------------------------- decontamination
+
+def test_decontamination_finds_copies_and_new_values(spark, odd, none):
+    filler = [f"filler{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    question = "A train leaves the station at 5 km per hour and meets another train after 12 hours so how far did the first train travel in all"
+    items = spark.createDataFrame([(1, question), (2, None), (3, "too short"), (4, "completely different words make up this other benchmark item that nobody ever quotes at all")], "item_id long, text string")
+    docs = [
+        (1, " ".join(filler[:40]) + " " + question + " " + " ".join(filler[40:])),
+        (2, question.replace("5", "7").replace("12", "20")),
+        (3, " ".join(filler)),
+        (4, question[:40]),
+        (5, None),
+        (6, ""),
+    ]
+    df = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, uid int")
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontamination.matches(df, items).collect()}
+    assert got == {(1, 1): "exact", (2, 1): "reparameterised"}
+    assert rows(decontamination.decontaminate(df, items), "doc_id") == [(3,), (4,), (5,), (6,)]
+    assert decontamination.decontaminate(odd, items).count() == odd.count()
+    assert decontamination.matches(none, items).count() == 0 and decontamination.matches(df, items.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------- PII
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+
+@settings(max_examples=300, deadline=None)
+@given(hs.text(alphabet="a.@+-1234567890 ()é", max_size=60))
+def test_pii_base_equals_plain_patterns(text):
+    want = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    want += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and pii.luhn(d):
+            want.append(("card", *m.span()))
+    want += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    want.sort(key=lambda x: (x[1], pii.KINDS.index(x[0])))
+    assert [x[:3] for x in pii.find(text) if x[0] in pii.BASE] == want
+
+
+def test_pii_digest(spark, odd, none):
+    text = "Ü mail a.b@c.de, card 4111 1111 1111 1111, ip 10.0.0.256 and 10.0.0.1, tel +1 (555) 010-9999, IBAN DE89 3704 0044 0532 0130 00"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pii_digest(df).collect()}
+    r = got[1]
+    assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["n_iban"]) == (1, 1, 1, 1, 1)
+    spans = [s.split(":") for s in r["spans"].split(",")]
+    assert [text[int(a) : int(b)] for _, a, b in spans] == ["a.b@c.de", "4111 1111 1111 1111", "10.0.0.1", "+1 (555) 010-9999", "DE89 3704 0044 0532 0130 00"]
+    assert r["base_sha256"] == pii.base_sha256([(k, a, b) for k, a, b in spans if k in pii.BASE])
+    assert got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[2]["spans"] == ""
+    assert pii.pii_digest(odd).count() == odd.count() and pii.pii_digest(none).count() == 0
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112") and pii.mod97("DE89370400440532013000")
+
+
+# ------------------------------------------------------------- toxicity
+
+def test_toxicity_learns_and_leaves_held_out_labels_alone(spark, odd, none):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    docs, labels = [], []
+    for i in range(1500):
+        toxic = i % 8 == 0
+        w = [rng.choice(words) for _ in range(30)]
+        if toxic:
+            w[3:5] = rng.sample([f"vile{chr(97 + k)}" for k in range(12)] + ["zork", "blarg", "idiot"], 2)
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(df, lab).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i]["held_out"] == (i in set(held)) for i in got)
+    assert np.mean([got[i]["predicted"] == (i % 8 == 0) for i in held]) > 0.97
+    flipped = lab.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = {r["doc_id"]: r["score"] for r in toxicity.toxicity(df, flipped).collect()}
+    assert all(abs(again[i] - got[i]["score"]) < 1e-9 for i in got)
+    assert toxicity.toxicity(odd, lab).count() == odd.count()
+    assert toxicity.toxicity(none, lab).count() == 0 and toxicity.toxicity(odd, lab.limit(0)).count() == odd.count()
+    kept = rows(toxicity.keep_clean(df, lab), "doc_id")
+    assert kept == sorted(((i,) for i in got if not got[i]["predicted"]), key=repr)
