@@ -50,7 +50,10 @@ def newest(df: DataFrame, keys: list[str], order: Column, n: int) -> DataFrame:
 
 
 class Filter:
-    """A predicate on rows that can be combined with & | ^ - and ~."""
+    """A predicate on rows: & or * for both, | or + for either, ^ for one of two, ~ or a leading - for not.
+
+    ``a - b`` is ``a | ~b``, as users of such filters know it; ``a.and_not(b)`` is the difference of sets.
+    """
 
     def __init__(self, column: Column):
         self.column = column
@@ -64,12 +67,17 @@ class Filter:
     def __xor__(self, other: Filter) -> Filter:
         return Filter(self.column != other.column)
 
-    def __sub__(self, other: Filter) -> Filter:
-        return Filter(self.column & ~other.column)
-
     def __invert__(self) -> Filter:
         return Filter(~self.column)
 
+    __mul__, __add__, __neg__ = __and__, __or__, __invert__
+
+    def __sub__(self, other: Filter) -> Filter:
+        return self | ~other
+
+    def and_not(self, other: Filter) -> Filter:
+        return self & ~other
+
     def keep(self, df: DataFrame) -> DataFrame:
         """Rows for which it holds."""
         return df.where(self.column)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import views
 from .functions.numeric import stable
-from .operators import aggregates, catalog, intervals, rolling, signals, spatial
+from .operators import aggregates, catalog, intervals, models, rolling, signals, simulate, spatial
+from .plans import population
+from .sources import behaviour_log
 from .views import read, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -389,10 +391,10 @@ def metadata_join(spark, sf_dir):
     return catalog.annotate(views.sig_short(spark, sf_dir), meta, ROI).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), stable(F.avg("value")).alias("value"))
 
 
-@query("filter_algebra", with_views("sig_short") + " SELECT roi, frame, (value > 10 AND kind <> 'view') AS a_and_b, (value > 10 OR kind <> 'view') AS a_or_b, NOT (value > 10) AS not_a, ((value > 10) <> (kind <> 'view')) AS a_xor_b, (value > 10 AND NOT (kind <> 'view')) AS a_minus_b FROM sig_short")
+@query("filter_algebra", with_views("sig_short") + " SELECT roi, frame, (value > 10 AND kind <> 'view') AS a_and_b, (value > 10 OR kind <> 'view') AS a_or_b, NOT (value > 10) AS not_a, ((value > 10) <> (kind <> 'view')) AS a_xor_b, (value > 10 OR NOT (kind <> 'view')) AS a_minus_b, (value > 10 AND NOT (kind <> 'view')) AS a_and_not_b FROM sig_short")
 def filter_algebra(spark, sf_dir):
     a, b = catalog.Filter(F.col("value") > 10), catalog.Filter(F.col("kind") != "view")
-    return views.sig_short(spark, sf_dir).select("roi", "frame", (a & b).column.alias("a_and_b"), (a | b).column.alias("a_or_b"), (~a).column.alias("not_a"), (a ^ b).column.alias("a_xor_b"), (a - b).column.alias("a_minus_b"))
+    return views.sig_short(spark, sf_dir).select("roi", "frame", (a & b).column.alias("a_and_b"), (a | b).column.alias("a_or_b"), (~a).column.alias("not_a"), (a ^ b).column.alias("a_xor_b"), (a - b).column.alias("a_minus_b"), a.and_not(b).column.alias("a_and_not_b"))
 
 
 @query("pair_experiments", with_views("trials") + ", p AS (SELECT a.mouse_id, a.trial_id l, b.trial_id r, abs(epoch(a.start_time) - epoch(b.start_time)) d FROM trials a JOIN trials b ON a.mouse_id = b.mouse_id AND a.price > 200000 AND b.price <= 200000 WHERE abs(epoch(a.start_time) - epoch(b.start_time)) <= 2592000) SELECT mouse_id, l AS left_id, min_by(r, (d, r)) right_id, CAST(min(d) AS DOUBLE) apart FROM p GROUP BY ALL")
@@ -411,3 +413,115 @@ def newest_trials(spark, sf_dir):
 def json_log(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("roi"), F.from_json("props", "k int")["k"].alias("k"))
     return e.groupBy("roi").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+
+
+@query("attributes_map", with_views("trial_attributes") + ", m AS (SELECT trial_id, max(CASE WHEN attribute = 'status' THEN value END) s, max(CASE WHEN attribute = 'priority' THEN value END) p FROM trial_attributes GROUP BY trial_id) SELECT trial_id, s AS status, p AS priority, 2::BIGINT n FROM m")
+def attributes_map(spark, sf_dir):
+    m = catalog.attributes_as_map(views.trial_attributes(spark, sf_dir))
+    return m.select("trial_id", F.col("attributes")["status"].alias("status"), F.col("attributes")["priority"].alias("priority"), F.size("attributes").cast("long").alias("n"))
+
+
+@query("attribute_upsert", with_views("trial_attributes") + " SELECT trial_id, attribute, CASE WHEN attribute = 'status' AND value = 'F' THEN 'done' ELSE value END AS value FROM trial_attributes")
+def attribute_upsert(spark, sf_dir):
+    old = views.trial_attributes(spark, sf_dir)
+    new = old.where("attribute = 'status' and value = 'F'").withColumn("value", F.lit("done"))
+    return catalog.upsert(old, new, ["trial_id", "attribute"])
+
+
+# ---------------------------------------------------------------- behaviour
+
+@query("laps_from_position", with_views("sig_long") + ", f AS (SELECT roi, frame t, CASE WHEN position - lag(position) OVER (PARTITION BY roi ORDER BY frame) < -0.75::DOUBLE THEN 1 ELSE 0 END f FROM sig_long) SELECT roi, t, CAST(sum(f) OVER (PARTITION BY roi ORDER BY t) AS INT) lap FROM f")
+def laps_from_position(spark, sf_dir):
+    rows = views.sig_long(spark, sf_dir).select("roi", F.col("frame").alias("t"), "position")
+    return behaviour_log.laps(rows, ROI).select("roi", "t", "lap")
+
+
+@query("zero_order_hold", with_views("sig_short") + ", v AS (SELECT roi, t, value FROM sig_short WHERE kind = 'view'), g AS (SELECT r.roi, 1704067200 + 43200.0::DOUBLE * i t FROM (SELECT DISTINCT roi FROM sig_short) r, range(60) x(i)) SELECT g.roi, g.t, coalesce((SELECT arg_max(v.value, v.t) FROM v WHERE v.roi = g.roi AND v.t <= g.t), (SELECT arg_max(v.value, v.t) FROM v WHERE v.roi = g.roi)) AS value FROM g")
+def zero_order_hold(spark, sf_dir):
+    rows = views.sig_short(spark, sf_dir)
+    grid = rows.select("roi").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(59)))).select("roi", (F.lit(1704067200.0) + F.col("i") * F.lit(43200.0)).alias("t"))
+    return behaviour_log.hold(rows.where("kind = 'view'").select("roi", "t", "value"), grid, ROI)
+
+
+@query("interval_frames", with_views("sig_short") + ", i AS (SELECT roi, frame * 0.7::DOUBLE a, frame * 0.7::DOUBLE + value / 10 b FROM sig_short WHERE kind = 'click'), f AS (SELECT roi, greatest(CAST(floor(a / 0.5::DOUBLE) AS INT), 0) a, least(CAST(floor(b / 0.5::DOUBLE) AS INT), 99) b FROM i) SELECT DISTINCT roi, CAST(g AS INT) frame FROM f, range(100) r(g) WHERE g >= a AND g <= b")
+def interval_frames(spark, sf_dir):
+    rows = views.sig_short(spark, sf_dir).where("kind = 'click'")
+    spans = rows.select("roi", (F.col("frame") * F.lit(0.7)).alias("onset"), (F.col("frame") * F.lit(0.7) + F.col("value") / 10).alias("offset"))
+    return behaviour_log.interval_frames(spans, 0.5, 50.0, ROI)
+
+
+# ---------------------------------------------------------------- population plans
+
+@query("first_lap_statistics", with_views("sig_long") + f", t AS (SELECT roi, lap, CAST(floor(position * 20.0::DOUBLE) AS INT) bin, avg(value) v FROM sig_long GROUP BY ALL), a AS (SELECT *, max(v) OVER (PARTITION BY roi) top, max(v) OVER (PARTITION BY roi, lap) lt FROM t), b AS (SELECT *, min(CASE WHEN lt > 0.97::DOUBLE * top THEN lap END) OVER (PARTITION BY roi) fl FROM a), c AS (SELECT roi, fl, sum(CASE WHEN lap = fl THEN bin * v END) / sum(CASE WHEN lap = fl THEN v END) fc, sum(CASE WHEN lap > fl THEN bin * v END) / sum(CASE WHEN lap > fl THEN v END) lc, max(CASE WHEN lap = fl THEN v END) fp, max(CASE WHEN lap > fl THEN v END) lp FROM b WHERE lap >= fl GROUP BY roi, fl) SELECT roi, fl first_lap, {st('fc', 'first_com')}, {st('lc', 'later_com')}, {st('fp', 'first_peak')}, {st('lp', 'later_peak')}, {st('lc - fc', 'shift')}, {st('(fp - lp) / (fp + lp)', 'gain')} FROM c")
+def first_lap_statistics(spark, sf_dir):
+    t = spatial.tuning(views.sig_long(spark, sf_dir), ["roi", "lap"], 20)
+    out = population.first_lap_statistics(t, ROI, onset_part=0.97)
+    return rounded(out, "first_com", "later_com", "first_peak", "later_peak", "shift", "gain")
+
+
+@query("centred_raster", with_views("curves") + ", c AS (SELECT roi, sum(bin * value) / sum(value) centre FROM curves GROUP BY roi), r AS (SELECT k.roi, context, CAST(((bin - CAST(round(centre) AS INT) + 32) % 64 + 64) % 64 - 32 AS INT) rel, value FROM curves k JOIN c ON c.roi = k.roi) SELECT roi, context, rel, value FROM r WHERE abs(rel) <= 10")
+def centred_raster(spark, sf_dir):
+    c = views.curves(spark, sf_dir)
+    centre = spatial.centres(c, ROI, 64).select("roi", F.col("com").alias("centre"))
+    return population.centred_raster(c, centre, ROI, 64, 10)
+
+
+@query("block_tuning", with_views("sig_long") + f", t AS (SELECT roi, lap, lap // 4 block, CAST(floor(position * 20.0::DOUBLE) AS INT) bin, avg(value) v FROM sig_long GROUP BY ALL), o AS (SELECT *, dense_rank() OVER (PARTITION BY roi, block ORDER BY lap) o FROM t) SELECT roi, CAST(block AS INT) block, bin, {st('avg(v)', 'value')} FROM o WHERE o <= 2 GROUP BY ALL")
+def block_tuning(spark, sf_dir):
+    t = spatial.tuning(views.sig_long(spark, sf_dir), ["roi", "lap"], 20).withColumn("block", F.floor(F.col("lap") / 4).cast("int"))
+    return rounded(population.block_tuning(t, ROI, "block", 2), "value")
+
+
+@query("template_correlation", with_views("sig_long") + f", t AS (SELECT roi, lap, CAST(floor(position * 10.0::DOUBLE) AS INT) bin, avg(value) v FROM sig_long WHERE lap < 8 GROUP BY ALL), w AS (SELECT *, CASE WHEN lap >= 4 THEN 1 ELSE 0 END own FROM t), m AS (SELECT *, (coalesce(sum(CASE WHEN own = 1 THEN v END) OVER p, 0) - own * v) / nullif(CAST(count(CASE WHEN own = 1 THEN v END) OVER p - own AS DOUBLE), 0) m FROM w WINDOW p AS (PARTITION BY roi, bin)) SELECT lap, {st('corr(v, m)', 'r')} FROM m GROUP BY lap")
+def template_correlation(spark, sf_dir):
+    t = spatial.tuning(views.sig_long(spark, sf_dir).where("lap < 8"), ["roi", "lap"], 10)
+    return rounded(spatial.template_correlation(t, "lap", ROI, 4), "r")
+
+
+# ---------------------------------------------------------------- models
+
+@query("transition_matrix", with_views("sig_short") + f", s AS (SELECT kind AS state, lead(kind) OVER (PARTITION BY roi ORDER BY frame) nxt FROM sig_short), c AS (SELECT state, nxt, count(*) n FROM s WHERE nxt IS NOT NULL GROUP BY ALL) SELECT state, nxt AS next, n, {st('n / sum(n) OVER (PARTITION BY state)', 'p')} FROM c")
+def transition_matrix(spark, sf_dir):
+    return rounded(models.transition_matrix(views.sig_short(spark, sf_dir), "kind", ROI), "p")
+
+
+@query("hmm_states")
+def hmm_states(spark, sf_dir):
+    """Poisson model of counts per frame and its likeliest path; tests check likelihood and recovery."""
+    rows = views.sig_short(spark, sf_dir).select("roi", "frame", F.floor("value").alias("count"))
+    return models.decode(rows, models.hmm(rows, "count", ROI, 2, rounds=5), "count", ROI)
+
+
+@query("nmf_weights")
+def nmf_weights(spark, sf_dir):
+    """Weights of each curve on three non-negative components; tests check the fit."""
+    w, _ = models.factorise(views.curves(spark, sf_dir), "roi", "bin", "value", 3, rounds=8)
+    return w.select("roi", F.posexplode("w").alias("component", "weight"))
+
+
+@query("field_clusters")
+def field_clusters(spark, sf_dir):
+    """Clusters of fields by first-lap statistics."""
+    t = spatial.tuning(views.sig_long(spark, sf_dir), ["roi", "lap"], 20)
+    stats = population.first_lap_statistics(t, ROI, onset_part=0.97).na.drop(subset=["shift", "gain"])
+    return models.kmeans(stats, ["shift", "gain"], 2).select("roi", "cluster")
+
+
+@query("mask_overlap", "WITH p AS (SELECT DISTINCT l_linenumber f, l_suppkey roi, CAST(l_quantity AS INT) y, CAST(l_orderkey % 5 AS INT) x FROM lineitem), s AS (SELECT f, roi, count(*) n FROM p GROUP BY ALL), m AS (SELECT a.f, a.roi a, b.roi b, count(*) k FROM p a JOIN p b ON a.f = b.f AND a.y = b.y AND a.x = b.x AND a.roi < 10 AND b.roi >= 90 GROUP BY ALL) SELECT m.f, m.a, m.b, round(1 - k / (x.n + y.n - k) + 1e-8::DOUBLE, 6) AS distance FROM m JOIN s x ON x.f = m.f AND x.roi = m.a JOIN s y ON y.f = m.f AND y.roi = m.b")
+def mask_overlap(spark, sf_dir):
+    px = read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("f"), F.col("l_suppkey").alias("roi"), F.col("l_quantity").cast("int").alias("y"), (F.col("l_orderkey") % 5).cast("int").alias("x")).distinct()
+    return rounded(models.mask_overlap(px.where("roi < 10"), px.where("roi >= 90"), ["f"]), "distance")
+
+
+@query("registered_rois")
+def registered_rois(spark, sf_dir):
+    """One-to-one registration of masks by least total Jaccard distance; tests check it against all assignments."""
+    return models.assigned(mask_overlap(spark, sf_dir), ["f"], 0.99)
+
+
+@query("simulated_spikes")
+def simulated_spikes(spark, sf_dir):
+    """Spike counts of cells centred where the curves' centres of mass are."""
+    cells = spatial.centres(views.curves(spark, sf_dir), ROI, 64).select("roi", F.col("com").alias("centre"))
+    found = simulate.spikes(simulate.rates(cells, 64), 10, 0.1)
+    return found.groupBy("roi", "bin").agg(F.sum("spike").alias("spikes"))
