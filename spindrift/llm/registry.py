@@ -64,4 +64,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "list_filter(regexp_split_to_array({}, '[ \t-\r]+'), lambda x: x <> '')"
+
+#: op1, op4, op8, op9 and op10 learn, balance, scan or tokenise: tests hold them against brute force instead.
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) s FROM w),
+x AS (SELECT doc_id, len(s) n, unnest(s) g FROM s),
+p AS (SELECT a.doc_id a, b.doc_id b, a.n na, b.n nb, count(*) c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) n_shingles, m.b component_id FROM s JOIN (SELECT a, min(b) b FROM r GROUP BY a) m ON m.a = s.doc_id""",
+    "op3_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) p FROM l WHERE regexp_matches(line, '[^ \t-\r]')),
+g AS (SELECT doc_id, p, no, lead(no) OVER w no2, line, lead(line) OVER w line2 FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+e AS (SELECT *, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, p) k FROM g WHERE line2 IS NOT NULL),
+d AS (SELECT doc_id, no FROM e WHERE k > 1 UNION SELECT doc_id, no2 FROM e WHERE k > 1),
+k AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.no) FILTER (d.no IS NULL) t, count(*) n, count(d.no) r FROM l LEFT JOIN d ON d.doc_id = l.doc_id AND d.no = l.no GROUP BY l.doc_id)
+SELECT o.doc_id, CASE WHEN o.text IS NULL THEN NULL ELSE coalesce(k.t, '') END AS text, coalesce(k.n, 0) n_lines, coalesce(k.r, 0) n_removed FROM documents o LEFT JOIN k USING (doc_id)""",
+    "op6_suffix_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} w FROM documents),
+g AS (SELECT doc_id, i, hash(array_to_string(w[i + 1:i + 50], ' ')) h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) i FROM w)),
+s AS (SELECT h, min(doc_id) lo, max(doc_id) hi FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT doc_id, i, CASE WHEN doc_id = lo THEN hi ELSE lo END other FROM g JOIN s USING (h)),
+o AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END o FROM m),
+r AS (SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY i) r FROM o)
+SELECT doc_id, min(i) start_word, max(i) + 50 end_word, max(i) + 50 - min(i) n_words, min_by(other, i) other_doc_id FROM r GROUP BY doc_id, r""",
+}
