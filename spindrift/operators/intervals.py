@@ -94,3 +94,39 @@ def blocks(df: DataFrame, value: str, keys: list[str], order: str, name: str = "
     w = Window.partitionBy(*keys).orderBy(order)
     changed = (~F.col(value).eqNullSafe(F.lag(value).over(w))) & F.lag(order).over(w).isNotNull()
     return df.withColumn("_c", changed.cast("int")).withColumn(name, F.sum("_c").over(w).cast("int")).drop("_c")
+
+
+def crossings(df: DataFrame, column: str, level: float, keys: list[str], order: str = "frame") -> DataFrame:
+    """Frames right before a signal passes ``level`` in either direction."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    above = F.col(column) >= level
+    turned = df.withColumn("_n", F.lead(above).over(w)).withColumn("_a", above)
+    return turned.where(F.col("_n").isNotNull() & (F.col("_n") != F.col("_a"))).select(*keys, order, F.col("_n").alias("rising"))
+
+
+def laps_as_events(starts: DataFrame, keys: list[str], order: str, n_frames: str) -> DataFrame:
+    """Laps as [onset, offset): each ends where the next starts, the last at ``n_frames``."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return starts.select(*keys, (F.row_number().over(w) - 1).alias("lap"), F.col(order).alias("onset"), F.coalesce(F.lead(order).over(w), F.col(n_frames)).alias("offset"))
+
+
+def expand(events: DataFrame, pre: int, post: int) -> DataFrame:
+    """Events that start ``pre`` frames earlier (0 at least) and end ``post`` later."""
+    return events.withColumn("onset", F.greatest(F.col("onset") - pre, F.lit(0))).withColumn("offset", F.col("offset") + post)
+
+
+def impulses(events: DataFrame, frames: DataFrame, keys: list[str], order: str = "frame") -> DataFrame:
+    """A signal that is 1 at onsets and 0 at all other frames of ``frames``."""
+    hit = events.select(*keys, F.col("onset").alias(order)).distinct().withColumn("value", F.lit(1.0))
+    return frames.select(*keys, order).join(hit, [*keys, order], "left").na.fill(0.0, ["value"])
+
+
+def inter_trial(df: DataFrame, active: str, position: str, keys: list[str], lap: str, order: str = "frame", within: int = 30) -> DataFrame:
+    """Adds ``iti``: no context is active, or the lap is young and its position's least value is still to come.
+
+    The start of each lap up to the least position among its first ``within`` frames belongs to the pause.
+    """
+    w = Window.partitionBy(*keys, lap).orderBy(order)
+    place = df.withColumn("_i", F.row_number().over(w) - 1)
+    turn = F.min_by("_i", F.when(F.col("_i") < within, F.struct(position, "_i"))).over(Window.partitionBy(*keys, lap))
+    return place.withColumn("_t", turn).withColumn("iti", ~F.coalesce(F.col(active), F.lit(False)) | (F.col("_i") < F.col("_t"))).drop("_i", "_t")
