@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spindrift.llm import decontamination, jaccard_join, line_dedup, packing, toxicity
 from spindrift.llm.common import staged, table
@@ -20,8 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that occurred before are cut out; all documents stay, ``n_chars`` follows the text."""
-    return line_dedup.line_dedup(docs, run=2).select(*docs.columns)
+    """Runs of lines that occurred before are cut out, ``n_chars`` follows; a document of which no word is left goes."""
+    found = line_dedup.line_dedup(docs, run=2)
+    return found.where((F.col("n_removed") == 0) | F.col("text").rlike("[^ \\t-\\r]")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
