@@ -120,3 +120,66 @@ def ar_coefficients(df: DataFrame, keys: list[str], value: str = "value", order:
     cov = lagged.groupBy(*keys).agg(F.avg(F.col("_x") * F.col("_x")).alias("c0"), (F.sum(F.col("_x") * F.col("_1")) / F.count("_x")).alias("c1"), (F.sum(F.col("_x") * F.col("_2")) / F.count("_x")).alias("c2"))
     r1, r2 = ratio(F.col("c1"), F.col("c0")), ratio(F.col("c2"), F.col("c0"))
     return cov.select(*keys, r1.alias("ar1"), ratio(r1 * (1 - r2), 1 - r1 * r1).alias("ar2_1"), ratio(r2 - r1 * r1, 1 - r1 * r1).alias("ar2_2"))
+
+
+def duration_thresholds(positive: DataFrame, negative: DataFrame, p: float, per_second: float = 4.0) -> DataFrame:
+    """Per amplitude bin ``a``, the shortest duration (seconds) at which false positives fall below ``p``.
+
+    The rate of false positives is negative-going over positive-going events (``event_histogram`` of each), made
+    monotone by its running minimum and interpolated between bins; null where it never falls so low.
+    """
+    both = positive.select("a", "d", F.col("n").alias("up")).join(negative.select("a", "d", F.col("n").alias("down")), ["a", "d"])
+    w = Window.partitionBy("a").orderBy("d")
+    rate = both.withColumn("_r", F.least(F.coalesce(ratio(F.col("down"), F.col("up")), F.lit(1.0)), F.lit(1.0)))
+    rate = rate.withColumn("_r", F.min("_r").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.lag("_r").over(w))
+    low = F.col("_r") < p
+    at = F.when(low & F.col("_b").isNull(), F.col("d").cast("double")).when(low, F.col("d") - 1 + (F.col("_b") - p) / F.nullif(F.col("_b") - F.col("_r"), F.lit(0.0)))
+    return rate.groupBy("a").agg((F.min(at) / F.lit(per_second)).alias("duration"))
+
+
+def downsampled(df: DataFrame, keys: list[str], factor: int, value: str = "value", order: str = "frame") -> DataFrame:
+    """Traces at 1 / ``factor`` of their rate by leaving out high frequencies, cut to a multiple of ``factor`` first."""
+
+    def resample(pdf):
+        import pandas as pd
+
+        x = pdf.sort_values(order)[value].to_numpy(float)
+        n = len(x) // factor * factor
+        m = n // factor
+        f = np.fft.rfft(x[:n])[: m // 2 + 1]
+        y = np.fft.irfft(f, m) / factor if m else np.zeros(0)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * m for k in keys}, order: np.arange(m), value: y})
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, order])
+    return df.groupBy(*keys).applyInPandas(resample, f"{kinds}, `{value}` double")
+
+
+def oasis_ar2(df: DataFrame, keys: list[str], decay: float, rise: float, name: str = "spikes", order: str = "frame", value: str = "value", rounds: int = 400) -> DataFrame:
+    """Non-negative deconvolution by a kernel of two time constants (``decay`` > ``rise``, as factors a frame).
+
+    Projected gradient with momentum on the least-squares problem, one trace at a time; each step filters the
+    trace forwards and backwards.
+    """
+
+    def solve(pdf):
+        pdf = pdf.sort_values(order)
+        y = np.nan_to_num(pdf[value].to_numpy(float))
+        n = len(y)
+        kernel = (decay ** np.arange(1, n + 1) - rise ** np.arange(1, n + 1)) / (decay - rise)
+        kernel = kernel[: max(1, int(np.searchsorted(-kernel[int(kernel.argmax()) :], -1e-6)) + int(kernel.argmax()))]
+        size = 1 << (n + len(kernel) - 1).bit_length()
+        k = np.fft.rfft(kernel, size)
+        step = 1 / max(np.abs(k).max() ** 2, 1e-12)
+        s = z = np.zeros(n)
+        t = 1.0
+        for _ in range(rounds):
+            r = np.fft.irfft(np.fft.rfft(z, size) * k, size)[:n] - y
+            grad = np.fft.irfft(np.fft.rfft(r, size) * np.conj(k), size)[:n]
+            new = np.maximum(z - step * grad, 0.0)
+            t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            z, s, t = new + (t - 1) / t2 * (new - s), new, t2
+        pdf[name] = s
+        return pdf
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name) + f", `{name}` double"
+    return df.groupBy(*keys).applyInPandas(solve, schema)

@@ -46,10 +46,13 @@ def gaussian_kernel(length: int, sigma: float) -> list[float]:
     return [x / sum(g) for x in g]
 
 
-def smooth_same(curves: DataFrame, keys: list[str], sigma: float, length: int | None = None) -> DataFrame:
-    """Convolution of the values by bin with a Gaussian of 8 sigma points, zeros beyond the ends. Needs all bins."""
+def smooth_same(curves: DataFrame, keys: list[str], sigma: float, length: int | None = None, order: tuple[str, ...] = ("bin",)) -> DataFrame:
+    """Convolution of the values by bin with a Gaussian of 8 sigma points, zeros beyond the ends. Needs all bins.
+
+    With ``order`` = (lap, bin), the laps of a key run on into each other.
+    """
     m = length or int(8 * sigma)
-    k, w = gaussian_kernel(m, sigma), Window.partitionBy(*keys).orderBy("bin")
+    k, w = gaussian_kernel(m, sigma), Window.partitionBy(*keys).orderBy(*order)
     near = lambda o: F.col("value") if o == 0 else F.lead("value", o).over(w) if o > 0 else F.lag("value", -o).over(w)
     total = sum((F.coalesce(near(o), F.lit(0.0)) * F.lit(k[(m - 1) // 2 - o]) for o in range(-(m // 2), (m - 1) // 2 + 1)), F.lit(0.0))
     return curves.withColumn("smoothed", total)

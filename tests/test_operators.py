@@ -216,3 +216,31 @@ def test_streams(spark, tmp_path):
     assert ordered(spark.table("pairs"), "roi", "roi", "onset", "offset") == [(1, 0.0, 1.0), (2, 0.5, 2.0)]
     batch = spark.createDataFrame([("2024-01-01 01:00:00", "a", 1.0), ("2024-01-01 07:00:00", "a", 2.0)], "ts string, kind string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert ordered(stream_events.windowed(batch), "start", "n", "value") == [(1, 1.0), (1, 2.0)]
+
+
+def test_smoothing_across_laps(spark):
+    v = np.random.default_rng(5).random(24)
+    rows = spark.createDataFrame([(1, i // 8, i % 8, float(x)) for i, x in enumerate(v)], "roi int, lap int, bin int, value double")
+    got = [r["smoothed"] for r in spatial.smooth_same(rows, ["roi"], 1.0, 8, ("lap", "bin")).orderBy("lap", "bin").collect()]
+    assert np.allclose(got, np.convolve(v, spatial.gaussian_kernel(8, 1.0), "same"))
+
+
+def test_downsampling_keeps_slow_waves(spark):
+    t = np.arange(130)
+    got = signals.downsampled(trace(spark, np.sin(2 * np.pi * t * 2 / 128)), ["roi"], 4)
+    y = np.array(ordered(got, "frame", "value"))
+    assert len(y) == 32 and np.corrcoef(y, np.sin(2 * np.pi * np.arange(32) * 2 / 32))[0, 1] > 0.99
+
+
+def test_second_order_deconvolution(spark):
+    s = np.zeros(100)
+    s[[10, 50]] = [2.0, 1.0]
+    k = (0.9 ** np.arange(1, 101) - 0.5 ** np.arange(1, 101)) / 0.4
+    got = np.array(ordered(signals.oasis_ar2(trace(spark, np.convolve(s, k)[:100]), ["roi"], 0.9, 0.5), "frame", "spikes"))
+    assert (got >= 0).all() and np.abs(np.convolve(got, k)[:100] - np.convolve(s, k)[:100]).max() < 0.05 and got.argmax() == 10
+
+
+def test_duration_thresholds(spark):
+    up = spark.createDataFrame([(0, d, 10) for d in range(4)], "a int, d int, n long")
+    down = spark.createDataFrame([(0, 0, 10), (0, 1, 4), (0, 2, 0), (0, 3, 0)], "a int, d int, n long")
+    assert abs(signals.duration_thresholds(up, down, 0.2).first()["duration"] - 1.5 / 4) < 1e-9
