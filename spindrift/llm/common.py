@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a fresh local one only if it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of the driver's own only if that is unset, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        where = _own[app]
     return where
 
 
