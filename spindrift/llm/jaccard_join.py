@@ -246,7 +246,8 @@ def jaccard_components(docs: DataFrame, length: int = 5, threshold: int = 75) ->
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = _verified(docs, staged(pairs, "jaccard-pairs"), length, threshold)
 
-    whole = components(links.union(staged(more, "jaccard-links")), "jaccard-components")
+    known = near.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    whole = components(known.union(staged(more, "jaccard-links")), "jaccard-components")
     of = table.select("uid", "rep").join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left").select("uid", F.coalesce("component", "rep").alias("component"))
     joined = staged(own.select("uid", "doc_id", "n").join(of, "uid", "left").withColumn("component", F.coalesce("component", "uid")), "jaccard-result")
     names = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
