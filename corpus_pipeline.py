@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that occurred before are cut out, ``n_chars`` follows; a document of which no word is left goes."""
-    found = line_dedup.line_dedup(docs, run=2)
+    """Runs of lines, and single lines of three words or more, that occurred before are cut out, ``n_chars`` follows; a document of which no word is left goes."""
+    found = line_dedup.line_dedup(docs, run=2, lone=3)
     return found.where((F.col("n_removed") == 0) | F.col("text").rlike("[^ \\t-\\r]")).select(*docs.columns)
 
 

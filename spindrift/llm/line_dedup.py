@@ -5,6 +5,9 @@ hash is a fingerprint, so two places that share ``run`` lines share a fingerprin
 them. Positions are joined on fingerprints; around those that meet, the runs of ``run`` lines that hold
 the fingerprint, to the left and to the right, are compared, and a run that occurs earlier (by doc_id,
 then line) is deleted where it occurs again. Longer matches are chains of such runs.
+
+With ``lone`` words given, a line of so many words is a run by itself, wherever it stands; its hash is its
+fingerprint.
 """
 
 from __future__ import annotations
@@ -24,8 +27,25 @@ def _lines() -> Column:
     return F.transform(F.filter(every, lambda x: x["ok"]), lambda x: F.struct(x["no"].alias("no"), x["h"].alias("h")))
 
 
-def repeated_lines(docs: DataFrame, run: int = 2) -> DataFrame:
-    """(uid, no): lines of ``numbered`` documents that lie in a run of ``run`` lines seen earlier."""
+def _lone_lines(docs: DataFrame, words: int) -> DataFrame:
+    """Every line of ``words`` words or more as a run of one line: key, place, nos."""
+    pattern = "[ \\t-\\r]*" + "[^ \\t-\\r]+[ \\t-\\r]+" * (words - 1) + _HAS_WORD
+    every = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("no"), F.xxhash64(line).alias("key"), line.rlike(f"^{pattern}").alias("ok")))
+    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.select("uid", "doc_id", F.explode_outer(F.filter(every, lambda x: x["ok"])).alias("x")).where("x is not null")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", F.col("x.no").alias("pos"))
+    return rows.select("x.key", place.alias("place"), F.array("x.no").alias("nos"))
+
+
+def _later(runs: DataFrame) -> DataFrame:
+    """(uid, no) of the lines in all runs but the earliest of each key."""
+    earliest = runs.groupBy("key").agg(F.min("place").alias("origin"))
+    later = runs.join(earliest, "key").where(F.col("place") > F.col("origin"))
+    return later.select(F.col("place.uid").alias("uid"), F.explode("nos").alias("no"))
+
+
+def repeated_lines(docs: DataFrame, run: int = 2, lone: int | None = None) -> DataFrame:
+    """(uid, no): lines of ``numbered`` documents that lie in a run of ``run`` lines seen earlier, or have ``lone`` words and were seen earlier."""
     rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.instr("text", "\n") > 0)
     lines = rows.select("uid", "doc_id", _lines().alias("s")).where(F.size("s") >= run)
     hashes = F.transform("s", lambda x: x["h"])
@@ -49,22 +69,21 @@ def repeated_lines(docs: DataFrame, run: int = 2) -> DataFrame:
         F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", (F.col("first") + F.col("at")).alias("pos")).alias("place"),
         F.transform(F.slice("near", F.col("at") + 1, run), lambda x: x["no"]).alias("nos"),
     )
-    earliest = runs.groupBy("key").agg(F.min("place").alias("origin"))
-    later = runs.join(earliest, "key").where(F.col("place") > F.col("origin"))
-    return later.select(F.col("place.uid").alias("uid"), F.explode("nos").alias("no"))
+    found = _later(runs)
+    return found if lone is None else found.unionByName(_later(_lone_lines(docs, lone)))
 
 
-def line_dedup(docs: DataFrame, run: int = 2) -> DataFrame:
-    """``docs`` with later repeats of runs of ``run`` lines cut out of ``text``.
+def line_dedup(docs: DataFrame, run: int = 2, lone: int | None = None) -> DataFrame:
+    """``docs`` with later repeats of runs of ``run`` lines, and of single lines of ``lone`` words or more, cut out of ``text``.
 
     All columns stay; ``n_chars``, if there is one, follows the new text. Adds n_lines and n_removed
     (long). Lines without a word are never removed and don't part a run. A null text stays null with no
-    lines; a text that is one line stays as it is; a row that repeats loses its repeated runs; runs
+    lines; a text that is one line stays as it is unless ``lone`` applies, and is then left empty; a row that repeats loses its repeated runs; runs
     that overlap themselves (A A A) shrink to the first line. Rows with null doc_id count as later than
     all others. An empty table gives an empty result.
     """
     docs = repeatable(docs)
-    doomed = repeated_lines(docs, run).groupBy("uid").agg(F.collect_set("no").alias("_gone"))
+    doomed = repeated_lines(docs, run, lone).groupBy("uid").agg(F.collect_set("no").alias("_gone"))
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     doomed = doomed.withColumnRenamed("uid", "_doomed")
     rows = docs.select(F.monotonically_increasing_id().alias("_uid"), *kept_columns)

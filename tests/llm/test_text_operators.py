@@ -11,6 +11,7 @@ from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from spindrift.llm import decontamination, jaccard_join, line_dedup, packing, pii, quality, sharding, suffix_dedup, token_counts, toxicity
 from spindrift.llm.components import components
 from spindrift.llm.tokens import Vocabulary
@@ -219,6 +220,40 @@ def test_line_dedup_equals_brute_force(spark, odd, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def brute_lone(docs, run, lone):
+    """``brute_lines``, with every line of ``lone`` words or more that occurs earlier taken out too."""
+    lines = [(t.split("\n") if t is not None else []) for _, t in docs]
+    first, gone = set(), [set() for _ in docs]
+    for order in sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0, i)):
+        full = [i for i, x in enumerate(lines[order]) if SPLIT.search(x)]
+        keys = [(full[p : p + run], tuple(lines[order][i] for i in full[p : p + run])) for p in range(len(full) - run + 1)]
+        keys += [([i], (lines[order][i],)) for i in full if len(SPLIT.findall(lines[order][i])) >= lone]
+        for at, key in keys:
+            if key in first:
+                gone[order].update(at)
+            first.add(key)
+    return [(d, None if t is None else "\n".join(x for i, x in enumerate(lines[k]) if i not in gone[k]), len(gone[k])) for k, (d, t) in enumerate(docs)]
+
+
+def test_line_dedup_takes_lone_lines(spark, odd, none):
+    rng = random.Random(9)
+    docs = [(r["doc_id"], r["text"]) for r in odd.coalesce(1).collect()]
+    choice = ["one line here", " \tl two words", "l3", "two words", "", " ", "a longer line of six words"]
+    docs += [(i, "\n".join(rng.choice(choice) for _ in range(rng.randrange(7)))) for i in range(50, 120)]
+    for lone in (1, 2, 3):
+        df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+        got = rows(line_dedup.line_dedup(df, 2, lone), "doc_id", "text", "n_removed")
+        assert got == sorted(brute_lone(docs, 2, lone), key=repr)
+    assert line_dedup.line_dedup(none, 2, 3).count() == 0
+
+
+def test_pipeline_takes_lone_lines(spark):
+    docs = [(1, "first\nthe same passage again"), (2, "the same passage again"), (3, "other\nthe same passage again\nmore"), (4, "other")]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = rows(corpus_pipeline.drop_repeated_lines(spark, df, ""), "doc_id", "text", "n_chars")
+    assert got == [(1, docs[0][1], 28), (3, "other\nmore", 10), (4, "other", 5)]
+
+
 # ------------------------------------------------------------- sharding
 
 def test_sharding_is_balanced_and_gapless(spark, odd, none):
