@@ -3,7 +3,8 @@
 Numbers, units and names become typed placeholders, so that a question asked again with other values has
 the same template. Windows of template words are hash-joined to those of the benchmark items; where they
 meet, the values in the placeholders are held against each other: in a re-parameterised question one
-value of the item always stands for the same value in the document.
+value of the item always stands for the same value in the document. Each occurrence is judged by itself,
+as a document may hold an item several times with several sets of values.
 """
 
 from __future__ import annotations
@@ -48,8 +49,23 @@ def _templates(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in ("ws", "values")], F.size("ws").alias("n_words"), slots.alias("slots"), hs.alias("hs"))
 
 
+def _occurrences(met: DataFrame) -> DataFrame:
+    """``met`` once for each part of the document that a row is judged in, named by ``part``.
+
+    Parts are the whole document, the diagonals (pos - item_pos) less than ``WINDOW`` apart from one to the
+    next, as words put in or left out move a copy along, and each diagonal alone, as versions of a short item
+    may follow each other that closely.
+    """
+    rows = met.withColumn("diagonal", (F.col("pos") - F.col("item_pos")).cast("long"))
+    along = Window.partitionBy("uid", "item_id").orderBy("diagonal")
+    rows = rows.withColumn("starts", (F.col("diagonal") - F.lag("diagonal").over(along) >= WINDOW).cast("long"))
+    rows = rows.withColumn("near", F.coalesce(F.sum("starts").over(along), F.lit(0)))
+    parts = [F.concat_ws(":", F.lit(kind), at.cast("string")) for kind, at in (("whole", F.lit(0)), ("near", F.col("near")), ("diagonal", F.col("diagonal")))]
+    return rows.withColumn("part", F.explode(F.array(*parts))).drop("starts", "near", "diagonal")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and benchmark item that it holds.
+    """One row per document and benchmark item that it holds: of its occurrences that pass, the one covered most and changed least.
 
     Columns: uid (row of ``docs``), doc_id, item_id, covered (item words in shared windows), item_words,
     n_slots (pairs of values compared), n_changed (pairs that differ), kind (``exact`` or
@@ -67,20 +83,24 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def inside(slots: str, pos: str) -> Column:
         return F.transform(F.filter(slots, lambda s: (s["pos"] >= F.col(pos)) & (s["pos"] < F.col(pos) + WINDOW)), lambda s: F.lower(s["value"]))
 
-    met = met.select("uid", "doc_id", "item_id", "item_words", "item_pos", inside("slots", "pos").alias("has"), inside("item_slots", "item_pos").alias("asked"))
-    met = staged(met, "decontamination-met")
-    places = met.select("uid", "doc_id", "item_id", "item_words", "item_pos").distinct()
-    following = F.lead("item_pos").over(Window.partitionBy("uid", "item_id").orderBy("item_pos"))
+    met = met.select("uid", "doc_id", "item_id", "item_words", "pos", "item_pos", inside("slots", "pos").alias("has"), inside("item_slots", "item_pos").alias("asked"))
+    met = _occurrences(staged(met, "decontamination-met"))
+    places = met.select("uid", "doc_id", "item_id", "part", "item_words", "item_pos").distinct()
+    following = F.lead("item_pos").over(Window.partitionBy("uid", "item_id", "part").orderBy("item_pos"))
     covered = places.withColumn("w", F.least(F.lit(WINDOW), F.coalesce(following - F.col("item_pos"), F.lit(WINDOW))))
-    covered = covered.groupBy("uid", "doc_id", "item_id", "item_words").agg(F.sum("w").cast("long").alias("covered"))
-    pairs = met.where(F.size("has") == F.size("asked")).select("uid", "item_id", F.explode(F.arrays_zip("asked", "has")).alias("pair")).distinct()
-    by_value = pairs.groupBy("uid", "item_id", F.col("pair.asked").alias("asked")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("pair.asked") != F.col("pair.has")).cast("long")).alias("changed"))
-    slots = by_value.groupBy("uid", "item_id").agg(F.count(F.lit(1)).alias("n_slots"), F.sum((F.col("changed") > 0).cast("long")).alias("n_changed"), F.sum((F.col("n") > 1).cast("long")).alias("n_torn"))
-    whole = covered.join(slots, ["uid", "item_id"], "left").na.fill(0, ["n_slots", "n_changed", "n_torn"])
+    covered = covered.groupBy("uid", "doc_id", "item_id", "part", "item_words").agg(F.sum("w").cast("long").alias("covered"))
+    pairs = met.where(F.size("has") == F.size("asked")).select("uid", "item_id", "part", F.explode(F.arrays_zip("asked", "has")).alias("pair")).distinct()
+    by_value = pairs.groupBy("uid", "item_id", "part", F.col("pair.asked").alias("asked")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("pair.asked") != F.col("pair.has")).cast("long")).alias("changed"))
+    slots = by_value.groupBy("uid", "item_id", "part").agg(F.count(F.lit(1)).alias("n_slots"), F.sum((F.col("changed") > 0).cast("long")).alias("n_changed"), F.sum((F.col("n") > 1).cast("long")).alias("n_torn"))
+    whole = covered.join(slots, ["uid", "item_id", "part"], "left").na.fill(0, ["n_slots", "n_changed", "n_torn"])
     enough = F.col("covered") >= F.least(F.lit(COVERED), F.col("item_words"))
     # values that stand for several others: a chance likeness, unless most agree or no more than a fifth are torn
     consistent = 5 * F.col("n_torn") <= F.col("n_slots")
-    return whole.where(enough & (consistent | (F.col("covered") - F.col("n_slots") >= COVERED))).select("uid", "doc_id", "item_id", "covered", F.col("item_words").cast("long").alias("item_words"), "n_slots", "n_changed", F.when(F.col("n_changed") > 0, "reparameterised").otherwise("exact").alias("kind"))
+    passed = whole.where(enough & (consistent | (F.col("covered") - F.col("n_slots") >= COVERED)))
+    best = F.max(F.struct("covered", (-F.col("n_changed")).alias("unchanged"), "n_slots")).alias("best")
+    found = passed.groupBy("uid", "doc_id", "item_id", "item_words").agg(best)
+    n_changed = -F.col("best.unchanged")
+    return found.select("uid", "doc_id", "item_id", "best.covered", F.col("item_words").cast("long").alias("item_words"), "best.n_slots", n_changed.alias("n_changed"), F.when(n_changed > 0, "reparameterised").otherwise("exact").alias("kind"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -342,6 +342,19 @@ def test_decontamination_finds_copies_and_new_values(spark, odd, none):
     assert decontamination.matches(none, items).count() == 0 and decontamination.matches(df, items.limit(0)).count() == 0
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    asked = "A shop sells 12 pens for 30 dollars. How much do 5 pens cost?"
+    other = "A shop sells 40 pens for 70 dollars. How much do 9 pens cost?"
+    third = "A shop sells 8 pens for 11 dollars. How much do 2 pens cost?"
+    filler = " and then there was some text in between that has nothing to do with pens at all and goes on. "
+    texts = [asked + filler + other, other + filler + third, other + " " + third, asked + " " + other, asked, filler]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, asked)], "item_id long, text string")
+    got = {r["doc_id"]: r["kind"] for r in decontamination.matches(df, items).collect()}
+    assert got == {0: "exact", 1: "reparameterised", 2: "reparameterised", 3: "exact", 4: "exact"}
+    assert rows(decontamination.decontaminate(df, items), "doc_id") == [(5,)]
+
+
 # ------------------------------------------------------------- PII
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
