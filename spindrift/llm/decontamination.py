@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
 Numbers, units and names become typed placeholders, so that a question asked again with other values has
-the same template. Windows of template words are hash-joined to those of the benchmark items; where they
+the same template. There are three templates of a text: without names, so that copies don't depend on case and
+on where a name stands; with names inside sentences; and with every capitalised word. Windows of template words are hash-joined to those of the benchmark items; where they
 meet, the values in the placeholders are held against each other: in a re-parameterised question one
 value of the item always stands for the same value in the document. Each occurrence is judged by itself,
 as a document may hold an item several times with several sets of values.
@@ -14,11 +15,14 @@ from pyspark.sql import functions as F
 
 from .common import numbered, repeatable, staged
 
-#: Words in a window, and item words that must be covered on the whole (all of a shorter item).
+#: Words in a window (all of a shorter item), and item words that must be covered on the whole (all of a shorter item).
 WINDOW, COVERED = 8, 13
+#: Words beside the slots that an item shorter than a window needs to be found with other values; word for word it needs none.
+SHORT = 4
 #: Private-use characters for a number, a unit and a name.
 NUM, UNIT, NAME = "\ue000", "\ue001", "\ue002"
-ANY = f"[{NUM}-{NAME}]"
+#: Private-use characters before a capitalised word inside a sentence, before any other, and after either.
+INNER, WIDE, END = "\ue003", "\ue004", "\ue005"
 #: Words that count as units right after a number. Fixed values.
 UNITS = "km|m|cm|mm|mi|miles?|feet|ft|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|l|ml|lit(?:er|re)s?|hours?|hrs?|h|min(?:utes?)?|sec(?:onds?)?|s|days?|weeks?|months?|years?|percent|dollars?|euros?|cents?|meters?|metres?|kph|mph|degrees?"
 #: Windows of the benchmark that may be broadcast (about 100 bytes each); more are joined by shuffle.
@@ -26,27 +30,51 @@ BROADCAST_WINDOWS = 300_000
 
 
 def _plain(text: Column) -> Column:
-    """Only letters, digits, placeholders and white space are left."""
-    return F.regexp_replace(text, f"[^\\p{{L}}\\p{{N}}{NUM}-{NAME}\\s]+", "")
+    """Only letters, digits, placeholders, marks and white space are left."""
+    return F.regexp_replace(text, f"[^\\p{{L}}\\p{{N}}{NUM}-{END}\\s]+", "")
 
 
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, "\\s+"), "")
 
 
-def _templates(rows: DataFrame) -> DataFrame:
-    """Adds hs, the hashes of template windows; slots, an array of (pos, value) of the placeholders; n_words."""
+def _starts(words: str, size: int | Column) -> Column:
+    return F.sequence(F.lit(0), F.size(words) - size)
+
+
+def _changed(words: str, other: str, size: int | Column) -> Column:
+    """Starts of the windows in which two templates differ."""
+    places = F.filter(F.transform(words, lambda w, i: F.when(w != F.get(other, i), i)), lambda i: i.isNotNull())
+    return F.array_distinct(F.flatten(F.transform(places, lambda i: F.sequence(F.greatest(i - size + 1, F.lit(0)), F.least(i, F.size(words) - size)))))
+
+
+def _windows(size: int | Column) -> Column:
+    """Hashes of windows as (pos, h, wide): of ``plain``, and of ``inner`` and ``every`` where these differ."""
+
+    def hashed(words: str, starts: Column, wide: bool) -> Column:
+        return F.transform(starts, lambda i: F.struct(i.cast("int").alias("pos"), F.xxhash64(F.slice(words, i + 1, size)).alias("h"), F.lit(wide).alias("wide")))
+
+    found = F.concat(hashed("plain", _starts("plain", size), False), hashed("inner", _changed("inner", "plain", size), False), hashed("every", _changed("every", "inner", size), True))
+    return F.when(F.size("plain") >= F.greatest(F.lit(1), F.lit(size) if isinstance(size, int) else size), found)
+
+
+def _templates(rows: DataFrame, sizes: list[int] | None = None) -> DataFrame:
+    """Adds hs, the windows of ``sizes`` words, or of ``WINDOW`` words and all of a shorter text; slots, an array of
+    (pos, value, wide) of the placeholders; n_words. Wide ones are names only where every capitalised word is one.
+    """
     t = F.coalesce("text", F.lit(""))
-    named = F.regexp_replace(t, "(?<=[a-z,;] )[A-Z][a-z]+(?![A-Za-z])", NAME)
-    numbers = F.regexp_replace(named, "(?<!\\S)[^\\sA-Za-z]*[0-9]\\S*", NUM)
-    units = F.regexp_replace(numbers, f"{NUM}\\s(?:{UNITS})(?![\\p{{L}}\\p{{N}}])", f"{NUM} {UNIT}")
-    rows = rows.select(*[c for c in rows.columns if c != "text"], _words(F.lower(_plain(units))).alias("ws"), t.alias("t"))
-    # values are read from the text itself; both lists have as many words unless odd characters part them
-    values = F.when(F.exists("ws", lambda w: w.rlike(ANY)), _words(_plain(F.col("t")))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("values", values).drop("t")
-    slots = F.filter(F.transform("values", lambda v, i: F.struct(i.alias("pos"), v.alias("value"))), lambda s: F.coalesce(F.get("ws", s["pos"]).rlike(ANY), F.lit(False)))
-    hs = F.when(F.size("ws") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("ws") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("ws", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    return rows.select(*[c for c in rows.columns if c not in ("ws", "values")], F.size("ws").alias("n_words"), slots.alias("slots"), hs.alias("hs"))
+    numbers = F.regexp_replace(t, "(?<!\\S)[^\\sA-Za-z]*[0-9]\\S*", NUM)
+    units = F.regexp_replace(numbers, f"(?i){NUM}\\s+(?:{UNITS})(?![\\p{{L}}\\p{{N}}])", f"{NUM} {UNIT}")
+    names = F.regexp_replace(units, "(?<![^\\s\"'(\\[\u201c\u2018\u00ab])([A-Z][a-z]+)(?![A-Za-z])", f"{WIDE}$1{END}")
+    marked = F.regexp_replace(names, f"([a-z,;{UNIT}{END}]\\s+){WIDE}", f"$1{INNER}")
+    rows = rows.select(*[c for c in rows.columns if c != "text"], F.lower(_plain(marked)).alias("m"), _words(F.lower(_plain(t))).alias("values"))
+    inner = F.regexp_replace("m", f"{INNER}[^{END}]*{END}", NAME)
+    every = F.regexp_replace("m", f"[{INNER}{WIDE}][^{END}]*{END}", NAME)
+    # each has as many words as the text itself
+    rows = rows.select(*[c for c in rows.columns if c != "m"], *(_words(F.translate(x, INNER + WIDE + END, "")).alias(n) for x, n in ((F.col("m"), "plain"), (inner, "inner"), (every, "every"))))
+    slots = F.transform("values", lambda v, i: F.when(v != F.get("every", i), F.struct(i.alias("pos"), v.alias("value"), (F.get("every", i) != F.get("inner", i)).alias("wide"))))
+    hs = _windows(F.least(F.lit(WINDOW), F.size("plain"))) if sizes is None else F.flatten(F.array_compact(F.array(*(_windows(n) for n in sizes))))
+    return rows.select(*[c for c in rows.columns if c not in ("values", "plain", "inner", "every")], F.size("plain").alias("n_words"), F.array_compact(slots).alias("slots"), hs.alias("hs"))
 
 
 def _occurrences(met: DataFrame) -> DataFrame:
@@ -54,14 +82,15 @@ def _occurrences(met: DataFrame) -> DataFrame:
 
     Parts are the whole document, the diagonals (pos - item_pos) less than ``WINDOW`` apart from one to the
     next, as words put in or left out move a copy along, and each diagonal alone, as versions of a short item
-    may follow each other that closely.
+    may follow each other that closely. Each is judged without wide rows and with them, as wide slots add to the slots.
     """
     rows = met.withColumn("diagonal", (F.col("pos") - F.col("item_pos")).cast("long"))
     along = Window.partitionBy("uid", "item_id").orderBy("diagonal")
     rows = rows.withColumn("starts", (F.col("diagonal") - F.lag("diagonal").over(along) >= WINDOW).cast("long"))
     rows = rows.withColumn("near", F.coalesce(F.sum("starts").over(along), F.lit(0)))
     parts = [F.concat_ws(":", F.lit(kind), at.cast("string")) for kind, at in (("whole", F.lit(0)), ("near", F.col("near")), ("diagonal", F.col("diagonal")))]
-    return rows.withColumn("part", F.explode(F.array(*parts))).drop("starts", "near", "diagonal")
+    parts = F.array(*(F.concat_ws(":", part, F.lit(ending)) for part in parts for ending in ("basic", "wide")))
+    return rows.withColumn("part", F.explode(parts)).where(F.col("part").endswith("wide") | ~F.col("wide")).drop("starts", "near", "diagonal")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -69,34 +98,43 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Columns: uid (row of ``docs``), doc_id, item_id, covered (item words in shared windows), item_words,
     n_slots (pairs of values compared), n_changed (pairs that differ), kind (``exact`` or
-    ``reparameterised``). Null and empty texts, and texts under ``WINDOW`` words, hold nothing; items so
-    short are never found. Repeated rows and null ids are rows of their own. Empty tables give an empty
+    ``reparameterised``). Null and empty texts hold nothing; an item under ``WINDOW`` words is found
+    where all of it stands, with other values only if ``SHORT`` words are no slots. Repeated rows and null ids are rows of their own. Empty tables give an empty
     result.
     """
     # outer, as Spark would push "not empty" below an inner explode and hash each window again and again there
     items = _templates(benchmark.select(F.col("item_id").alias("item_id"), "text"))
-    windows = staged(items.select("item_id", F.col("n_words").alias("item_words"), F.col("slots").alias("item_slots"), F.posexplode_outer("hs").alias("item_pos", "h")).where("h is not null"), "decontamination-items")
+    windows = items.select("item_id", F.col("n_words").alias("item_words"), F.col("slots").alias("item_slots"), F.explode_outer("hs").alias("x")).where("x is not null")
+    windows = staged(windows.select("item_id", "item_words", "item_slots", F.col("x.pos").alias("item_pos"), F.col("x.h").alias("h"), F.col("x.wide").alias("item_wide")), "decontamination-items")
     few = windows.count() <= BROADCAST_WINDOWS
-    found = _templates(numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")).select("uid", "doc_id", "slots", F.posexplode_outer("hs").alias("pos", "h"))
+    short = [r[0] for r in windows.where(F.col("item_words") < WINDOW).select("item_words").distinct().collect()]
+    found = _templates(numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), "text"), [*sorted(short), WINDOW]).select("uid", "doc_id", "slots", F.explode_outer("hs").alias("x"))
+    found = found.select("uid", "doc_id", "slots", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.wide").alias("wide"))
     met = found.join(F.broadcast(windows) if few else windows, "h")
+    size = F.least(F.lit(WINDOW), F.col("item_words"))
+    inside = F.filter("item_slots", lambda s: (s["pos"] >= F.col("item_pos")) & (s["pos"] < F.col("item_pos") + size))
 
-    def inside(slots: str, pos: str) -> Column:
-        return F.transform(F.filter(slots, lambda s: (s["pos"] >= F.col(pos)) & (s["pos"] < F.col(pos) + WINDOW)), lambda s: F.lower(s["value"]))
+    def paired(s: Column) -> Column:
+        """An item's slot and what the document has there; the same word if that is no slot of the document."""
+        there = F.filter("slots", lambda d: d["pos"] == s["pos"] - F.col("item_pos") + F.col("pos"))
+        return F.struct(s["value"].alias("asked"), F.coalesce(F.get(there, F.lit(0))["value"], s["value"]).alias("has"), s["wide"].alias("wide"))
 
-    met = met.select("uid", "doc_id", "item_id", "item_words", "pos", "item_pos", inside("slots", "pos").alias("has"), inside("item_slots", "item_pos").alias("asked"))
+    met = met.select("uid", "doc_id", "item_id", "item_words", "pos", "item_pos", (F.col("wide") | F.col("item_wide")).alias("wide"), F.transform(inside, paired).alias("pairs"))
     met = _occurrences(staged(met, "decontamination-met"))
     places = met.select("uid", "doc_id", "item_id", "part", "item_words", "item_pos").distinct()
     following = F.lead("item_pos").over(Window.partitionBy("uid", "item_id", "part").orderBy("item_pos"))
-    covered = places.withColumn("w", F.least(F.lit(WINDOW), F.coalesce(following - F.col("item_pos"), F.lit(WINDOW))))
+    covered = places.withColumn("w", F.least(size, F.coalesce(following - F.col("item_pos"), size)))
     covered = covered.groupBy("uid", "doc_id", "item_id", "part", "item_words").agg(F.sum("w").cast("long").alias("covered"))
-    pairs = met.where(F.size("has") == F.size("asked")).select("uid", "item_id", "part", F.explode(F.arrays_zip("asked", "has")).alias("pair")).distinct()
+    pairs = met.select("uid", "item_id", "part", F.explode("pairs").alias("pair")).where(F.col("part").endswith("wide") | ~F.col("pair.wide")).select("uid", "item_id", "part", F.struct("pair.asked", "pair.has").alias("pair")).distinct()
     by_value = pairs.groupBy("uid", "item_id", "part", F.col("pair.asked").alias("asked")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("pair.asked") != F.col("pair.has")).cast("long")).alias("changed"))
     slots = by_value.groupBy("uid", "item_id", "part").agg(F.count(F.lit(1)).alias("n_slots"), F.sum((F.col("changed") > 0).cast("long")).alias("n_changed"), F.sum((F.col("n") > 1).cast("long")).alias("n_torn"))
     whole = covered.join(slots, ["uid", "item_id", "part"], "left").na.fill(0, ["n_slots", "n_changed", "n_torn"])
     enough = F.col("covered") >= F.least(F.lit(COVERED), F.col("item_words"))
     # values that stand for several others: a chance likeness, unless most agree or no more than a fifth are torn
     consistent = 5 * F.col("n_torn") <= F.col("n_slots")
-    passed = whole.where(enough & (consistent | (F.col("covered") - F.col("n_slots") >= COVERED)))
+    beside = F.col("covered") - F.col("n_slots")
+    known = (F.col("item_words") >= WINDOW) | (F.col("n_changed") == 0) | (beside >= SHORT)
+    passed = whole.where(enough & known & (consistent | (beside >= COVERED)))
     best = F.max(F.struct("covered", (-F.col("n_changed")).alias("unchanged"), "n_slots")).alias("best")
     found = passed.groupBy("uid", "doc_id", "item_id", "item_words").agg(best)
     n_changed = -F.col("best.unchanged")

@@ -355,6 +355,22 @@ def test_decontamination_judges_each_occurrence(spark):
     assert rows(decontamination.decontaminate(df, items), "doc_id") == [(5,)]
 
 
+def test_decontamination_depends_on_no_case_or_place_of_names(spark):
+    trip = "On Monday the tall clerk from Paris wrote to the old baker in London and asked whether the bread from Paris could be sent on to London before the winter"
+    apples = "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have now?"
+    items = [(1, trip), (2, apples), (3, "How much do 5 pens cost"), (4, "zyx"), (5, "What is 12 30")]
+    texts = [
+        (trip.lower(), 1, "exact"), (trip.upper(), 1, "exact"), (trip.replace(" Paris", "\nParis").replace(" London", "  London"), 1, "exact"),
+        (trip.replace("Paris", "Oslo").replace(" London", "\nMadrid"), 1, "reparameterised"),
+        (apples.replace("Tom", "Anna").replace("5", "8").replace("3", "6"), 2, "reparameterised"), (apples.lower(), 2, "exact"),
+        ("so how much do 5 pens cost here", 3, "exact"), ("How much do 7 pens cost?", 3, "reparameterised"), ("a zyx", 4, "exact"), ("what is 12 30", 5, "exact"),
+        ("What is 7 9", None, None), ("How many pens are there", None, None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)], "doc_id long, text string")
+    found = decontamination.matches(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert rows(found, "doc_id", "item_id", "kind") == sorted(((i, item, kind) for i, (_, item, kind) in enumerate(texts) if item), key=repr)
+
+
 # ------------------------------------------------------------- PII
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
