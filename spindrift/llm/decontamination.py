@@ -102,15 +102,21 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     where all of it stands, with other values only if ``SHORT`` words are no slots. Repeated rows and null ids are rows of their own. Empty tables give an empty
     result.
     """
+    docs = repeatable(docs)
     # outer, as Spark would push "not empty" below an inner explode and hash each window again and again there
     items = _templates(benchmark.select(F.col("item_id").alias("item_id"), "text"))
     windows = items.select("item_id", F.col("n_words").alias("item_words"), F.col("slots").alias("item_slots"), F.explode_outer("hs").alias("x")).where("x is not null")
     windows = staged(windows.select("item_id", "item_words", "item_slots", F.col("x.pos").alias("item_pos"), F.col("x.h").alias("h"), F.col("x.wide").alias("item_wide")), "decontamination-items")
     few = windows.count() <= BROADCAST_WINDOWS
     short = [r[0] for r in windows.where(F.col("item_words") < WINDOW).select("item_words").distinct().collect()]
-    found = _templates(numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), "text"), [*sorted(short), WINDOW]).select("uid", "doc_id", "slots", F.explode_outer("hs").alias("x"))
-    found = found.select("uid", "doc_id", "slots", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.wide").alias("wide"))
-    met = found.join(F.broadcast(windows) if few else windows, "h")
+    sizes = [*sorted(short), WINDOW]
+    texts = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = _templates(texts, sizes).select("uid", "doc_id", F.explode_outer("hs").alias("x"))
+    found = found.select("uid", "doc_id", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.wide").alias("wide"))
+    met = staged(found.join(F.broadcast(windows) if few else windows, "h"), "decontamination-windows")
+    # slots only of texts that meet an item, as each window would carry them all
+    slots = _templates(texts.join(met.select("uid").distinct(), "uid", "left_semi"), sizes).select("uid", "slots")
+    met = met.join(slots, "uid")
     size = F.least(F.lit(WINDOW), F.col("item_words"))
     inside = F.filter("item_slots", lambda s: (s["pos"] >= F.col("item_pos")) & (s["pos"] < F.col("item_pos") + size))
 
