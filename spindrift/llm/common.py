@@ -15,9 +15,15 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of the driver's own only if that is unset, as in tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (driver and executors in one process, as in tests) gets a folder of its own;
+    on a cluster that is an error, as executors would not see each other's files.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -29,7 +35,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; later jobs survive lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,22 +44,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Plan nodes that give the same rows in the same order each time, whatever columns are asked for.
-_REPEATABLE = ("Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "View")
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores in front as it takes to clash with none of ``taken`` (names ignore case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
 
 
-def repeatable(docs: DataFrame) -> DataFrame:
-    """``docs``, or a staged copy if a shuffle or a user function in its plan could order rows anew each time.
+def row_copy(docs: DataFrame, tag: str, *columns: Column | str) -> tuple[DataFrame, str]:
+    """A staged copy of ``columns`` (all, if none are named) with a row id, and the id's name.
 
-    Operators that read ``docs`` more than once and join by ``numbered`` ids start with this.
+    Ids made while a table is scanned depend on how its files are split, hence on the cluster's size at that
+    moment. Operators that read rows more than once and join by id read this copy, whose ids are stored.
     """
-    plan = docs._jdf.queryExecution().analyzed().toString()
-    nodes = [re.sub(r"^[\s:+'~-]*", "", line).split(" ")[0].split("[")[0].rstrip(",") for line in plan.splitlines() if line.strip()]
-    return docs if all(n in _REPEATABLE for n in nodes) else staged(docs, "documents")
+    uid = fresh(docs.columns, "uid") if not columns else "uid"
+    return staged(docs.select(F.monotonically_increasing_id().alias(uid), *(columns or docs.columns)), tag), uid
+
+
+def texts_of(docs: DataFrame, tag: str) -> DataFrame:
+    """(uid, doc_id, text) of all rows, staged: rows stay apart even where doc_id is null or repeated."""
+    return row_copy(docs, tag, F.col("doc_id").cast("long").alias("doc_id"), "text")[0]
 
 
-def numbered(docs: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` of ``docs`` with a row id ``uid``: rows stay apart even where doc_id is null or repeated."""
+def numbered(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` of ``docs`` with a row id ``uid`` for use inside one scan; see ``row_copy`` for ids that are joined later."""
     return docs.select(F.monotonically_increasing_id().alias("uid"), *columns)
 
 

@@ -1,11 +1,14 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
 Numbers, units and names become typed placeholders, so that a question asked again with other values has
-the same template. There are three templates of a text: without names, so that copies don't depend on case and
-on where a name stands; with names inside sentences; and with every capitalised word. Windows of template words are hash-joined to those of the benchmark items; where they
-meet, the values in the placeholders are held against each other: in a re-parameterised question one
-value of the item always stands for the same value in the document. Each occurrence is judged by itself,
-as a document may hold an item several times with several sets of values.
+the same template. There are two templates of a text: ``plain`` keeps names as words, so that copies don't depend on
+case; ``typed`` makes every capitalised word a name. Windows of template words are hash-joined to those of the
+benchmark items; where they meet, the values in the placeholders are held against each other: in a
+re-parameterised question one value of the item always stands for the same value in the document. Each
+occurrence is judged by itself, as a document may hold an item several times with several sets of values.
+
+A number right after a number keeps its value: a table of numbers would otherwise be one placeholder for ever,
+alike in every document.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, repeatable, staged
+from .common import row_copy, staged
 
 #: Words in a window (all of a shorter item), and item words that must be covered on the whole (all of a shorter item).
 WINDOW, COVERED = 8, 13
@@ -21,60 +24,78 @@ WINDOW, COVERED = 8, 13
 SHORT = 4
 #: Private-use characters for a number, a unit and a name.
 NUM, UNIT, NAME = "\ue000", "\ue001", "\ue002"
-#: Private-use characters before a capitalised word inside a sentence, before any other, and after either.
-INNER, WIDE, END = "\ue003", "\ue004", "\ue005"
 #: Words that count as units right after a number. Fixed values.
-UNITS = "km|m|cm|mm|mi|miles?|feet|ft|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|l|ml|lit(?:er|re)s?|hours?|hrs?|h|min(?:utes?)?|sec(?:onds?)?|s|days?|weeks?|months?|years?|percent|dollars?|euros?|cents?|meters?|metres?|kph|mph|degrees?"
-#: Windows of the benchmark that may be broadcast (about 100 bytes each); more are joined by shuffle.
+UNITS = (
+    "km m cm mm mi mile miles foot feet ft inch inches kg g mg lb lbs pound pounds ton tons l ml liter liters litre litres "
+    "hour hours hr hrs h min minute minutes sec second seconds s day days week weeks month months year years "
+    "percent dollar dollars euro euros cent cents meter meters metre metres kph mph degree degrees"
+).split()
+#: Windows of the benchmark that may be broadcast (under 100 bytes each); more are joined by shuffle.
 BROADCAST_WINDOWS = 300_000
+#: Parts that the documents' windows of one hash are dealt to in that shuffle, as one may stand in a third of all documents.
+PARTS = 16
 
 
-def _plain(text: Column) -> Column:
-    """Only letters, digits, placeholders, marks and white space are left."""
-    return F.regexp_replace(text, f"[^\\p{{L}}\\p{{N}}{NUM}-{END}\\s]+", "")
+def _is_number(word: Column) -> Column:
+    return (word >= "0") & (word < ":")
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, "\\s+"), "")
+def _followed(hashes: str, others: str, by: int) -> Column:
+    """Hash of each element with that of ``others`` which stands ``by`` places on; shorter by so many."""
+    return F.zip_with(F.slice(hashes, 1, F.greatest(F.size(others) - by, F.lit(0))), F.slice(others, by + 1, F.greatest(F.size(others) - by, F.lit(0))), lambda x, y: F.xxhash64(x, y))
 
 
-def _starts(words: str, size: int | Column) -> Column:
-    return F.sequence(F.lit(0), F.size(words) - size)
+def _window_hashes(rows: DataFrame, words: str, size: int, name: str) -> DataFrame:
+    """Add ``name``: one hash for each window of ``size`` of the hashes in ``words``, put together from windows of 1, 2, 4, ..."""
+    rows, have, width = rows.withColumn(name, F.col(words)).withColumn("_power", F.col(words)), 0, 1
+    while width <= size:
+        if size & width:
+            rows = rows.withColumn(name, _followed(name, "_power", have) if have else F.col("_power"))
+            have += width
+        if 2 * width <= size:
+            rows = rows.withColumn("_power", _followed("_power", "_power", width))
+        width *= 2
+    return rows.drop("_power")
 
 
-def _changed(words: str, other: str, size: int | Column) -> Column:
-    """Starts of the windows in which two templates differ."""
-    places = F.filter(F.transform(words, lambda w, i: F.when(w != F.get(other, i), i)), lambda i: i.isNotNull())
-    return F.array_distinct(F.flatten(F.transform(places, lambda i: F.sequence(F.greatest(i - size + 1, F.lit(0)), F.least(i, F.size(words) - size)))))
+def _templates(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``words`` (letters and digits alone, case kept), and the word hashes ``plain`` and ``typed`` of the two templates."""
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\p{L}\\p{N}\\s]+", "")
+    rows = rows.withColumn("words", F.array_remove(F.split(bare, "\\s+"), "")).drop("text")
 
+    def plain(word: Column, i: Column) -> Column:
+        before = F.get("words", i - 1)
+        unit = word.isin(UNITS) & _is_number(before)
+        return F.xxhash64(F.when(_is_number(word) & ~F.coalesce(_is_number(before), F.lit(False)), NUM).when(unit, UNIT).otherwise(F.lower(word)))
 
-def _windows(size: int | Column) -> Column:
-    """Hashes of windows as (pos, h, wide): of ``plain``, and of ``inner`` and ``every`` where these differ."""
+    def typed(word: Column, hashed: Column) -> Column:
+        return F.when((word >= "A") & (word < "[") & F.substring(word, 2, 1).between("a", "z"), F.xxhash64(F.lit(NAME))).otherwise(hashed)
 
-    def hashed(words: str, starts: Column, wide: bool) -> Column:
-        return F.transform(starts, lambda i: F.struct(i.cast("int").alias("pos"), F.xxhash64(F.slice(words, i + 1, size)).alias("h"), F.lit(wide).alias("wide")))
+    return rows.withColumn("plain", F.transform("words", plain)).withColumn("typed", F.zip_with("words", "plain", typed))
 
-    found = F.concat(hashed("plain", _starts("plain", size), False), hashed("inner", _changed("inner", "plain", size), False), hashed("every", _changed("every", "inner", size), True))
-    return F.when(F.size("plain") >= F.greatest(F.lit(1), F.lit(size) if isinstance(size, int) else size), found)
 
+def _windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(..., pos, h, typed): windows of ``sizes`` words of ``plain``, and of ``typed`` where that differs."""
+    kept = [c for c in rows.columns if c not in ("words", "plain", "typed")]
+    found = []
+    for size in sizes:
+        rows = _window_hashes(_window_hashes(rows, "plain", size, "hp"), "typed", size, "ht")
+        # a size belongs to the hash: an item of fewer words is no part of a longer one's windows
+        pairs = F.arrays_zip(F.col("hp"), F.col("ht"))
+        changed = F.filter(F.transform(pairs, lambda x, i: F.when(x["hp"] != x["ht"], F.struct(i.alias("pos"), x["ht"].alias("h"), F.lit(True).alias("typed")))), lambda x: x.isNotNull())
+        plain = F.transform("hp", lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(False).alias("typed")))
+        rows = rows.withColumn(f"_w{size}", F.concat(plain, changed)).drop("hp", "ht")
+        found.append(f"_w{size}")
+    every = F.concat(*found) if len(found) > 1 else F.col(found[0])
+    # outer, as Spark would push "not empty" below an inner explode and hash each window again there
+    return rows.select(*kept, F.explode_outer(every).alias("x")).where("x is not null").select(*kept, F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.typed").alias("typed"))
 
-def _templates(rows: DataFrame, sizes: list[int] | None = None) -> DataFrame:
-    """Adds hs, the windows of ``sizes`` words, or of ``WINDOW`` words and all of a shorter text; slots, an array of
-    (pos, value, wide) of the placeholders; n_words. Wide ones are names only where every capitalised word is one.
-    """
-    t = F.coalesce("text", F.lit(""))
-    numbers = F.regexp_replace(t, "(?<!\\S)[^\\sA-Za-z]*[0-9]\\S*", NUM)
-    units = F.regexp_replace(numbers, f"(?i){NUM}\\s+(?:{UNITS})(?![\\p{{L}}\\p{{N}}])", f"{NUM} {UNIT}")
-    names = F.regexp_replace(units, "(?<![^\\s\"'(\\[\u201c\u2018\u00ab])([A-Z][a-z]+)(?![A-Za-z])", f"{WIDE}$1{END}")
-    marked = F.regexp_replace(names, f"([a-z,;{UNIT}{END}]\\s+){WIDE}", f"$1{INNER}")
-    rows = rows.select(*[c for c in rows.columns if c != "text"], F.lower(_plain(marked)).alias("m"), _words(F.lower(_plain(t))).alias("values"))
-    inner = F.regexp_replace("m", f"{INNER}[^{END}]*{END}", NAME)
-    every = F.regexp_replace("m", f"[{INNER}{WIDE}][^{END}]*{END}", NAME)
-    # each has as many words as the text itself
-    rows = rows.select(*[c for c in rows.columns if c != "m"], *(_words(F.translate(x, INNER + WIDE + END, "")).alias(n) for x, n in ((F.col("m"), "plain"), (inner, "inner"), (every, "every"))))
-    slots = F.transform("values", lambda v, i: F.when(v != F.get("every", i), F.struct(i.alias("pos"), v.alias("value"), (F.get("every", i) != F.get("inner", i)).alias("wide"))))
-    hs = _windows(F.least(F.lit(WINDOW), F.size("plain"))) if sizes is None else F.flatten(F.array_compact(F.array(*(_windows(n) for n in sizes))))
-    return rows.select(*[c for c in rows.columns if c not in ("values", "plain", "inner", "every")], F.size("plain").alias("n_words"), F.array_compact(slots).alias("slots"), hs.alias("hs"))
+
+def _slots(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``slots``: (pos, value, name) of the words that a template replaces."""
+    word = F.transform("words", lambda w, i: F.struct(i.alias("pos"), F.lower(w).alias("value"), F.xxhash64(F.lower(w)).alias("h")))
+    slot = F.transform(word, lambda x: F.when((F.get("plain", x["pos"]) != x["h"]) | (F.get("typed", x["pos"]) != x["h"]), F.struct(x["pos"].alias("pos"), x["value"].alias("value"), (F.get("plain", x["pos"]) == x["h"]).alias("name"))))
+    return rows.withColumn("slots", F.filter(slot, lambda x: x.isNotNull())).drop("words", "plain", "typed")
 
 
 def _occurrences(met: DataFrame) -> DataFrame:
@@ -82,56 +103,70 @@ def _occurrences(met: DataFrame) -> DataFrame:
 
     Parts are the whole document, the diagonals (pos - item_pos) less than ``WINDOW`` apart from one to the
     next, as words put in or left out move a copy along, and each diagonal alone, as versions of a short item
-    may follow each other that closely. Each is judged without wide rows and with them, as wide slots add to the slots.
+    may follow each other that closely. Each is judged by plain windows alone and by all, as names add to the slots.
     """
     rows = met.withColumn("diagonal", (F.col("pos") - F.col("item_pos")).cast("long"))
     along = Window.partitionBy("uid", "item_id").orderBy("diagonal")
     rows = rows.withColumn("starts", (F.col("diagonal") - F.lag("diagonal").over(along) >= WINDOW).cast("long"))
     rows = rows.withColumn("near", F.coalesce(F.sum("starts").over(along), F.lit(0)))
     parts = [F.concat_ws(":", F.lit(kind), at.cast("string")) for kind, at in (("whole", F.lit(0)), ("near", F.col("near")), ("diagonal", F.col("diagonal")))]
-    parts = F.array(*(F.concat_ws(":", part, F.lit(ending)) for part in parts for ending in ("basic", "wide")))
-    return rows.withColumn("part", F.explode(parts)).where(F.col("part").endswith("wide") | ~F.col("wide")).drop("starts", "near", "diagonal")
+    parts = F.array(*(F.concat_ws(":", part, F.lit(ending)) for part in parts for ending in ("plain", "typed")))
+    return rows.withColumn("part", F.explode(parts)).where(F.col("part").endswith("typed") | ~F.col("typed")).drop("starts", "near", "diagonal")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and benchmark item that it holds: of its occurrences that pass, the one covered most and changed least.
+def _met(rows: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """(uid, doc_id, item_id, item_words, pos, item_pos, typed): windows of ``rows`` that an item has.
 
-    Columns: uid (row of ``docs``), doc_id, item_id, covered (item words in shared windows), item_words,
-    n_slots (pairs of values compared), n_changed (pairs that differ), kind (``exact`` or
-    ``reparameterised``). Null and empty texts hold nothing; an item under ``WINDOW`` words is found
-    where all of it stands, with other values only if ``SHORT`` words are no slots. Repeated rows and null ids are rows of their own. Empty tables give an empty
-    result.
+    Where a window repeats, its k-th place in the document meets its k-th place in the item, counted round:
+    a repeating text doesn't meet a repeating item in every pair of places.
     """
-    docs = repeatable(docs)
-    # outer, as Spark would push "not empty" below an inner explode and hash each window again and again there
-    items = _templates(benchmark.select(F.col("item_id").alias("item_id"), "text"))
-    windows = items.select("item_id", F.col("n_words").alias("item_words"), F.col("slots").alias("item_slots"), F.explode_outer("hs").alias("x")).where("x is not null")
-    windows = staged(windows.select("item_id", "item_words", "item_slots", F.col("x.pos").alias("item_pos"), F.col("x.h").alias("h"), F.col("x.wide").alias("item_wide")), "decontamination-items")
-    few = windows.count() <= BROADCAST_WINDOWS
-    short = [r[0] for r in windows.where(F.col("item_words") < WINDOW).select("item_words").distinct().collect()]
-    sizes = [*sorted(short), WINDOW]
-    texts = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = _templates(texts, sizes).select("uid", "doc_id", F.explode_outer("hs").alias("x"))
-    found = found.select("uid", "doc_id", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.wide").alias("wide"))
-    met = staged(found.join(F.broadcast(windows) if few else windows, "h"), "decontamination-windows")
-    # slots only of texts that meet an item, as each window would carry them all
-    slots = _templates(texts.join(met.select("uid").distinct(), "uid", "left_semi"), sizes).select("uid", "slots")
-    met = met.join(slots, "uid")
+    found = _windows(_templates(rows), sizes)
+    again = Window.partitionBy("item_id", "h").orderBy("item_pos")
+    items = items.withColumn("turn", F.row_number().over(again) - 1).withColumn("turns", F.count(F.lit(1)).over(Window.partitionBy("item_id", "h")))
+    items = items.select("item_id", "item_words", "h", "item_pos", "turn", "turns", F.col("typed").alias("item_typed"))
+    if items.count() <= BROADCAST_WINDOWS:
+        met = found.join(F.broadcast(items), "h")
+    else:
+        met = found.withColumn("_deal", F.pmod("uid", F.lit(PARTS))).join(items.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).cast("long")), ["h", "_deal"]).drop("_deal")
+    once = Window.partitionBy("uid", "item_id", "h", "item_pos").orderBy("pos")
+    return met.withColumn("k", F.row_number().over(once) - 1).where(F.col("k") % F.col("turns") == F.col("turn"))
+
+
+def _matches(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``matches`` of rows (uid, doc_id, text) that give the same whenever they are read."""
+    items = _templates(benchmark.select("item_id", "text")).withColumn("item_words", F.size("words")).where("item_words > 0")
+    items = staged(items.select("item_id", "item_words", "words", "plain", "typed"), "decontamination-items")
+    sizes = sorted({*(r[0] for r in items.where(F.col("item_words") < WINDOW).select("item_words").distinct().collect()), WINDOW})
+    # an item's windows are as long as itself where it is short: at most WINDOW - 1 such sizes
+    windows = None
+    for size in sizes:
+        of = items.where(F.col("item_words") == size if size < WINDOW else F.col("item_words") >= size)
+        of = _windows(of, [size]).withColumnRenamed("pos", "item_pos")
+        windows = of if windows is None else windows.union(of)
+    windows = staged(windows, "decontamination-windows")
+    met = staged(_met(rows, windows, sizes).select("uid", "doc_id", "item_id", "item_words", "pos", "item_pos", (F.col("typed") | F.col("item_typed")).alias("typed")), "decontamination-met")
+    # slots only of texts that meet an item
+    slots = _slots(_templates(rows.join(met.select("uid").distinct(), "uid", "left_semi").drop("doc_id"))).select("uid", "slots")
+    item_slots = _slots(items).select("item_id", F.col("slots").alias("item_slots"))
     size = F.least(F.lit(WINDOW), F.col("item_words"))
-    inside = F.filter("item_slots", lambda s: (s["pos"] >= F.col("item_pos")) & (s["pos"] < F.col("item_pos") + size))
+
+    def inside(slots: str, start: str) -> Column:
+        return F.filter(slots, lambda s: (s["pos"] >= F.col(start)) & (s["pos"] < F.col(start) + size))
 
     def paired(s: Column) -> Column:
         """An item's slot and what the document has there; the same word if that is no slot of the document."""
-        there = F.filter("slots", lambda d: d["pos"] == s["pos"] - F.col("item_pos") + F.col("pos"))
-        return F.struct(s["value"].alias("asked"), F.coalesce(F.get(there, F.lit(0))["value"], s["value"]).alias("has"), s["wide"].alias("wide"))
+        there = F.filter("there", lambda d: d["pos"] == s["pos"] - F.col("item_pos") + F.col("pos"))
+        return F.struct(s["value"].alias("asked"), F.coalesce(F.get(there, F.lit(0))["value"], s["value"]).alias("has"), s["name"].alias("name"))
 
-    met = met.select("uid", "doc_id", "item_id", "item_words", "pos", "item_pos", (F.col("wide") | F.col("item_wide")).alias("wide"), F.transform(inside, paired).alias("pairs"))
-    met = _occurrences(staged(met, "decontamination-met"))
+    # one window's slots at a time, eight at most
+    held = met.join(item_slots, "item_id").withColumn("here", inside("item_slots", "item_pos")).drop("item_slots")
+    held = held.join(slots, "uid").withColumn("there", inside("slots", "pos")).drop("slots")
+    met = _occurrences(staged(held.withColumn("pairs", F.transform("here", paired)).drop("here", "there"), "decontamination-slots"))
     places = met.select("uid", "doc_id", "item_id", "part", "item_words", "item_pos").distinct()
     following = F.lead("item_pos").over(Window.partitionBy("uid", "item_id", "part").orderBy("item_pos"))
     covered = places.withColumn("w", F.least(size, F.coalesce(following - F.col("item_pos"), size)))
     covered = covered.groupBy("uid", "doc_id", "item_id", "part", "item_words").agg(F.sum("w").cast("long").alias("covered"))
-    pairs = met.select("uid", "item_id", "part", F.explode("pairs").alias("pair")).where(F.col("part").endswith("wide") | ~F.col("pair.wide")).select("uid", "item_id", "part", F.struct("pair.asked", "pair.has").alias("pair")).distinct()
+    pairs = met.select("uid", "item_id", "part", F.explode("pairs").alias("pair")).where(F.col("part").endswith("typed") | ~F.col("pair.name")).select("uid", "item_id", "part", F.struct("pair.asked", "pair.has").alias("pair")).distinct()
     by_value = pairs.groupBy("uid", "item_id", "part", F.col("pair.asked").alias("asked")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("pair.asked") != F.col("pair.has")).cast("long")).alias("changed"))
     slots = by_value.groupBy("uid", "item_id", "part").agg(F.count(F.lit(1)).alias("n_slots"), F.sum((F.col("changed") > 0).cast("long")).alias("n_changed"), F.sum((F.col("n") > 1).cast("long")).alias("n_torn"))
     whole = covered.join(slots, ["uid", "item_id", "part"], "left").na.fill(0, ["n_slots", "n_changed", "n_torn"])
@@ -147,9 +182,25 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("uid", "doc_id", "item_id", "best.covered", F.col("item_words").cast("long").alias("item_words"), "best.n_slots", n_changed.alias("n_changed"), F.when(n_changed > 0, "reparameterised").otherwise("exact").alias("kind"))
 
 
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document and benchmark item that it holds: of its occurrences that pass, the one covered most and changed least.
+
+    Columns: uid (row of ``docs``), doc_id, item_id, covered (item words in shared windows), item_words,
+    n_slots (pairs of values compared), n_changed (pairs that differ), kind (``exact`` or
+    ``reparameterised``). Null and empty texts hold nothing; an item under ``WINDOW`` words is found
+    where all of it stands, with other values only if ``SHORT`` words are no slots. Repeated rows and null ids are rows of
+    their own; other columns are not read. Empty tables give an empty result.
+    """
+    rows, _ = row_copy(docs, "decontamination-texts", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _matches(rows, benchmark)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; all columns stay."""
-    docs = repeatable(docs)
-    held = matches(docs, benchmark).select("uid").distinct()
-    rows = docs.withColumn("_uid", F.monotonically_increasing_id())
-    return rows.join(held.select(F.col("uid").alias("_uid")), "_uid", "left_anti").drop("_uid")
+    """``docs`` without those that hold a benchmark item; all columns stay, whatever their names.
+
+    Null and empty texts stay, and so does each of several equal rows that hold nothing; an empty table
+    gives an empty result, an empty benchmark all rows.
+    """
+    rows, uid = row_copy(docs, "decontamination-rows")
+    held = _matches(rows.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark)
+    return rows.join(held.select(F.col("uid").alias(uid)).distinct(), uid, "left_anti").drop(uid)

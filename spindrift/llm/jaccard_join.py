@@ -15,11 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, repeatable, staged
+from .common import row_copy, staged, texts_of
 from .components import components
 from .shingles import chunks, mix, shingle_sets
 
@@ -30,8 +31,9 @@ SMALLEST, SHARED = 8, 3
 OFTEN, COMMON = 32, 200_000
 #: Shingles a task counts at a time.
 COUNTED = 6_000_000
-#: Bits of the filter that keeps texts without candidates from being shuffled; fixed, so it only gets less sharp.
-FILTER_WORDS = 1 << 17
+#: Words of the bit filter that keeps texts without candidates from being shuffled (1 MB), and the ids up to which it is
+#: sharp; more ids select their texts by a join.
+FILTER_WORDS, FILTER_IDS = 1 << 17, 1_000_000
 #: Sets in one prefix tree.
 TREE = 256
 
@@ -79,7 +81,7 @@ def tree_links(probe: np.ndarray, sets: list[np.ndarray], threshold: int) -> lis
     return links
 
 
-def _sets(docs: DataFrame, length: int) -> DataFrame:
+def _sets(rows: DataFrame, length: int) -> DataFrame:
     """Two kinds of rows: of documents (token null), and of shingles that a task met in several sets (uid null)."""
     fields = ["uid", "doc_id", "n", "s1", "s2", "smallest", "token", "cnt"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
@@ -113,7 +115,7 @@ def _sets(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield often(held)
 
-    return numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "uid long, doc_id long, n long, s1 long, s2 long, smallest array<long>, token long, cnt long")
+    return rows.select("uid", "doc_id", "text").mapInArrow(scan, "uid long, doc_id long, n long, s1 long, s2 long, smallest array<long>, token long, cnt long")
 
 
 def _common(found: DataFrame) -> dict[int, int]:
@@ -130,10 +132,10 @@ def _common(found: DataFrame) -> dict[int, int]:
     return dict(zip(got["token"].tolist(), got["cnt"].tolist(), strict=True))
 
 
-def _postings(docs: DataFrame, length: int, threshold: int, common: dict[int, int]) -> DataFrame:
+def _postings(rows: DataFrame, length: int, threshold: int, common: dict[int, int]) -> DataFrame:
     """(token, uid, n, pos): prefixes in the global order, of one document for each set that a task meets."""
     order = np.array(sorted(common), np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast((order, np.array([common[t] for t in order.tolist()], np.int64)))
+    sent = rows.sparkSession.sparkContext.broadcast((order, np.array([common[t] for t in order.tolist()], np.int64)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = sent.value
@@ -159,28 +161,33 @@ def _postings(docs: DataFrame, length: int, threshold: int, common: dict[int, in
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["token", "uid", "n", "pos"])
 
-    return numbered(docs, "text").mapInArrow(scan, "token long, uid long, n int, pos int")
+    return rows.select("uid", "text").mapInArrow(scan, "token long, uid long, n int, pos int")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, length: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose sets link; a and b are row ids of ``docs``."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid")))
-    bit = F.pmod(F.xxhash64("uid"), F.lit(FILTER_WORDS * 64))
-    bits = ids.select((bit / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(uid), {FILTER_WORDS * 64}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+def _wanted(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(uid, text) of the rows that a pair names, and few others."""
+    ids = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
+    if ids.count() > FILTER_IDS:
+        return rows.select("uid", "text").join(ids, "uid", "left_semi")
+    place = F.pmod(F.xxhash64("uid"), F.lit(FILTER_WORDS * 64))
+    one = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(uid), {FILTER_WORDS * 64}) % 64 as int))")
+    bits = ids.select((place / 64).cast("int").alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     words = np.zeros(FILTER_WORDS, np.int64)
-    for r in bits.toLocalIterator():  # at most FILTER_WORDS rows, whatever the input
+    for r in bits.toLocalIterator():  # at most FILTER_WORDS rows
         words[r["w"]] = r["b"]
-    sent = spark.sparkContext.broadcast(words.view(np.uint64))
+    sent = rows.sparkSession.sparkContext.broadcast(words.view(np.uint64))
 
     @F.pandas_udf("boolean")
-    def wanted(bits):
-        at = bits.to_numpy()
-        import pandas as pd
-
+    def wanted(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
         return pd.Series((sent.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1)
 
-    texts = numbered(docs, "text").where(wanted(bit))
+    return rows.select("uid", "text").where(wanted(place))
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, length: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) of ``pairs``, a staged table, whose sets link; a and b are row ids."""
+    texts = _wanted(rows, pairs)
     left = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -213,8 +220,12 @@ def jaccard_components(docs: DataFrame, length: int = 5, threshold: int = 75) ->
     their own; a null doc_id is no component's id unless all of its are null. An empty table gives an
     empty result; other columns are not read.
     """
-    docs = repeatable(docs)
-    found = staged(_sets(docs, length), "jaccard-sets")
+    return _components(texts_of(docs, "jaccard-texts"), length, threshold).drop("component")
+
+
+def _components(rows: DataFrame, length: int, threshold: int) -> DataFrame:
+    """``jaccard_components`` of rows (uid, doc_id, text) that give the same whenever they are read."""
+    found = staged(_sets(rows, length), "jaccard-sets")
     own = found.where("uid is not null").select("uid", "doc_id", "n", "s1", "s2", "smallest")
     full = own.where("n > 0")
     classes = full.groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep"))
@@ -227,11 +238,11 @@ def jaccard_components(docs: DataFrame, length: int = 5, threshold: int = 75) ->
     tries = small.join(hubs, ["token", "band"]).where("uid <> hub").groupBy("uid", "hub").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARED)
     best = tries.groupBy("uid").agg(F.max(F.struct("k", (-F.col("hub")).alias("h"))).alias("x"))
     firsts = staged(best.select(F.col("uid").alias("a"), (-F.col("x.h")).alias("b")), "jaccard-first")
-    links = staged(_verified(docs, firsts, length, threshold), "jaccard-first-links")
+    links = staged(_verified(rows, firsts, length, threshold), "jaccard-first-links")
     near = components(links, "jaccard-stars")
 
     # second step: prefixes that meet between those components
-    posts = _postings(docs, length, threshold, _common(found))
+    posts = _postings(rows, length, threshold, _common(found))
     spread = posts.groupBy("token").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo < hi").select("token")
     met = staged(posts.join(spread, "token"), "jaccard-postings")
     labels = table.select("uid", "rep").join(near.select(F.col("node").alias("rep"), "component"), "rep", "left").select("uid", "rep", F.coalesce("component", "rep").alias("component"))
@@ -244,23 +255,25 @@ def jaccard_components(docs: DataFrame, length: int = 5, threshold: int = 75) ->
     room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     fits = (F.col("x.rep") > F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & (room >= need) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = _verified(docs, staged(pairs, "jaccard-pairs"), length, threshold)
+    more = _verified(rows, staged(pairs, "jaccard-pairs"), length, threshold)
 
     known = near.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     whole = components(known.union(staged(more, "jaccard-links")), "jaccard-components")
     of = table.select("uid", "rep").join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left").select("uid", F.coalesce("component", "rep").alias("component"))
     joined = staged(own.select("uid", "doc_id", "n").join(of, "uid", "left").withColumn("component", F.coalesce("component", "uid")), "jaccard-result")
     names = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return joined.join(names, "component").select("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return joined.join(names, "component").select("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "component")
 
 
 def one_of_each(docs: DataFrame, length: int = 5, threshold: int = 75) -> DataFrame:
-    """``docs`` with one document of each component: the one of smallest doc_id. All columns stay."""
-    docs = repeatable(docs)
-    found = jaccard_components(docs, length, threshold)
+    """``docs`` with one document of each component: the one of smallest doc_id. All columns stay, whatever their names.
+
+    Null and empty texts all stay, as they link with nothing; of rows with equal doc_id and text one stays;
+    a null doc_id counts as the greatest. An empty table gives an empty result.
+    """
+    rows, uid = row_copy(docs, "jaccard-rows")
+    found = _components(rows.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), length, threshold)
     # a component may hold a third of all documents: its first is found by aggregation
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")
-    firsts = found.where("component_id is not null").groupBy("component_id").agg(F.min(key).alias("k")).select(F.col("k.uid").alias("uid"))
-    kept = firsts.union(found.where("component_id is null").select("uid"))
-    rows = docs.withColumn("_uid", F.monotonically_increasing_id())
-    return rows.join(kept.select(F.col("uid").alias("_uid")), "_uid", "left_semi").drop("_uid")
+    firsts = found.groupBy("component").agg(F.min(key).alias("k")).select(F.col("k.uid").alias(uid))
+    return rows.join(firsts, uid, "left_semi").drop(uid)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, numbered, staged, utf8_bytes
+from .common import gapless_rank, staged, utf8_bytes
 
 #: Histogram bins of a node in one pass.
 BINS = 4096

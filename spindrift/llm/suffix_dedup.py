@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, repeatable, staged
+from .common import staged, texts_of
 from .shingles import chunks, distinct, window_hashes, words_of
 
 #: Words that a minimiser looks at, and windows of which it is the least.
@@ -40,10 +40,10 @@ def _place(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(7)) % np.uint64(FILTER_WORDS * 64)
 
 
-def repeated_windows(docs: DataFrame, passage: int = 50) -> DataFrame:
-    """(uid, at, other): windows of ``passage`` words, by first word, that another document has too."""
-    spark, tail = docs.sparkSession, passage - WINDOWS + 1
-    rows = numbered(docs, "text")
+def repeated_windows(rows: DataFrame, passage: int = 50) -> DataFrame:
+    """(uid, at, other): windows of ``passage`` words, by first word, that another of ``rows`` (uid, text) has too."""
+    spark, tail = rows.sparkSession, passage - WINDOWS + 1
+    rows = rows.select("uid", "text")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,12 +101,12 @@ def repeated_passages(docs: DataFrame, passage: int = 50) -> DataFrame:
     first window. Null, empty and shorter texts have none; repeats inside one document alone don't count;
     rows with a null or repeated doc_id are documents of their own. An empty table gives an empty result.
     """
-    docs = repeatable(docs)
-    found = staged(repeated_windows(docs, passage), "suffix-windows")
+    rows = texts_of(docs, "suffix-texts")
+    found = staged(repeated_windows(rows, passage), "suffix-windows")
     order = Window.partitionBy("uid").orderBy("at")
     opens = F.coalesce(F.col("at") > F.lag("at").over(order) + passage, F.lit(True)).cast("int")
     runs = found.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order))
     spans = runs.groupBy("uid", "run").agg(F.min("at").alias("start"), (F.max("at") + passage).alias("end"), F.min_by("other", "at").alias("other"))
-    ids = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"))
+    ids = rows.select("uid", "doc_id")
     spans = spans.join(ids, "uid").join(ids.select(F.col("uid").alias("other"), F.col("doc_id").alias("other_doc_id")), "other")
     return spans.select("doc_id", F.col("start").cast("long").alias("start_word"), F.col("end").cast("long").alias("end_word"), (F.col("end") - F.col("start")).cast("long").alias("n_words"), "other_doc_id")
