@@ -75,26 +75,31 @@ def _templates(rows: DataFrame) -> DataFrame:
 
 
 def _windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
-    """(..., pos, h, typed): windows of ``sizes`` words of ``plain``, and of ``typed`` where that differs."""
+    """(..., pos, h, typed): windows of ``sizes`` words of ``plain``, and of ``typed`` where that differs.
+
+    A pass over ``rows`` for each size; all but one stand for items under ``WINDOW`` words, if there are any.
+    """
     kept = [c for c in rows.columns if c not in ("words", "plain", "typed")]
-    found = []
     for size in sizes:
-        rows = _window_hashes(_window_hashes(rows, "plain", size, "hp"), "typed", size, "ht")
-        # a size belongs to the hash: an item of fewer words is no part of a longer one's windows
-        pairs = F.arrays_zip(F.col("hp"), F.col("ht"))
-        changed = F.filter(F.transform(pairs, lambda x, i: F.when(x["hp"] != x["ht"], F.struct(i.alias("pos"), x["ht"].alias("h"), F.lit(True).alias("typed")))), lambda x: x.isNotNull())
-        plain = F.transform("hp", lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(False).alias("typed")))
-        rows = rows.withColumn(f"_w{size}", F.concat(plain, changed)).drop("hp", "ht")
-        found.append(f"_w{size}")
-    every = F.concat(*found) if len(found) > 1 else F.col(found[0])
-    # outer, as Spark would push "not empty" below an inner explode and hash each window again there
-    return rows.select(*kept, F.explode_outer(every).alias("x")).where("x is not null").select(*kept, F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.typed").alias("typed"))
+        rows = _window_hashes(_window_hashes(rows, "plain", size, "_hp"), "typed", size, "_ht")
+        changed = F.zip_with("_hp", "_ht", lambda p, t: F.when(p != t, t))
+        # all of plain, then all of typed, each of which starts anew from 0
+        rows = rows.withColumn(f"_w{size}", F.concat("_hp", changed)).withColumn(f"_n{size}", F.size("_hp")).drop("_hp", "_ht")
+    out = None
+    for size in sizes:
+        n = F.col(f"_n{size}")
+        # outer, as Spark would push "not empty" below an inner explode and hash each window again there
+        of = rows.select(*kept, n, F.posexplode_outer(f"_w{size}").alias("pos", "h")).where("h is not null")
+        of = of.select(*kept, F.when(F.col("pos") < n, F.col("pos")).otherwise(F.col("pos") - n).alias("pos"), "h", (F.col("pos") >= n).alias("typed"))
+        out = of if out is None else out.union(of)
+    return out
 
 
 def _slots(rows: DataFrame) -> DataFrame:
     """``rows`` with ``slots``: (pos, value, name) of the words that a template replaces."""
-    word = F.transform("words", lambda w, i: F.struct(i.alias("pos"), F.lower(w).alias("value"), F.xxhash64(F.lower(w)).alias("h")))
-    slot = F.transform(word, lambda x: F.when((F.get("plain", x["pos"]) != x["h"]) | (F.get("typed", x["pos"]) != x["h"]), F.struct(x["pos"].alias("pos"), x["value"].alias("value"), (F.get("plain", x["pos"]) == x["h"]).alias("name"))))
+    # zipped, as a column that is named inside a function would be computed anew for each word
+    words = F.transform(F.arrays_zip("words", "plain", "typed"), lambda x, i: F.struct(i.alias("pos"), F.lower(x["words"]).alias("value"), x["plain"].alias("plain"), x["typed"].alias("typed"), F.xxhash64(F.lower(x["words"])).alias("h")))
+    slot = F.transform(words, lambda x: F.when((x["plain"] != x["h"]) | (x["typed"] != x["h"]), F.struct(x["pos"].alias("pos"), x["value"].alias("value"), (x["plain"] == x["h"]).alias("name"))))
     return rows.withColumn("slots", F.filter(slot, lambda x: x.isNotNull())).drop("words", "plain", "typed")
 
 
