@@ -14,20 +14,42 @@ from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gapless_rank, numbered, staged
 from .tokens import Vocabulary
 
-#: Word encodings a Python worker keeps; beyond it the memo starts afresh. Changes speed only.
-MEMO_WORDS = 1_000_000
+#: Entries of a memo's young half (some 20 MB); a Python worker holds four halves at most. Changes speed only.
+MEMO_WORDS = 80_000
+#: Characters of texts that are encoded together, but for a text that is longer by itself. Changes memory only.
+CHARS = 1_000_000
 #: Runs of the plan that may be broadcast (48 bytes each); a longer plan is joined by shuffle.
 BROADCAST_RUNS = 200_000
 
 _PIECES = "uid long, doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
+class _Memo:
+    """A bounded memo in two halves: a full young half becomes the old one, and what is used again moves to the young one."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.young) > MEMO_WORDS:
+            self.young, self.old = {}, self.young
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys in neither half; those of the old half move to the young one."""
+        left = keys.difference(self.young)
+        again = left.intersection(self.old)
+        self.young.update((k, self.old[k]) for k in again)
+        return list(left.difference(again))
+
+
 class _IdBytes:
     """Token ids of texts as little-endian 32-bit bytes, with a memo from word to the bytes of its ids.
 
@@ -37,29 +59,34 @@ class _IdBytes:
     _made: dict[str, _IdBytes] = {}
 
     def __init__(self, path: str):
-        self.vocabulary, self.memo, self.pieces = Vocabulary.at(path), {}, {}
+        self.vocabulary, self.words, self.pieces = Vocabulary.at(path), _Memo(), _Memo()
 
     @classmethod
     def at(cls, path: str) -> _IdBytes:
         """One per Python worker and file, so that the memo serves all its tasks."""
-        return cls._made.setdefault(path, cls(path))
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
 
     def _learn(self, words: list[str]) -> None:
-        split = [self.vocabulary.pieces(w) for w in words]
-        missing = list({p for s in split for p in s}.difference(self.pieces))
-        for i in range(0, len(missing), 5000):
-            part = missing[i : i + 5000]
-            self.pieces.update((p, _le32(ids)) for p, ids in zip(part, self.vocabulary.encode_pieces(part), strict=True))
-        self.memo.update((w, b"".join([self.pieces[p] for p in s])) for w, s in zip(words, split, strict=True))
+        for i in range(0, len(words), 5000):
+            part = words[i : i + 5000]
+            split = [self.vocabulary.pieces(w) for w in part]
+            self.pieces.turn()
+            new = self.pieces.missing({p for s in split for p in s})
+            of = self.pieces.young
+            of.update((p, _le32(ids)) for p, ids in zip(new, self.vocabulary.encode_pieces(new), strict=True))
+            self.words.young.update((w, b"".join([of[p] for p in s])) for w, s in zip(part, split, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for memo in (self.memo, self.pieces):
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
+        """Ids of all texts; they should be few or short enough for their words to be held at once."""
         split = [self.vocabulary.words(t) for t in texts]
-        self._learn(list({w for s in split if s is not None for w in s}.difference(self.memo)))
-        memo = self.memo
-        return [_le32(self.vocabulary.encode([t])[0]) if s is None else b"".join([memo[w] for w in s]) for t, s in zip(texts, split, strict=True)]
+        self.words.turn()
+        missing = self.words.missing({w for s in split if s is not None for w in s})
+        if missing:
+            self._learn(missing)
+        of = self.words.young
+        return [_le32(self.vocabulary.encode([t])[0]) if s is None else b"".join([of[w] for w in s]) for t, s in zip(texts, split, strict=True)]
 
 
 def _le32(ids: list[int]) -> bytes:
@@ -69,6 +96,19 @@ def _le32(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
+def _by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most 200 texts, and of about CHARS characters where texts are long."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_pylist()
+    at, held = 0, 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held > CHARS or i - at == 199:
+            yield batch.slice(at, i + 1 - at)
+            at, held = i + 1, 0
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
 def pieces(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2) -> DataFrame:
     """Tokenise and cut: one row per piece (uid, doc_id, start, length, ids_crc32, doc_tokens).
 
@@ -80,8 +120,7 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _IdBytes.at(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for part in _by_size(batch):
                 cols: list[list] = [[] for _ in range(6)]
                 uids, docs_, texts = (part.column(i).to_pylist() for i in range(3))
                 for uid, doc, b in zip(uids, docs_, ids.encode([t or "" for t in texts]), strict=True):

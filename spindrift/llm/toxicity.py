@@ -255,11 +255,18 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those predicted toxic; all columns stay."""
+    """``docs`` without those predicted toxic; all columns stay.
+
+    Null and empty texts get the score of no features and stay where that is low; repeated rows and null ids are
+    rows of their own; an empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    text = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def rate(texts):
-        return texts.map(lambda t: sent.value.score(t or ""))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = sent.value
+        for batch in batches:
+            texts = batch.column(text)
+            yield batch.filter(pa.array([of.score(texts[i].as_py() or "") < 0.5 for i in range(batch.num_rows)], pa.bool_()))
 
-    return docs.where(rate("text") < 0.5)
+    return docs.mapInArrow(clean, docs.schema)
