@@ -130,3 +130,100 @@ def inter_trial(df: DataFrame, active: str, position: str, keys: list[str], lap:
     place = df.withColumn("_i", F.row_number().over(w) - 1)
     turn = F.min_by("_i", F.when(F.col("_i") < within, F.struct(position, "_i"))).over(Window.partitionBy(*keys, lap))
     return place.withColumn("_t", turn).withColumn("iti", ~F.coalesce(F.col(active), F.lit(False)) | (F.col("_i") < F.col("_t"))).drop("_i", "_t")
+
+
+def real_time_frames(frames: DataFrame, events: DataFrame, pre: float, post: float, keys: list[str]) -> DataFrame:
+    """Frames (keys, frame, t) from the first at or after onset - pre up to, but without, the last at or before offset + post."""
+    e = events.withColumn("_a", F.col("onset") - pre).withColumn("_b", F.col("offset") + post).withColumn("_e", F.monotonically_increasing_id())
+    width = 60.0
+    bucket = lambda c: F.floor(c / F.lit(width))
+    reach = e.where("_a <= _b").select(*keys, "_a", "_b", "_e", F.explode(F.sequence(bucket(F.col("_a")), bucket(F.col("_b")))).alias("_bucket"))
+    near = frames.withColumn("_bucket", bucket(F.col("t"))).join(reach, [*keys, "_bucket"]).where("t >= _a and t <= _b")
+    last = F.max("t").over(Window.partitionBy(*keys, "_e"))
+    return near.withColumn("_last", last).where("t < _last").select(*frames.columns).distinct()
+
+
+def masked_by_events(signals: DataFrame, events: DataFrame, keys: list[str], order: str = "frame", value: str = "value") -> DataFrame:
+    """All rows; ``value`` is missing outside the events of the row's own keys (region, lap, ...)."""
+    hit = events.where("onset < offset").select(*keys, F.explode(F.sequence("onset", F.col("offset") - 1)).alias(order)).distinct().withColumn("_in", F.lit(True))
+    return signals.join(hit, [*keys, order], "left").withColumn(value, F.when(F.col("_in"), F.col(value))).drop("_in")
+
+
+def frames_after(events: DataFrame, times: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+    """Adds ``frame`` to events with ``onset``: one more than the number of frame times before it."""
+    a = events.select(*events.columns, F.col("onset").alias("_t"), F.lit(0).alias("_side"))
+    b = times.select(*(F.col(c) if c in keys else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns), F.col(t).cast("double").alias("_t"), F.lit(1).alias("_side"))
+    # events come before a frame of the same time, so that only earlier frames count
+    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b).withColumn("frame", (F.sum("_side").over(w) + 1).cast("int"))
+    return both.where("_side = 0").drop("_t", "_side")
+
+
+def impulses_at_times(events: DataFrame, times: DataFrame, keys: list[str]) -> DataFrame:
+    """A signal over the frames of ``times`` (keys, frame, t) that is 1 at the frame after each onset."""
+    hit = frames_after(events.select(*keys, "onset"), times, keys).select(*keys, "frame").distinct().withColumn("value", F.lit(1.0))
+    return times.select(*keys, "frame").join(hit, [*keys, "frame"], "left").na.fill(0.0, ["value"])
+
+
+def frames_to_times(events: DataFrame, period: float) -> DataFrame:
+    """Events in frames as events in seconds."""
+    return events.withColumn("onset", F.col("onset") * F.lit(float(period))).withColumn("offset", F.col("offset") * F.lit(float(period)))
+
+
+def context_of_samples(df: DataFrame, contexts: DataFrame, keys: list[str], order: str = "frame", iti: str | None = None) -> DataFrame:
+    """Adds ``context``: the name of the context interval [onset, offset) that covers the frame, the greatest of several; none in pauses."""
+    inside = contexts.where("onset < offset").select(*keys, F.explode(F.sequence("onset", F.col("offset") - 1)).alias(order), "name")
+    named = inside.groupBy(*keys, order).agg(F.max("name").alias("context"))
+    out = df.join(named, [*keys, order], "left")
+    return out.withColumn("context", F.when(~F.coalesce(F.col(iti), F.lit(False)), F.col("context"))) if iti else out
+
+
+def context_of_laps(samples: DataFrame, keys: list[str], lap: str = "lap", order: str = "frame") -> DataFrame:
+    """The context of each lap: that of its first sample that has one."""
+    return samples.where("context is not null").groupBy(*keys, lap).agg(F.min_by("context", order).alias("context"))
+
+
+def block_ranges(df: DataFrame, value: str, keys: list[str], order: str = "frame") -> DataFrame:
+    """Half-open ranges of equal values: keys, block, value, start, stop.
+
+    Rows without a value belong to the block before them; each block stops where the next one starts, the last
+    one after the last row.
+    """
+    known = df.where(F.col(value).isNotNull())
+    w = Window.partitionBy(*keys).orderBy(order)
+    first = known.withColumn("_p", F.lag(value).over(w)).where(F.col("_p").isNull() | (F.col("_p") != F.col(value)))
+    end = df.groupBy(*keys).agg((F.max(order) + 1).alias("_end"))
+    out = first.join(end, keys).select(*keys, (F.row_number().over(w) - 1).alias("block"), F.col(value), F.col(order).alias("start"), F.coalesce(F.lead(order).over(w), "_end").alias("stop"))
+    return out
+
+
+def merged_blocks(df: DataFrame, value: str, keys: list[str], order: str = "lap") -> DataFrame:
+    """Blocks of laps as they are walked through lap by lap: like ``block_ranges``, but a last lap of another value is no block of its own."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    last = F.col(order) == F.max(order).over(Window.partitionBy(*keys))
+    kept = df.withColumn("_last", last & F.lag(order).over(w).isNotNull()).withColumn(value, F.when(~F.col("_last"), F.col(value))).drop("_last")
+    return block_ranges(kept, value, keys, order)
+
+
+def spatial_to_time(spatial: DataFrame, positions: DataFrame, keys: list[str], order: str = "frame") -> DataFrame:
+    """Spatial events (keys, onset, offset as positions) as runs of frames strictly inside any of them.
+
+    Few events to an experiment: each frame meets the events of its keys.
+    """
+    met = positions.join(spatial.select(*keys, F.col("onset").alias("_a"), F.col("offset").alias("_b")), keys, "left")
+    inside = met.groupBy(*keys, order).agg(F.max((F.col("position") > F.col("_a")) & (F.col("position") < F.col("_b"))).alias("_in"))
+    return runs(inside, F.col("_in"), keys, order)
+
+
+def spatial_to_bins(spatial: DataFrame, n: int) -> DataFrame:
+    """Positions of spatial events as bins of the ``n`` points from 0 to 1, ends included; a missing end stays missing."""
+    at = lambda c: F.floor(F.col(c) * F.lit(float(n - 1)) + 1e-9).cast("int")
+    return spatial.withColumn("onset", at("onset")).withColumn("offset", at("offset"))
+
+
+def runs_as_positions(runs_: DataFrame, positions: DataFrame, keys: list[str], order: str = "frame") -> DataFrame:
+    """Events in frames as spatial events: the positions at their onset and offset; an offset beyond the last frame is missing."""
+    p = positions.select(*keys, F.col(order).alias("_f"), "position")
+    a = runs_.join(p.withColumnRenamed("_f", "onset").withColumnRenamed("position", "_a"), [*keys, "onset"], "left")
+    b = a.join(p.withColumnRenamed("_f", "offset").withColumnRenamed("position", "_b"), [*keys, "offset"], "left")
+    return b.select(*keys, "run", F.col("_a").alias("onset"), F.col("_b").alias("offset"))

@@ -50,3 +50,15 @@ def nearby(centres: DataFrame, dx: float, dy: float, keys: list[str]) -> DataFra
     b = centres.select(*keys, F.col("roi").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x", dx).alias("_cx"), cell("y", dy).alias("_cy"))
     met = a.join(b, [*keys, "_cx", "_cy"])
     return met.where((F.col("a") < F.col("b")) & (F.abs(F.col("ax") - F.col("bx")) <= dx) & (F.abs(F.col("ay") - F.col("by")) <= dy)).select(*keys, "a", "b")
+
+
+def inside_bounds(pixels: DataFrame, sessions: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+    """Pixels of the masks that keep a pixel inside the image in every session.
+
+    ``sessions`` has (session, yy, yx, dy, xy, xx, dx): a pixel (y, x) lies at (yy y + yx x + dy, xy y + xx x + dx) there.
+    """
+    moved = pixels.join(sessions)
+    y, x = F.col("yy") * F.col("y") + F.col("yx") * F.col("x") + F.col("dy"), F.col("xy") * F.col("y") + F.col("xx") * F.col("x") + F.col("dx")
+    held = moved.groupBy(*keys, "session").agg(F.max((y >= 0) & (y < height) & (x >= 0) & (x < width)).alias("_in"))
+    lost = held.where(~F.col("_in")).select(*keys).distinct()
+    return pixels.join(lost, keys, "left_anti")

@@ -22,8 +22,31 @@ def guarded(value: Column, counted: str, window, least: int) -> Column:
     return F.when(F.count(counted).over(window) >= max(1, least), value)
 
 
+def by_trace(df: DataFrame, keys: list[str], order: str, column: str, name: str, compute) -> DataFrame:
+    """Add ``name``: ``compute`` of the values of ``column`` in order, one trace at a time; missing values are NaN there."""
+
+    def run(pdf):
+        pdf = pdf.sort_values(order)
+        pdf[name] = compute(pdf[column].astype(float))
+        return pdf
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name) + f", `{name}` double"
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
 def rolling(df: DataFrame, how: str, column: str, width: int, name: str, keys: list[str], least: int = 1, q: float = 0.5, order: str = "frame") -> DataFrame:
-    """Add a rolling ``how``: mean, min, max, sum, std, median or quantile (``q``, linear)."""
+    """Add a rolling ``how``: mean, min, max, sum, std, median or quantile (``q``, linear).
+
+    Spark evaluates a sliding frame anew for each row; windows over LAGGED rows slide along each trace in pandas, which keeps
+    the window's sum, order or extremes from one row to the next.
+    """
+    if width > LAGGED:
+
+        def slide(x):
+            w = x.rolling(width, center=True, min_periods=max(1, least))
+            return w.quantile(q) if how == "quantile" else w.std(ddof=0) if how == "std" else getattr(w, how)()
+
+        return by_trace(df, keys, order, column, name, slide)
     w = centred(width, keys, order)
     made = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "std": F.stddev_pop, "median": lambda c: F.percentile(c, F.lit(0.5)), "quantile": lambda c: F.percentile(c, F.lit(q))}[how](column)
     return df.withColumn(name, guarded(made.over(w), column, w, least))
@@ -48,18 +71,19 @@ def gaussian_rolling(df: DataFrame, column: str, width: int, sigma: float, name:
         return df.withColumn(name, F.when(under > 0, top / under))
     kernel = np.array(weights)[::-1]
 
-    def smooth(pdf):
-        pdf = pdf.sort_values(order)
-        x = pdf[column].to_numpy(float)
+    def full(v: np.ndarray) -> np.ndarray:
+        size = 1 << (len(v) + width - 1).bit_length()
+        made = np.fft.irfft(np.fft.rfft(v, size) * np.fft.rfft(kernel, size), size) if width > 512 else np.convolve(v, kernel)
+        return made[(width - 1) // 2 : (width - 1) // 2 + len(v)]
+
+    def smooth(x):
+        x = x.to_numpy(float)
         seen = ~np.isnan(x)
-        lead = (width - 1) // 2
-        full = lambda v: np.convolve(v, kernel)[lead : lead + len(v)]
+        under = full(seen.astype(float))
         with np.errstate(invalid="ignore", divide="ignore"):
-            pdf[name] = full(np.where(seen, x, 0.0)) / full(seen.astype(float))
-        return pdf
+            return np.where(under > 1e-12, full(np.where(seen, x, 0.0)) / under, np.nan)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name) + f", `{name}` double"
-    return df.groupBy(*keys).applyInPandas(smooth, schema)
+    return by_trace(df, keys, order, column, name, smooth)
 
 
 def debounced(df: DataFrame, flag: str, seconds: float, fs: float, name: str, keys: list[str], order: str = "frame") -> DataFrame:
@@ -77,9 +101,8 @@ def zscore(df: DataFrame, column: str, name: str, keys: list[str]) -> DataFrame:
 
 def robust_zscore(df: DataFrame, column: str, name: str, keys: list[str]) -> DataFrame:
     """(x - median) / interquartile range in each group."""
-    w = Window.partitionBy(*keys)
-    q = lambda p: F.percentile(column, F.lit(p)).over(w)
-    return df.withColumn(name, (F.col(column) - q(0.5)) / F.nullif(q(0.75) - q(0.25), F.lit(0.0)))
+    q = df.groupBy(*keys).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    return df.join(q, keys).withColumn(name, (F.col(column) - F.get("_q", F.lit(1))) / F.nullif(F.get("_q", F.lit(2)) - F.get("_q", F.lit(0)), F.lit(0.0))).drop("_q")
 
 
 def interpolated(df: DataFrame, column: str, name: str, keys: list[str], order: str, limit: int | None = None) -> DataFrame:

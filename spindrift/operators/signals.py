@@ -50,10 +50,9 @@ def neuropil_dfof(df: DataFrame, keys: list[str], window: int = 600, sigma: floa
 
 def mad_filter(df: DataFrame, column: str, name: str, keys: list[str], n_mad: float = 3.0) -> DataFrame:
     """Values up to ``n_mad`` median absolute deviations become 0."""
-    w = Window.partitionBy(*keys)
-    centre = df.withColumn("_m", F.percentile(column, F.lit(0.5)).over(w))
-    centre = centre.withColumn("_mad", F.percentile(F.abs(F.col(column) - F.col("_m")), F.lit(0.5)).over(w))
-    return centre.withColumn(name, F.when(F.col(column) > n_mad * F.col("_mad"), F.col(column)).otherwise(0.0)).drop("_m", "_mad")
+    middle = df.groupBy(*keys).agg(F.percentile(column, F.lit(0.5)).alias("_m"))
+    apart = df.join(middle, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col(column) - F.col("_m")), F.lit(0.5)).alias("_mad"))
+    return df.join(apart, keys).withColumn(name, F.when(F.col(column) > n_mad * F.col("_mad"), F.col(column)).otherwise(0.0)).drop("_mad")
 
 
 def transients(df: DataFrame, column: str, keys: list[str], fs: float, on: float = 2.0, off: float = 0.5, shortest: float = 0.1) -> DataFrame:
@@ -183,3 +182,115 @@ def oasis_ar2(df: DataFrame, keys: list[str], decay: float, rise: float, name: s
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name) + f", `{name}` double"
     return df.groupBy(*keys).applyInPandas(solve, schema)
+
+
+def noise(df: DataFrame, column: str, keys: list[str], exclude: DataFrame | None = None, order: str = "frame") -> DataFrame:
+    """Standard deviation of each trace (``sigma``), without the frames of the events in ``exclude`` if given."""
+    from .intervals import frames_in
+
+    rows = df if exclude is None else frames_in(df, exclude, keys, order, inside=False)
+    return rows.groupBy(*keys).agg(F.stddev_pop(column).alias("sigma"))
+
+
+def both_polarities(df: DataFrame, column: str, keys: list[str], fs: float, sigma: DataFrame | None = None) -> DataFrame:
+    """Hysteresis events of traces in units of their noise, upwards and downwards: keys, polarity, onset, offset, amplitude, peak, duration.
+
+    Sessions are keys like regions: the events of all of them come from one plan.
+    """
+    scaled = df.join(noise(df, column, keys) if sigma is None else sigma, keys)
+    z = F.col(column) / F.nullif(F.col("sigma"), F.lit(0.0))
+    turned = scaled.withColumn("polarity", F.explode(F.array(F.lit("positive"), F.lit("negative")))).withColumn("_z", F.when(F.col("polarity") == "positive", z).otherwise(-z))
+    found = hysteresis(turned, "_z", 2.0, 0.5, [*keys, "polarity"])
+    return found.withColumn("duration", (F.col("offset") - F.col("onset")) / F.lit(fs))
+
+
+def pooled_histograms(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``event_histogram`` of upward and of downward events of all sessions together."""
+    return event_histogram(events.where("polarity = 'positive'")), event_histogram(events.where("polarity = 'negative'"))
+
+
+def identified(events: DataFrame, thresholds: DataFrame, shortest: float = 0.1, sigma_bins: int = 7) -> DataFrame:
+    """Events longer than ``shortest`` and than the threshold of their amplitude's bin (``duration_thresholds``); none where that is missing."""
+    a = F.least(F.floor(2 * F.col("amplitude")) - 4, F.lit(sigma_bins - 1)).cast("int")
+    # one row for each amplitude bin
+    met = events.withColumn("a", a).join(F.broadcast(thresholds.select("a", F.col("duration").alias("_least"))), "a")
+    return met.where((F.col("duration") > F.col("_least")) & (F.col("duration") > shortest)).drop("a", "_least")
+
+
+def custom_dfof(df: DataFrame, baseline, smooth=None, value: str = "value") -> DataFrame:
+    """(F - B) / B with a baseline of the user's: ``baseline`` maps a DataFrame to one with a column ``baseline``, ``smooth`` one
+    with a smoothed ``value`` that the baseline is taken of.
+    """
+    base = baseline(smooth(df) if smooth else df)
+    keys = [c for c in df.columns if c != value]
+    out = df.join(base.select(*keys, "baseline"), keys) if smooth else base
+    return out.withColumn("dfof", ratio(F.col(value) - F.col("baseline"), F.col("baseline")))
+
+
+def neuropil_dfof_constant(df: DataFrame, keys: list[str], window: int = 600, sigma: float = 10) -> DataFrame:
+    """``neuropil_dfof`` over one denominator for each trace: the median of its baselines."""
+    out = df.withColumn("_d", F.col("raw") - F.col("npil"))
+    out = maxmin_baseline(out, keys, window, sigma, "_d", "_bd")
+    out = maxmin_baseline(out, keys, window, sigma, "npil", "_bn")
+    middle = out.groupBy(*keys).agg(F.percentile(F.col("_bd") + F.col("_bn"), F.lit(0.5)).alias("_m"))
+    return out.join(middle, keys).withColumn("dfof", ratio(F.col("_d") - F.col("_bd"), F.col("_m"))).drop("_d", "_bd", "_bn", "_m")
+
+
+def spikes_ar1(df: DataFrame, keys: list[str], tau: float = 0.7, fs: float = 10.0, n_mad: float | None = 3.0, value: str = "value", binary: bool = False) -> DataFrame:
+    """Deconvolved spikes of a decay of ``tau`` seconds at ``fs`` frames a second, without those under ``n_mad`` median deviations."""
+    found = oasis_ar1(df, keys, float(np.exp(-1 / (tau * fs))), value=value)
+    if n_mad is not None:
+        found = mad_filter(found, "spikes", "spikes", keys, n_mad)
+    return found.withColumn("spikes", (F.col("spikes") > 0).cast("double")) if binary else found
+
+
+def reconvolved(df: DataFrame, keys: list[str], decay: float = 0.4, rise: float = 0.06, dt: float = 1e-3, spikes: str = "spikes", name: str = "calcium", order: str = "frame") -> DataFrame:
+    """Standardised calcium traces of spikes: the second-order recursion c[i] = s[i] + g1 c[i - 1] + g2 c[i - 2], from the third frame on.
+
+    One trace is one array, folded where it is.
+    """
+    a, b = float(np.exp(-dt / decay)), float(np.exp(-dt / rise))
+    got = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, F.coalesce(F.col(spikes).cast("double"), F.lit(0.0)).alias("v")))).alias("_s"))
+
+    def solve(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for trace in pdf["_v"]:
+                c = np.array(trace, float)
+                for i in range(2, len(c)):
+                    c[i] += (a + b) * c[i - 1] - a * b * c[i - 2]
+                sd = c.std() if len(c) else 0.0
+                out.append(((c - c.mean()) / sd).tolist() if sd > 0 else [None] * len(c))
+            pdf[name] = pd.Series(out, dtype=object)
+            yield pdf[[*keys, "_o", name]]
+
+    arrays = got.select(*keys, F.transform("_s", lambda x: x[order]).alias("_o"), F.transform("_s", lambda x: x["v"]).alias("_v"))
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    made = arrays.mapInPandas(solve, f"{kinds}, _o array<{df.schema[order].dataType.simpleString()}>, `{name}` array<double>")
+    return made.select(*keys, F.explode(F.arrays_zip(F.col("_o").alias(order), F.col(name))).alias("_x")).select(*keys, F.col(f"_x.{order}").alias(order), F.col(f"_x.{name}").alias(name))
+
+
+def each_safely(df: DataFrame, keys: list[str], compute, schema: str, errors: str = "raise") -> DataFrame:
+    """``compute`` (pandas frame to pandas frame of ``schema``) on each group; a group that fails is left out (``ignore``),
+    gives a row with its keys and the message in ``error`` (``warn``), or ends the job (``raise``).
+    """
+    if errors not in ("raise", "warn", "ignore"):
+        raise ValueError(errors)
+
+    def safe(pdf):
+        import pandas as pd
+
+        try:
+            return compute(pdf).assign(error=None)
+        except Exception as e:
+            if errors == "raise":
+                raise
+            return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "error": [f"{type(e).__name__}: {e}"]}) if errors == "warn" else pd.DataFrame()
+
+    from pyspark.sql.types import StringType, StructType
+
+    kind = StructType.fromDDL(schema).add("error", StringType())
+    names = [f.name for f in kind.fields]
+    return df.groupBy(*keys).applyInPandas(lambda pdf: safe(pdf).reindex(columns=names), kind)

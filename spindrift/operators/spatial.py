@@ -74,35 +74,59 @@ def smooth_wrapped(curves: DataFrame, keys: list[str], sigma: float) -> DataFram
     return as_arrays(curves, keys).select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), at)).alias("bin", "smoothed"))
 
 
-def shuffled(df: DataFrame, keys: list[str], lap: str, n_shuffles: int, value: str = "value") -> DataFrame:
-    """Rows (shuffle, keys, lap, position, value) with positions rolled inside each lap.
+#: A prime below 2^31: squares of remainders fit into 64 bits.
+_PRIME = 2147483647
 
-    The offset is pmod(7919 * shuffle + 104729 * lap, rows of the lap): the same for all regions, and the
-    same in every run.
+
+def offsets(shuffle: Column, lap: Column, n: Column, seed: int = 17) -> Column:
+    """A number below ``n`` drawn for each (seed, shuffle, lap): remainders squared three times, so that laps move apart from each other.
+
+    Plain 64-bit arithmetic, the same in every engine and every run.
+    """
+    p = F.lit(_PRIME).cast("long")
+    x = (F.lit(seed).cast("long") + 7919 * shuffle.cast("long") + 104729 * lap.cast("long")) % p
+    for more in (shuffle, lap, F.lit(12345)):
+        x = (x * x + more.cast("long")) % p
+    return x % n
+
+
+def shuffled(df: DataFrame, keys: list[str], lap: str, n_bins: int, n_shuffles: int, value: str = "value") -> DataFrame:
+    """Rows (shuffle, keys, bin, value): bins rolled inside each lap by a number of its own, the same for all regions.
+
+    Each lap is one pair of arrays, rolled where it is: nothing is shuffled for each of the shuffles.
     """
-    w = Window.partitionBy(*keys, lap).orderBy("frame")
-    rows = df.select(*keys, lap, "position", value, (F.row_number().over(w) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(*keys, lap)).alias("n"))
-    spread = rows.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))))
-    moved = spread.withColumn("j", F.pmod(F.col("i") - F.pmod(7919 * F.col("shuffle") + 104729 * F.col(lap), F.col("n")), F.col("n")))
-    return moved.select("shuffle", *keys, lap, F.col("j").alias("i"), value).join(rows.select(*keys, lap, "i", "position"), [*keys, lap, "i"])
+    laps = df.groupBy(*keys, lap).agg(F.sort_array(F.collect_list(F.struct("frame", bin_floor(F.col("position"), n_bins).alias("bin"), F.col(value).alias("v")))).alias("_s"))
+    arrays = laps.select(*keys, lap, F.transform("_s", lambda x: x["bin"]).alias("_bins"), F.transform("_s", lambda x: x["v"]).alias("_values"))
+    drawn = arrays.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1)))).withColumn("_off", offsets(F.col("shuffle"), F.col(lap), F.size("_bins").cast("long")).cast("int"))
+    rolled = F.concat(F.slice("_bins", F.size("_bins") - F.col("_off") + 1, F.col("_off")), F.slice("_bins", F.lit(1), F.size("_bins") - F.col("_off")))
+    pairs = drawn.select("shuffle", *keys, F.explode(F.arrays_zip(rolled.alias("bin"), F.col("_values").alias("value"))).alias("_x"))
+    return pairs.select("shuffle", *keys, F.col("_x.bin").alias("bin"), F.col("_x.value").alias("value"))
 
 
 def null_threshold(df: DataFrame, keys: list[str], lap: str, n_bins: int, n_shuffles: int, p: float) -> DataFrame:
     """By keys and bin, the (1 - p) quantile of pooled curves of shuffled positions."""
-    null = tuning(shuffled(df, keys, lap, n_shuffles), ["shuffle", *keys], n_bins)
+    null = shuffled(df, keys, lap, n_bins, n_shuffles).groupBy("shuffle", *keys, "bin").agg(F.avg("value").alias("value"))
     return null.groupBy(*keys, "bin").agg(F.percentile("value", F.lit(1 - p)).alias("threshold"))
 
 
-def place_fields(df: DataFrame, keys: list[str], lap: str, n_bins: int, n_shuffles: int, p: float, narrowest: int = 1, widest: int | None = None, active_laps: int = 3) -> DataFrame:
-    """Runs of bins (wrapping round) whose pooled curve exceeds the null threshold, active in enough laps."""
-    curve = tuning(df, keys, n_bins).join(null_threshold(df, keys, lap, n_bins, n_shuffles, p), [*keys, "bin"])
-    found = runs(curve, F.col("value") > F.col("threshold"), keys, "bin", circular=n_bins)
+def fields(df: DataFrame, curve: DataFrame, keys: list[str], lap: str, n_bins: int, narrowest: int, widest: int, circular: bool = True) -> DataFrame:
+    """Runs of bins where ``curve`` has value > threshold, with the number of laps whose mean inside is positive.
+
+    Columns: keys, start_bin, stop_bin (the first bin after it; wrapped round), width, active_laps.
+    """
+    found = runs(curve, F.col("value") > F.col("threshold"), keys, "bin", circular=n_bins if circular else None)
     width = F.pmod(F.col("offset") - F.col("onset"), F.lit(n_bins))
-    found = found.withColumn("width", F.when(width == 0, n_bins).otherwise(width)).where((F.col("width") >= narrowest) & (F.col("width") <= (widest or n_bins)))
+    found = found.withColumn("width", F.when(width == 0, n_bins).otherwise(width)).where((F.col("width") >= narrowest) & (F.col("width") <= widest))
     bins = found.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).withColumn("bin", F.pmod(F.col("onset") + F.col("bin"), F.lit(n_bins)).cast("int"))
     by_lap = tuning(df, [*keys, lap], n_bins).join(bins.select(*keys, "run", "bin"), [*keys, "bin"]).groupBy(*keys, "run", lap).agg(F.avg("value").alias("v"))
     active = by_lap.where("v > 0").groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("active_laps"))
-    return found.join(active, [*keys, "run"]).where(F.col("active_laps") >= active_laps).select(*keys, F.col("onset").alias("start_bin"), F.col("offset").alias("stop_bin"), "width", "active_laps")
+    return found.join(active, [*keys, "run"]).select(*keys, F.col("onset").alias("start_bin"), F.col("offset").alias("stop_bin"), "width", "active_laps")
+
+
+def place_fields(df: DataFrame, keys: list[str], lap: str, n_bins: int, n_shuffles: int, p: float, narrowest: int = 1, widest: int | None = None, active_laps: int = 3) -> DataFrame:
+    """Runs of bins (wrapping round) whose pooled curve exceeds the null threshold, active in enough laps."""
+    curve = tuning(df, keys, n_bins).join(null_threshold(df, keys, lap, n_bins, n_shuffles, p), [*keys, "bin"])
+    return fields(df, curve, keys, lap, n_bins, narrowest, widest or n_bins).where(F.col("active_laps") >= active_laps)
 
 
 def information(curves: DataFrame, keys: list[str], share: str | None = None, value: str = "value") -> DataFrame:
@@ -146,6 +170,55 @@ def kuiper(events: DataFrame, occupied: DataFrame, keys: list[str]) -> DataFrame
     return both.withColumn("d", d).groupBy(*keys).agg((F.greatest(F.max("d"), F.lit(0.0)) - F.least(F.min("d"), F.lit(0.0))).alias("kuiper"))
 
 
+def information_terms(curves: DataFrame, keys: list[str], share: str, value: str = "value") -> DataFrame:
+    """Skaggs information bin by bin (``term``, bits): share x rate ratio x its logarithm; their sum is the information."""
+    rate = F.sum(F.col(share) * F.col(value)).over(Window.partitionBy(*keys))
+    return curves.withColumn("term", F.col(share) * log2_term(ratio(F.col(value), rate)))
+
+
+def kuiper_p(statistic: Column, n1: Column, n2: Column, terms: int = 60) -> Column:
+    """Probability of a Kuiper statistic as great by chance, by its asymptotic series, for two samples."""
+    n = n1.cast("double") * n2 / (n1 + n2)
+    lam = (F.sqrt(n) + 0.155 + 0.24 / F.sqrt(n)) * statistic
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda a, j: a + (4.0 * j * j * lam * lam - 1) * F.exp(-2.0 * j * j * lam * lam))
+    return F.when(lam < 0.4, F.lit(1.0)).otherwise(F.least(F.greatest(2 * series, F.lit(0.0)), F.lit(1.0)))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided probability of a Pearson correlation of ``n`` pairs under no correlation, by the finite series of Student's t.
+
+    Null for fewer than three pairs; the series has n / 2 terms.
+    """
+    df = (n - 2).cast("int")
+    even = F.pmod(df, F.lit(2)) == 0
+    cos2 = F.greatest(1 - r * r, F.lit(0.0))  # cos of the angle, squared; its sine is |r|
+    cos, sin = F.sqrt(cos2), F.abs(r)
+    count = F.floor((df - F.when(even, 2).otherwise(3)) / 2).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(a: Column, k: Column) -> Column:
+        odd = F.when(even, (2 * k - 1) / (2 * k)).otherwise(2 * k / (2 * k + 1))
+        term = a["term"] * odd * cos2
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+
+    total = F.aggregate(F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")), start, step)["sum"]
+    inside = F.when(even, sin * total).when(df == 1, 2 / F.lit(math.pi) * F.asin(sin)).otherwise(2 / F.lit(math.pi) * (F.asin(sin) + sin * cos * total))
+    return F.when(df >= 1, F.greatest(1 - inside, F.lit(0.0)))
+
+
+def correlations_with(curves: DataFrame, chosen: DataFrame, key: str, along: str, by: list[str], value: str = "value") -> DataFrame:
+    """Pearson r of each of the ``chosen`` keys with every other key, over ``along``: by, a (chosen), b, r, n."""
+    x = curves.join(chosen.select(key).distinct(), key, "left_semi").select(*by, along, F.col(key).alias("a"), F.col(value).alias("_x"))
+    y = curves.select(*by, along, F.col(key).alias("b"), F.col(value).alias("_y"))
+    return x.join(y, [*by, along]).where("a <> b").groupBy(*by, "a", "b").agg(F.corr("_x", "_y").alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+def normalised_by_peak(curves: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Curves divided by their greatest value, with ``place``: keys in order of the bin where that lies."""
+    w = Window.partitionBy(*keys)
+    return curves.withColumn(value, ratio(F.col(value), F.max(value).over(w)))
+
+
 def autocorrelation(curves: DataFrame, keys: list[str], lags: int) -> DataFrame:
     """Cyclic autocorrelation of each curve about its mean, at lags -lags to lags."""
     n = F.size("curve")
@@ -169,10 +242,10 @@ def curve_correlations(curves: DataFrame, key: str, along: str, by: list[str], v
     return a.join(b, [*by, along]).where("a < b").groupBy(*by, "a", "b").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
 
 
-def cross_correlation(curves: DataFrame, lap: str, keys: list[str], n: int, lags: int) -> DataFrame:
-    """Population cross-correlation of all lap pairs (a < b) at shifts -lags to lags, wrapped round ``n`` bins."""
+def cross_correlation(curves: DataFrame, lap: str, keys: list[str], n: int, first: int, last: int) -> DataFrame:
+    """Population cross-correlation of all lap pairs (a < b) at shifts ``first`` to ``last``, wrapped round ``n`` bins."""
     a = curves.select(*keys, "bin", F.col(lap).alias("a"), F.col("value").alias("x"))
-    b = curves.select(*keys, F.col(lap).alias("b"), F.col("value").alias("y"), F.explode(F.sequence(F.lit(-lags), F.lit(lags))).alias("lag"), F.col("bin").alias("_b")).withColumn("bin", F.pmod(F.col("_b") - F.col("lag"), F.lit(n)).cast("int"))
+    b = curves.select(*keys, F.col(lap).alias("b"), F.col("value").alias("y"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("lag"), F.col("bin").alias("_b")).withColumn("bin", F.pmod(F.col("_b") - F.col("lag"), F.lit(n)).cast("int"))
     return a.join(b, [*keys, "bin"]).where("a < b").groupBy("a", "b", "lag").agg(F.corr("x", "y").alias("r"))
 
 

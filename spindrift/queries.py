@@ -2,46 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import views
 from .functions.numeric import stable
 from .operators import aggregates, catalog, intervals, models, rolling, signals, simulate, spatial
 from .plans import population
+from .registered import ORACLE_SQL, QUERIES, ROI, query, rounded, st  # noqa: F401
 from .sources import behaviour_log
 from .views import read, with_views
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-ROI = ["roi"]
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.select(*(stable(c).alias(c) if c in names else F.col(c) for c in df.columns))
-
-
-def st(x: str, name: str) -> str:
-    """``stable`` in SQL."""
-    return f"round({x} + 1e-8::DOUBLE, 6) AS {name}"
-
-
 # ---------------------------------------------------------------- tuning: the flagship plan
 
 @query(
@@ -301,18 +272,37 @@ def smooth_wrapped(spark, sf_dir):
     return rounded(spatial.smooth_wrapped(views.curves(spark, sf_dir), ROI, 2.0), "smoothed")
 
 
-_NULL = with_views("sig_long") + ", x AS (SELECT roi, lap, position, value, row_number() OVER (PARTITION BY roi, lap ORDER BY frame) - 1 i, count(*) OVER (PARTITION BY roi, lap) n FROM sig_long), sh AS (SELECT s.s shuffle, x.roi, x.lap, x.value, ((x.i - (7919 * s.s + 104729 * x.lap) % x.n) + x.n) % x.n j FROM x, range(20) s(s)), p AS (SELECT sh.shuffle, sh.roi, CAST(floor(x.position * 20.0::DOUBLE) AS INT) bin, avg(sh.value) v FROM sh JOIN x ON x.roi = sh.roi AND x.lap = sh.lap AND x.i = sh.j GROUP BY ALL), th AS (SELECT roi, bin, quantile_cont(v, 0.95) threshold FROM p GROUP BY ALL)"
+#: Offsets of the shuffles in SQL: ``spatial.offsets``.
+_DRAW = "(SELECT *, (x2 * x2 + 12345) % 2147483647 % n off FROM (SELECT *, (x1 * x1 + lap) % 2147483647 x2 FROM (SELECT *, (x0 * x0 + shuffle) % 2147483647 x1 FROM (SELECT *, (17 + 7919 * shuffle + 104729 * lap) % 2147483647 x0 FROM {}))))"
+_NULL = (
+    with_views("sig_long")
+    + ", x AS (SELECT roi, lap, position, value, row_number() OVER (PARTITION BY roi, lap ORDER BY frame) - 1 i, count(*) OVER (PARTITION BY roi, lap) n FROM sig_long), l AS (SELECT DISTINCT roi, lap, n FROM x), o AS (SELECT roi, CAST(lap AS BIGINT) lap, n, CAST(s.s AS BIGINT) shuffle FROM l, range(100) s(s)), d AS "
+    + _DRAW.format("o")
+    + ", sh AS (SELECT d.shuffle, x.roi, x.lap, x.value, (x.i - d.off + x.n) % x.n j FROM x JOIN d USING (roi, lap)), p AS (SELECT sh.shuffle, sh.roi, CAST(floor(x.position * 20.0::DOUBLE) AS INT) bin, avg(sh.value) v FROM sh JOIN x ON x.roi = sh.roi AND x.lap = sh.lap AND x.i = sh.j GROUP BY ALL), th AS (SELECT roi, bin, quantile_cont(v, 0.95) threshold FROM p GROUP BY ALL)"
+)
 
 
 @query("null_threshold", _NULL + f" SELECT roi, bin, {st('threshold', 'threshold')} FROM th")
 def null_threshold(spark, sf_dir):
-    return rounded(spatial.null_threshold(views.sig_long(spark, sf_dir), ROI, "lap", 20, 20, 0.05), "threshold")
+    return rounded(spatial.null_threshold(views.sig_long(spark, sf_dir), ROI, "lap", 20, 100, 0.05), "threshold")
+
+
+_FIELDS = (
+    ", c AS (SELECT roi, CAST(floor(position * 20.0::DOUBLE) AS INT) bin, avg(value) v FROM sig_long GROUP BY ALL), m AS (SELECT c.roi, c.bin frame, c.v > th.threshold f FROM c JOIN th USING (roi, bin)), "
+    "r AS (SELECT *, sum(CASE WHEN f AND NOT coalesce(p, false) THEN 1 ELSE 0 END) OVER (PARTITION BY roi ORDER BY frame) - 1 AS run FROM (SELECT roi, frame, f, lag(f) OVER (PARTITION BY roi ORDER BY frame) p FROM m)), "
+    "g AS (SELECT roi, run, min(frame) a, max(frame) + 1 b FROM r WHERE f GROUP BY roi, run), h AS (SELECT *, min(CASE WHEN a = 0 THEN b END) OVER (PARTITION BY roi) head, max(CASE WHEN b = 20 THEN a END) OVER (PARTITION BY roi) tail FROM g), "
+    "k AS (SELECT roi, a, CASE WHEN head IS NOT NULL AND tail > 0 AND b = 20 THEN head ELSE b END b FROM h WHERE NOT (head IS NOT NULL AND coalesce(tail, 0) > 0 AND a = 0)), "
+    "w AS (SELECT roi, a, b, CASE WHEN (b - a + 20) % 20 = 0 THEN 20 ELSE (b - a + 20) % 20 END width FROM k), "
+    "t AS (SELECT roi, lap, CAST(floor(position * 20.0::DOUBLE) AS INT) bin, avg(value) v FROM sig_long GROUP BY ALL), "
+    "q AS (SELECT w.roi, w.a, w.b, w.width, t.lap, avg(t.v) v FROM w JOIN t ON t.roi = w.roi AND (t.bin - w.a + 20) % 20 < w.width GROUP BY ALL) "
+    "SELECT roi, a AS start_bin, b AS stop_bin, CAST(width AS INT) width, count(*) active_laps FROM q WHERE v > 0 GROUP BY ALL HAVING count(*) >= 3"
+)
 
 
-@query("place_fields")
+@query("place_fields", _NULL + _FIELDS)
 def place_fields(spark, sf_dir):
-    """Place fields by the shuffle test; checked by tests against its parts."""
-    return spatial.place_fields(views.sig_long(spark, sf_dir), ROI, "lap", 20, 20, 0.05)
+    """Place fields by the shuffle test."""
+    return spatial.place_fields(views.sig_long(spark, sf_dir), ROI, "lap", 20, 100, 0.05)
 
 
 @query("information", with_views("sig_long") + f", t AS (SELECT roi, CAST(floor(position * 20.0::DOUBLE) AS INT) bin, avg(value) v, count(*) c FROM sig_long GROUP BY ALL), q AS (SELECT *, c / sum(c) OVER w p, sum(v) OVER w sv, count(*) OVER w n FROM t WINDOW w AS (PARTITION BY roi)), r AS (SELECT *, sum(p * v) OVER (PARTITION BY roi) rate FROM q) SELECT roi, {st('sum(p * v / rate * log2(v / rate))', 'skaggs')}, {st('-sum(v / sv * log2(v / sv))', 'entropy')}, {st('log2(max(n)) + sum(v / sv * log2(v / sv))', 'tuning_score')} FROM r GROUP BY roi")
@@ -363,19 +353,19 @@ def tuning_curve_correlations(spark, sf_dir):
     return rounded(spatial.curve_correlations(t, "lap", "bin", ["roi"]), "r")
 
 
-_XC = with_views("sig_long") + ", t AS (SELECT roi, lap, CAST(floor(position * 20.0::DOUBLE) AS INT) bin, avg(value) v FROM sig_long WHERE lap < 4 GROUP BY ALL), x AS (SELECT a.lap a, b.lap b, l.lag, corr(a.v, b.v) r FROM t a JOIN t b ON a.roi = b.roi AND a.lap < b.lap JOIN (SELECT unnest(range(-3, 4)) lag) l ON a.bin = ((b.bin - l.lag) % 20 + 20) % 20 GROUP BY a.lap, b.lap, l.lag)"
+_XC = with_views("sig_long") + ", t AS (SELECT roi, lap, CAST(floor(position * 20.0::DOUBLE) AS INT) bin, avg(value) v FROM sig_long GROUP BY ALL), x AS (SELECT a.lap a, b.lap b, l.lag, corr(a.v, b.v) r FROM t a JOIN t b ON a.roi = b.roi AND a.lap < b.lap JOIN (SELECT unnest(range(-9, 11)) lag) l ON a.bin = ((b.bin - l.lag) % 20 + 20) % 20 GROUP BY a.lap, b.lap, l.lag)"
 
 
 @query("cross_correlation", _XC + f" SELECT a, b, CAST(lag AS INT) lag, {st('r', 'r')} FROM x")
 def cross_correlation(spark, sf_dir):
-    t = spatial.tuning(views.sig_long(spark, sf_dir).where("lap < 4"), ["roi", "lap"], 20)
-    return rounded(spatial.cross_correlation(t, "lap", ROI, 20, 3), "r")
+    t = spatial.tuning(views.sig_long(spark, sf_dir), ["roi", "lap"], 20)
+    return rounded(spatial.cross_correlation(t, "lap", ROI, 20, -9, 10), "r")
 
 
 @query("spatial_drift", _XC + f" SELECT a, b, {st('max(r)', 'r')}, CAST(min_by(lag, (-r, abs(lag), lag)) AS INT) lag FROM x GROUP BY a, b HAVING max(r) >= 0.05::DOUBLE")
 def spatial_drift(spark, sf_dir):
-    t = spatial.tuning(views.sig_long(spark, sf_dir).where("lap < 4"), ["roi", "lap"], 20)
-    return rounded(spatial.drift(spatial.cross_correlation(t, "lap", ROI, 20, 3), 0.05), "r")
+    t = spatial.tuning(views.sig_long(spark, sf_dir), ["roi", "lap"], 20)
+    return rounded(spatial.drift(spatial.cross_correlation(t, "lap", ROI, 20, -9, 10), 0.05), "r")
 
 
 # ---------------------------------------------------------------- catalog
@@ -472,9 +462,9 @@ def block_tuning(spark, sf_dir):
     return rounded(population.block_tuning(t, ROI, "block", 2), "value")
 
 
-@query("template_correlation", with_views("sig_long") + f", t AS (SELECT roi, lap, CAST(floor(position * 10.0::DOUBLE) AS INT) bin, avg(value) v FROM sig_long WHERE lap < 8 GROUP BY ALL), w AS (SELECT *, CASE WHEN lap >= 4 THEN 1 ELSE 0 END own FROM t), m AS (SELECT *, (coalesce(sum(CASE WHEN own = 1 THEN v END) OVER p, 0) - own * v) / nullif(CAST(count(CASE WHEN own = 1 THEN v END) OVER p - own AS DOUBLE), 0) m FROM w WINDOW p AS (PARTITION BY roi, bin)) SELECT lap, {st('corr(v, m)', 'r')} FROM m GROUP BY lap")
+@query("template_correlation", with_views("sig_long") + f", t AS (SELECT roi, lap, CAST(floor(position * 10.0::DOUBLE) AS INT) bin, avg(value) v FROM sig_long GROUP BY ALL), w AS (SELECT *, CASE WHEN lap > (SELECT max(lap) FROM t) - 4 THEN 1 ELSE 0 END own FROM t), m AS (SELECT *, (coalesce(sum(CASE WHEN own = 1 THEN v END) OVER p, 0) - own * v) / nullif(CAST(count(CASE WHEN own = 1 THEN v END) OVER p - own AS DOUBLE), 0) m FROM w WINDOW p AS (PARTITION BY roi, bin)) SELECT lap, {st('corr(v, m)', 'r')} FROM m GROUP BY lap")
 def template_correlation(spark, sf_dir):
-    t = spatial.tuning(views.sig_long(spark, sf_dir).where("lap < 8"), ["roi", "lap"], 10)
+    t = spatial.tuning(views.sig_long(spark, sf_dir), ["roi", "lap"], 10)
     return rounded(spatial.template_correlation(t, "lap", ROI, 4), "r")
 
 
@@ -507,16 +497,17 @@ def field_clusters(spark, sf_dir):
     return models.kmeans(stats, ["shift", "gain"], 2).select("roi", "cluster")
 
 
-@query("mask_overlap", "WITH p AS (SELECT DISTINCT l_linenumber f, l_suppkey roi, CAST(l_quantity AS INT) y, CAST(l_orderkey % 5 AS INT) x FROM lineitem), s AS (SELECT f, roi, count(*) n FROM p GROUP BY ALL), m AS (SELECT a.f, a.roi a, b.roi b, count(*) k FROM p a JOIN p b ON a.f = b.f AND a.y = b.y AND a.x = b.x AND a.roi < 10 AND b.roi >= 90 GROUP BY ALL) SELECT m.f, m.a, m.b, round(1 - k / (x.n + y.n - k) + 1e-8::DOUBLE, 6) AS distance FROM m JOIN s x ON x.f = m.f AND x.roi = m.a JOIN s y ON y.f = m.f AND y.roi = m.b")
+@query("mask_overlap", "WITH p AS (SELECT DISTINCT l_linenumber f, l_linestatus s, l_suppkey roi, CAST(l_quantity AS INT) y, CAST(l_orderkey % 10 AS INT) x FROM lineitem), s AS (SELECT f, s, roi, count(*) n FROM p GROUP BY ALL), m AS (SELECT a.f, a.roi a, b.roi b, count(*) k FROM p a JOIN p b ON a.f = b.f AND a.y = b.y AND a.x = b.x AND a.s = 'O' AND b.s = 'F' GROUP BY ALL) SELECT m.f, m.a, m.b, round(1 - k / (x.n + y.n - k) + 1e-8::DOUBLE, 6) AS distance FROM m JOIN s x ON x.f = m.f AND x.roi = m.a AND x.s = 'O' JOIN s y ON y.f = m.f AND y.roi = m.b AND y.s = 'F'")
 def mask_overlap(spark, sf_dir):
-    px = read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("f"), F.col("l_suppkey").alias("roi"), F.col("l_quantity").cast("int").alias("y"), (F.col("l_orderkey") % 5).cast("int").alias("x")).distinct()
-    return rounded(models.mask_overlap(px.where("roi < 10"), px.where("roi >= 90"), ["f"]), "distance")
+    """Masks of two sessions (by line status) of each field of view."""
+    px = read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("f"), F.col("l_linestatus").alias("s"), F.col("l_suppkey").alias("roi"), F.col("l_quantity").cast("int").alias("y"), (F.col("l_orderkey") % 10).cast("int").alias("x")).distinct()
+    return rounded(models.mask_overlap(px.where("s = 'O'").drop("s"), px.where("s = 'F'").drop("s"), ["f"]), "distance")
 
 
 @query("registered_rois")
 def registered_rois(spark, sf_dir):
-    """One-to-one registration of masks by least total Jaccard distance; tests check it against all assignments."""
-    return models.assigned(mask_overlap(spark, sf_dir), ["f"], 0.99)
+    """One-to-one registration of the two sessions' masks by least total Jaccard distance; tests check it against all assignments."""
+    return models.assigned(mask_overlap(spark, sf_dir), ["f"], 0.95)
 
 
 @query("simulated_spikes")

@@ -9,11 +9,159 @@ _ACTION = "struct<id: string, pin: int, action: string>"
 #: The messages that are read; others are ignored.
 SCHEMA = f"time double, y double, lap int, position_controller struct<position: struct<dy: double, dt: double>, millis: double>, behavior_controller struct<context: {_ACTION}, valve: {_ACTION}, tone: {_ACTION}, lick: {_ACTION}>"
 
+FIELDS = ["time", "y", "lap", "position_controller", "behavior_controller"]
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed messages of all log files below ``path``: file, line columns of SCHEMA; broken lines are left out."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", SCHEMA).alias("m"))
-    return lines.where("m.time is not null").select("file", "m.*")
+
+def parsed(lines: DataFrame, key: str = "file", text: str = "value", errors: str = "skip") -> DataFrame:
+    """Messages of log lines (key, text): key and columns of SCHEMA.
+
+    A line that is no message, or has no time, is left out (``skip``; ``broken_lines`` lists those), kept in a column
+    ``broken`` (``keep``), or ends the job (``raise``). What a log says about itself (``settings``) is no message.
+    """
+    rows = lines.where(F.length(F.trim(text)) > 0).select(key, F.from_json(text, SCHEMA).alias("m"), F.col(text).alias("_text"))
+    rows = rows.where(~F.col("_text").contains('"settings"'))
+    bad = F.col("m.time").isNull()
+    if errors == "keep":
+        return rows.select(key, "m.*", F.when(bad, F.col("_text")).alias("broken"))
+    if errors == "raise":
+        time = F.when(bad, F.raise_error(F.concat(F.lit("no message: "), F.col("_text"))).cast("double")).otherwise(F.col("m.time"))
+        return rows.select(key, time.alias("time"), *(F.col(f"m.{c}").alias(c) for c in FIELDS if c != "time"))
+    return rows.where(~bad).select(key, "m.*")
+
+
+def read_log(spark: SparkSession, path: str, errors: str = "skip") -> DataFrame:
+    """Parsed messages of all log files below ``path``: file and what ``parsed`` gives."""
+    return parsed(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value"), "file", "value", errors)
+
+
+def broken_lines(lines: DataFrame, key: str = "file", text: str = "value") -> DataFrame:
+    """(key, broken): the lines that ``parsed`` leaves out."""
+    return parsed(lines, key, text, "keep").where("broken is not null").select(key, "broken")
+
+
+def settings(lines: DataFrame, key: str = "file", text: str = "value") -> DataFrame:
+    """What a log says about itself: key, sync_pin, track_length, trial_length, reward_id, reward_pin, valves (pin to context)."""
+    kind = "struct<sync_pin: int, track_length: double, trial_length: double, contexts: array<struct<id: string, valves: array<int>>>, reward: struct<id: string, pin: int>>"
+    rows = lines.where(F.col(text).contains('"settings"')).select(key, F.from_json(text, f"settings {kind}")["settings"].alias("s")).where("s is not null")
+    pins = F.flatten(F.transform(F.coalesce("s.contexts", F.array()), lambda c: F.transform(F.coalesce(c["valves"], F.array().cast("array<int>")), lambda v: F.struct(v.alias("pin"), c["id"].alias("id")))))
+    return rows.select(key, "s.sync_pin", "s.track_length", "s.trial_length", F.col("s.reward.id").alias("reward_id"), F.col("s.reward.pin").alias("reward_pin"), F.map_from_entries(pins).alias("valves"))
+
+
+def named_actions(found: DataFrame, about: DataFrame, key: str = "file") -> DataFrame:
+    """Actions under all their names: a valve by the context that it belongs to (``pin_<n>`` if none), the reward's valve as
+    ``water`` too, and the reward's context as ``reward`` too.
+
+    ``found`` has key, kind, id, pin, t, action; ``about`` is ``settings``, one row per log.
+    """
+    rows = found.join(about.select(key, "reward_id", "reward_pin", "valves"), key, "left")
+    of_pin = F.coalesce(F.element_at("valves", F.col("pin")), F.concat(F.lit("pin_"), F.col("pin").cast("string")))
+    name = F.when(F.col("kind") == "valve", of_pin).when(F.col("kind") == "tone", F.concat(F.lit("tone_"), F.col("pin").cast("string"))).when(F.col("kind") == "lick", F.lit("licking")).otherwise(F.col("id"))
+    more = F.when((F.col("kind") == "valve") & (F.col("pin") == F.col("reward_pin")), F.lit("water")).when((F.col("kind") == "context") & (F.col("id") == F.col("reward_id")) & (F.col("id") != "reward"), F.lit("reward"))
+    return rows.withColumn("name", F.explode(F.array_compact(F.array(name, more)))).select(key, "name", "t", "action")
+
+
+def every_action(messages: DataFrame, key: str = "file") -> DataFrame:
+    """Start and stop messages of all kinds: key, kind, id, pin, t, action."""
+    out = None
+    for kind in ("context", "valve", "tone", "lick"):
+        m = F.col(f"behavior_controller.{kind}")
+        action = F.when(m["action"].isin("start", "open"), "start").when(m["action"].isin("stop", "close"), "stop")
+        part = messages.where(m.isNotNull()).select(key, F.lit(kind).alias("kind"), m["id"].alias("id"), m["pin"].alias("pin"), F.col("time").alias("t"), action.alias("action")).where("action is not null")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def sync_offset(intervals: DataFrame, key: str = "file", backup: str = "AOD_sync_pin", pin: str = "sync_pin") -> DataFrame:
+    """(key, zero): the time at which imaging started, from intervals (key, name, onset, offset).
+
+    The first interval of ``backup`` ends there; without one, the first of ``pin`` starts there, or 0.1 s before its
+    end if the start is missing; 0 if nothing is known.
+    """
+    first = lambda n: F.min_by(F.struct("onset", "offset"), F.when(F.col("name") == n, F.coalesce("onset", "offset")))
+    got = intervals.groupBy(key).agg(first(backup).alias("_a"), first(pin).alias("_p"))
+    return got.select(key, F.coalesce(F.col("_a.offset"), F.col("_p.onset"), F.col("_p.offset") - 0.1, F.lit(0.0)).alias("zero"))
+
+
+def synchronised(rows: DataFrame, zero: DataFrame, columns: list[str], key: str = "file") -> DataFrame:
+    """``rows`` with the times in ``columns`` counted from their log's zero."""
+    return rows.join(zero, key, "left").withColumns({c: F.col(c) - F.coalesce("zero", F.lit(0.0)) for c in columns}).drop("zero")
+
+
+def updates(messages: DataFrame, key: str = "file") -> DataFrame:
+    """Position updates: key, t, dy, dt, millis."""
+    p = F.col("position_controller.position")
+    return messages.where("position_controller is not null").select(key, F.col("time").alias("t"), p["dy"].alias("dy"), p["dt"].alias("dt"), F.col("position_controller.millis").alias("millis"))
+
+
+def whole_updates(found: DataFrame, key: str = "file", order: str = "millis") -> DataFrame:
+    """Updates without gaps: a movement without a time is added to the next update that has one, and goes.
+
+    Updates without a time at the end have nothing to be added to, and go too.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    group = F.sum(F.when(F.col("t").isNotNull(), 1).otherwise(0)).over(w) - F.when(F.col("t").isNotNull(), 1).otherwise(0)
+    return found.withColumn("_g", group).groupBy(key, "_g").agg(F.max("t").alias("t"), F.sum("dy").alias("dy"), F.max(F.when(F.col("t").isNotNull(), F.col("dt"))).alias("dt"), F.max(F.when(F.col("t").isNotNull(), F.col(order))).alias(order)).where("t is not null").drop("_g")
+
+
+def filled_positions(samples: DataFrame, found: DataFrame, key: str = "file") -> DataFrame:
+    """Positions with a sample put in where an update began later than the one before it ended: it has the next position.
+
+    An update covers the time from t - dt / 100 to t.
+    """
+    from ..operators.intervals import as_of
+
+    w = Window.partitionBy(key).orderBy("t")
+    begins = found.select(key, "t", (F.col("t") - F.col("dt") * 0.01).alias("_b")).withColumn("_p", F.lag("t").over(w)).where("_p < _b").select(key, F.col("_b").alias("t"))
+    # the next sample is the latest one before, seen in reversed time
+    back = as_of(begins.withColumn("t", -F.col("t")), samples.select(key, (-F.col("t")).alias("t"), "position"), "position", [key])
+    return samples.select(key, "t", "position").unionByName(back.where("position is not null").select(key, (-F.col("t")).alias("t"), "position"))
+
+
+def repaired_by_length(intervals: DataFrame, keys: list[str], total: float, fixed: float | None = None) -> DataFrame:
+    """Intervals with a missing end set from the other by the mean length of those of the same keys (or ``fixed``), where that stays inside the log."""
+    mean = F.lit(fixed) if fixed is not None else F.avg(F.col("offset") - F.col("onset")).over(Window.partitionBy(*keys))
+    rows = intervals.withColumn("_m", mean)
+    offset = F.when(F.col("offset").isNull() & (F.col("onset") + F.col("_m") < total), F.col("onset") + F.col("_m")).otherwise(F.col("offset"))
+    onset = F.when(F.col("onset").isNull() & (F.col("offset") - F.col("_m") > 0), F.col("offset") - F.col("_m")).otherwise(F.col("onset"))
+    return rows.withColumn("_o", onset).withColumn("offset", offset).withColumn("onset", F.col("_o")).drop("_o", "_m")
+
+
+def repaired_by_position(intervals: DataFrame, samples: DataFrame, centre: float, radius: float, keys: list[str]) -> DataFrame:
+    """Intervals whose missing offset is the first time after the onset at which the animal is over ``radius`` (a share of the track)
+    away from ``centre``, and whose missing onset is the last such time before the offset.
+    """
+    away = F.abs(F.col("position") - centre)
+    out = samples.where(F.least(away, 1 - away) > radius).select(*keys, "t")
+    w = Window.partitionBy(*keys).orderBy("t", "_side")
+    ends = intervals.withColumn("_id", F.monotonically_increasing_id())
+    marks = ends.select(*keys, F.coalesce("onset", "offset").alias("t"), "onset", "offset").withColumn("_side", F.lit(1))
+    other = out.select(*keys, "t", F.lit(None).cast("double").alias("onset"), F.lit(None).cast("double").alias("offset"), F.lit(0).alias("_side"))
+    both = marks.unionByName(other).withColumn("_out", F.when(F.col("_side") == 0, F.col("t")))
+    both = both.withColumn("_before", F.last("_out", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_after", F.first("_out", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    return both.where("_side = 1").select(*keys, F.coalesce("onset", "_before").alias("onset"), F.coalesce("offset", "_after").alias("offset"))
+
+
+def discretised(positions_: DataFrame, movement: DataFrame, intervals: DataFrame, dt: float, total: float, keys: list[str], names: list[str], sigma: float | None = None, discard_pre: float = 0.0, discard_post: float = 0.0, first_lap: bool = False) -> DataFrame:
+    """Behaviour by frame of ``dt`` seconds, in one plan: keys, frame, t, position, velocity, lap, and one flag for each of ``names``.
+
+    Position is held from its latest sample, velocity is the movement (t, dy) of each frame over ``dt``, smoothed with a
+    kernel of 8 ``sigma`` frames, flags say whether an interval covers the frame. Frames of the first
+    ``discard_pre`` and last ``discard_post`` seconds are left out, with ``first_lap`` all before lap 1.
+    """
+    from ..operators.spatial import smooth_same
+
+    n = int(total / dt)
+    grid = positions_.select(*keys).distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("t", F.col("frame") * F.lit(dt))
+    out = hold(positions_.select(*keys, "t", F.col("position").alias("value")), grid, keys).withColumnRenamed("value", "position")
+    moved = movement.where("t >= 0").groupBy(*keys, F.floor(F.col("t") / F.lit(dt)).cast("int").alias("frame")).agg((F.sum("dy") / F.lit(dt)).alias("value"))
+    speed = grid.select(*keys, "frame").join(moved, [*keys, "frame"], "left").na.fill(0.0, ["value"])
+    if sigma:
+        speed = smooth_same(speed, keys, sigma, order=("frame",)).drop("value").withColumnRenamed("smoothed", "value")
+    out = out.join(speed.withColumnRenamed("value", "velocity"), [*keys, "frame"])
+    flags = interval_frames(intervals.where(F.col("name").isin(names)), dt, total, [*keys, "name"]).groupBy(*keys, "frame").pivot("name", names).agg(F.lit(True))
+    out = laps(out.join(flags, [*keys, "frame"], "left").na.fill(False, names), keys)
+    out = out.where((F.col("t") >= discard_pre) & (F.col("t") < total - discard_post))
+    return out.where("lap > 0") if first_lap else out
 
 
 def positions(messages: DataFrame, track: float, key: str = "file") -> DataFrame:
@@ -56,8 +204,12 @@ def hold(samples: DataFrame, grid: DataFrame, keys: list[str], value: str = "val
     return out.join(last, keys, "left").withColumn(value, F.coalesce(value, "_last")).drop("_last")
 
 
-def laps(samples: DataFrame, keys: list[str], drop: float = 0.75) -> DataFrame:
-    """Adds ``lap``: a fall of position by over ``drop`` starts a new one."""
+def laps(samples: DataFrame, keys: list[str], drop: float = 0.75, before: bool = False) -> DataFrame:
+    """Adds ``lap``: a fall of position by over ``drop`` from a sample to the next starts a new one.
+
+    ``before``: the sample right before the fall is the new lap's first.
+    """
     w = Window.partitionBy(*keys).orderBy("t")
-    fell = ((F.col("position") - F.lag("position").over(w)) < -drop).cast("int")
+    step = (F.lead("position").over(w) - F.col("position")) if before else (F.col("position") - F.lag("position").over(w))
+    fell = (step < -drop).cast("int")
     return samples.withColumn("_f", F.coalesce(fell, F.lit(0))).withColumn("lap", F.sum("_f").over(w).cast("int")).drop("_f")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def metadata_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Metadata of regions or trials; types are given, not guessed."""
-    return spark.read.csv(path, header=True, schema=schema, mode="DROPMALFORMED")
+    """Metadata of regions or trials; types are given, not guessed. A row that doesn't fit them is an error."""
+    return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST")
 
 
 def sidecar(spark: SparkSession, path: str) -> DataFrame:
@@ -16,11 +16,15 @@ def sidecar(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, schema="frame_period double, imaging_system string", multiLine=True).withColumn("file", F.col("_metadata.file_path"))
 
 
-def frame_period_xml(spark: SparkSession, path: str, row_tag: str = "Frame") -> DataFrame:
-    """Frame period by file, from the absolute times of the first two frames of an XML description."""
+def frame_period_xml(spark: SparkSession, path: str, row_tag: str = "Frame", planes: int = 1, both_ways: bool = False) -> DataFrame:
+    """Frame period by file, from the absolute times of the first two frames of an XML description.
+
+    A volume of several planes takes the mean of its first two steps; scanned both ways, a plane comes back after twice that.
+    """
     frames = spark.read.format("xml").option("rowTag", row_tag).schema("_absoluteTime double, _index int").load(path).withColumn("file", F.col("_metadata.file_path"))
     first = frames.groupBy("file").agg(F.sort_array(F.collect_list("_absoluteTime")).alias("t"))
-    return first.select("file", F.round(F.get("t", F.lit(1)) - F.get("t", F.lit(0)), 6).alias("frame_period"))
+    steps = (F.get("t", F.lit(2)) - F.get("t", F.lit(0))) / 2 if planes > 1 else F.get("t", F.lit(1)) - F.get("t", F.lit(0))
+    return first.select("file", F.round(steps * (2 if both_ways else 1), 6).alias("frame_period"))
 
 
 def imaging_times(spark: SparkSession, trials: DataFrame) -> DataFrame:
