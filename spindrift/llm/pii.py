@@ -1,8 +1,9 @@
 """PII: patterns propose spans, checksums confirm them, words nearby adjust a score.
 
 Four kinds are always reported once their check holds: email, ip (parts at most 255), card (Luhn) and
-phone (9 to 15 digits). Two more are proposed by this method and reported from a score of 0.5: iban
-(mod-97) and secret (a long hexadecimal value named by a word such as "token").
+phone (9 to 15 digits); their score says how sure they are. Two more are proposed by this method and reported from a
+score of 0.5: iban (mod-97) and secret (a long hexadecimal value near a word such as "token", or any long mixed value that
+such a word is set to).
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,64}(?![A-Za-z0-9])")
+#: A value of letters and digits that a telling name is set to, as in api_key = "..."
+_NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\x20?[:=]\x20?[\"']?(?P<value>[A-Za-z0-9_/+-]{16,128})(?![A-Za-z0-9_/+-])")
+_NAME = re.compile("token|secret|passw|key", re.IGNORECASE)
 
 #: How sure a confirmed span is by itself.
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "secret": 0.3}
@@ -99,15 +103,21 @@ def _candidates(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "iban", m.start(), m.start() + len(part)
                 break
             part = part.rpartition(" ")[0]
+    found = set()
     for m in _SECRET.finditer(text):
         if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
-            yield "secret", *m.span()
+            found.add(m.span())
+    if _NAME.search(text):
+        for m in _NAMED.finditer(text):
+            if any(c.isdigit() for c in m["value"]) and any(c.isalpha() for c in m["value"]):
+                found.add(m.span("value"))
+    yield from (("secret", a, b) for a, b in sorted(found))
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
     """The kind's own score, raised by words that go with it nearby and lowered by words against it."""
     near = set(_WORD.findall(text[max(0, start - CONTEXT) : start].lower())) | set(_WORD.findall(text[end : end + CONTEXT].lower()))
-    return min(1.0, max(0.0, PRIOR[kind] + RAISE * bool(near & NEARBY[kind]) - LOWER * bool(near & AGAINST)))
+    return round(min(1.0, max(0.0, PRIOR[kind] + RAISE * bool(near & NEARBY[kind]) - LOWER * bool(near & AGAINST))), 2)
 
 
 def find(text: str) -> list[tuple[str, int, int, float]]:
@@ -136,7 +146,10 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """``pii_spans`` as counts, a SHA-256 over the four base kinds' spans, and all spans as one string."""
+    """``pii_spans`` as counts, a SHA-256 over the four base kinds' spans, all spans as one string, and their scores in the same order.
+
+    Nulls, repeated rows and empty tables as in ``pii_spans``.
+    """
     found = F.col("found")
 
     def listed(spans):
@@ -151,6 +164,7 @@ def pii_digest(docs: DataFrame) -> DataFrame:
         F.sha2(listed(F.filter(found, lambda x: x["kind"].isin(*BASE))), 256).alias("base_sha256"),
         listed(found).alias("spans"),
         *(count(k) for k in KINDS[4:]),
+        F.array_join(F.transform(found, lambda x: F.format_number(x["score"], 2)), ",").alias("scores"),
     )
 
 

@@ -1,11 +1,13 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier.
 
 1. Features that set labelled toxic rows apart are mined and dealt to lexicon voters (whole words) and
-   pattern voters (word beginnings); one more voter is a fixed list of insults. A voter votes or abstains.
+   pattern voters (word beginnings). Fixed voters look at a list of insults and at the form of a text: words
+   repeated in a row, shouted words, rows of exclamation marks, words that address the reader. One more votes
+   for the label 0, by words mined from rows that are not toxic. A voter votes or abstains.
 2. The votes of all documents are counted by pattern: with V voters there are at most 2^V patterns.
 3. A label model explains these counts: each voter's rates given the hidden label, and its dependence on
    one other voter (a tree over the pairs that go together most), are fitted by expectation maximisation,
-   anchored by the votes on rows whose label may be learnt.
+   anchored by the votes on rows whose label may be learnt, each of which counts ANCHOR times as much as any other row.
 4. The model's posterior labels a bounded sample of rows, on which a logistic regression is trained; that
    classifier alone scores every document.
 """
@@ -30,15 +32,34 @@ MINED, LEXICONS, PATTERNS, CLASSIFIER = 600, 6, 5, 4000
 SUPPORT, LEAST_RATIO, CLASSIFIER_RATIO = 5, 2.5, 1.5
 #: Common English insults: the fixed voter. Fixed values.
 INSULTS = frozenset("bastard clown crap disgusting dumb fool idiot idiotic imbecile jerk loser moron pathetic scum stupid trash ugly vermin worthless".split())
-V = LEXICONS + PATTERNS + 1
+#: Words that address a reader, in four languages. Fixed values.
+ADDRESS = frozenset("you your yours yourself du dich dir dein deine tu te toi ton ta tes vous votre vos usted ustedes tus".split())
+#: Forms of a text, as features that no word can be.
+FORMS = ("#repeated", "#shouted", "#exclaimed", "#address")
+#: Features of the voter for label 0, the rows each needs, and its greatest log ratio of rates.
+NEGATIVE, NEGATIVE_SUPPORT, NEGATIVE_RATIO = 60, 30, -1.5
+#: Voters in order: lexicons, patterns, insults, forms, and the one for label 0.
+V = LEXICONS + PATTERNS + 1 + len(FORMS) + 1
+#: How much a row of known label counts in the label model, against 1 for any other row.
+ANCHOR = 4.0
 
 _WORD = re.compile(r"[^\W_]+")
 
 
 def features(text: str) -> set[str]:
-    """Distinct lower-case words of a text, and as ``^abcd`` and ``^abcde`` how they begin."""
-    words = set(_WORD.findall(text.lower()))
-    return words | {"^" + w[:5] for w in words if len(w) > 5} | {"^" + w[:4] for w in words if len(w) > 4}
+    """Distinct lower-case words of a text, as ``^abcd`` and ``^abcde`` how they begin, and the text's FORMS."""
+    found = _WORD.findall(text)
+    words = {w.lower() for w in found}
+    forms = []
+    if any(a == b == c for a, b, c in zip(found, found[1:], found[2:], strict=False)):
+        forms.append(FORMS[0])
+    if 3 * sum(map(str.isupper, found)) > 2 * len(found) > 8:
+        forms.append(FORMS[1])
+    if text.count("!!") >= 3:
+        forms.append(FORMS[2])
+    if not ADDRESS.isdisjoint(words):
+        forms.append(FORMS[3])
+    return words.union({"^" + w[:5] for w in words if len(w) > 5}, {"^" + w[:4] for w in words if len(w) > 4}, forms)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -89,14 +110,16 @@ def _tree(votes: np.ndarray, weight: np.ndarray, q: np.ndarray) -> list[int]:
     return parent
 
 
-def fit_label_model(votes: np.ndarray, weight: np.ndarray, known: np.ndarray, rounds: int = 60) -> LabelModel:
+def fit_label_model(votes: np.ndarray, weight: np.ndarray, known: np.ndarray, rounds: int = 60, negative: tuple[int, ...] = ()) -> LabelModel:
     """Expectation maximisation over vote patterns (rows), their counts, and counts of them by known label.
 
     Known labels (pattern x label) anchor the hidden one: without them, the label could settle on any cause
-    that voters share. They weigh as much as all other rows together.
+    that voters share. Each of them counts ANCHOR times as much as a row without one. A voter may speak for either label;
+    ``negative`` ones start as speaking for 0.
     """
-    anchor = known * (weight.sum() / max(known.sum(), 1.0))
-    guess = np.where(votes.sum(axis=1) > 0, 0.9, 0.02)
+    anchor = known * ANCHOR
+    positive = [v for v in range(votes.shape[1]) if v not in negative]
+    guess = np.where(votes[:, positive].sum(axis=1) > 0, 0.9, 0.02)
     q = (known[:, 1] + 2 * guess) / (known.sum(axis=1) + 2)
     parent = _tree(votes, weight, q)
     n = votes.shape[1]
@@ -109,8 +132,7 @@ def fit_label_model(votes: np.ndarray, weight: np.ndarray, known: np.ndarray, ro
             for a in (0, 1):
                 at = both[above == a]
                 yes = (at * votes[above == a][:, [v]]).sum(axis=0)
-                # no vote speaks for the label 0: a silent voter's rate there stays small
-                model.rate[v, a] = np.clip((yes + [0.01, 0.5]) / (at.sum(axis=0) + 1), [1e-5, 1e-3], [0.5, 0.999])
+                model.rate[v, a] = np.clip((yes + [0.01, 0.5]) / (at.sum(axis=0) + 1), [1e-5, 1e-3], [0.999, 0.999])
         q = model.posterior(votes)
     return model
 
@@ -187,11 +209,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     pos, neg = totals["pos"] or 0, totals["n"] - (totals["pos"] or 0)
     counts = sample.mapInArrow(mine, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
     ratio = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("q") + 0.5) / (neg + 1))
-    rated = counts.where(F.col("p") + F.col("q") >= SUPPORT).select("feature", "p", ratio.alias("ratio"))
+    rated = counts.where((F.col("p") + F.col("q") >= SUPPORT) & ~F.col("feature").startswith("#")).select("feature", "p", "q", ratio.alias("ratio"))
     mined = [r["feature"] for r in rated.where((F.col("p") >= SUPPORT) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc(F.col("ratio") * F.sqrt("p")), "feature").limit(MINED).collect()]
     chosen = [r["feature"] for r in rated.where(F.col("ratio") >= CLASSIFIER_RATIO).orderBy(F.desc(F.col("ratio") * F.log2(F.col("p") + 2)), "feature").limit(CLASSIFIER).collect()]
     words, starts = [f for f in mined if f[0] != "^"], [f for f in mined if f[0] == "^"]
-    voters = _dealt(words, LEXICONS) + _dealt(starts, PATTERNS) + [INSULTS]
+    harmless = rated.where((F.col("q") >= NEGATIVE_SUPPORT) & (F.col("ratio") <= NEGATIVE_RATIO)).orderBy(F.col("ratio") * F.sqrt("q"), "feature").limit(NEGATIVE)
+    voters = _dealt(words, LEXICONS) + _dealt(starts, PATTERNS) + [INSULTS, *(frozenset([f]) for f in FORMS), frozenset(r["feature"] for r in harmless.collect())]
     index = {f: i for i, f in enumerate(chosen)}
     sent = spark.sparkContext.broadcast((voters, index))
 
@@ -224,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
         weight[at[r["pattern"]]] += r["n"]
     for r in taken:
         known[at[r["pattern"]], int(r["toxic"] > 0)] += 1
-    model = fit_label_model(_bits(np.array(patterns)), weight, known)
+    model = fit_label_model(_bits(np.array(patterns)), weight, known, negative=(V - 1,))
     target = model.posterior(_bits(np.array([r["pattern"] for r in taken])))
     w, b = _logistic([r["row"] for r in taken], target, len(chosen))
     return Classifier({f: float(w[i]) for f, i in index.items() if w[i]}, float(b))
