@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,14 +34,62 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Folders that the innermost ``scratch`` has staged, if there is one.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+#: The same of what surrounds that ``scratch``.
+_outer: ContextVar[list[str] | None] = ContextVar("outer", default=None)
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; later jobs survive lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if (held := _scratch.get()) is not None:
+        held.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The folders staged inside, but for those of a ``scratch``; whoever collects them deletes them."""
+    held: list[str] = []
+    token = _scratch.set(held)
+    try:
+        yield held
+    finally:
+        _scratch.reset(token)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at the end; results that outlive it are staged after it, from tables that are still there."""
+    held: list[str] = []
+    outer, token = _outer.set(_scratch.get()), _scratch.set(held)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        _outer.reset(outer)
+        delete(spark, held)
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """``staged`` outside the innermost ``scratch``: for a result that outlives it."""
+    token = _scratch.set(_outer.get())
+    try:
+        return staged(df, tag)
+    finally:
+        _scratch.reset(token)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_copy, staged
+from .common import kept, row_copy, scratch, staged
 
 #: Words in a window (all of a shorter item), and item words that must be covered on the whole (all of a shorter item).
 WINDOW, COVERED = 8, 13
@@ -32,6 +32,8 @@ UNITS = (
 ).split()
 #: Windows of the benchmark that may be broadcast (under 100 bytes each); more are joined by shuffle.
 BROADCAST_WINDOWS = 300_000
+#: Documents that may be broadcast as those to read slots of (8 bytes each); more are joined by shuffle.
+BROADCAST_DOCS = 2_000_000
 #: Parts that the documents' windows of one hash are dealt to in that shuffle, as one may stand in a third of all documents.
 PARTS = 16
 
@@ -138,7 +140,12 @@ def _met(rows: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def _matches(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``matches`` of rows (uid, doc_id, text) that give the same whenever they are read."""
+    """``matches`` of rows (uid, doc_id, text) that give the same whenever they are read; staged."""
+    with scratch(rows.sparkSession):
+        return kept(_found(rows, benchmark), "decontamination")
+
+
+def _found(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = _templates(benchmark.select("item_id", "text")).withColumn("item_words", F.size("words")).where("item_words > 0")
     items = staged(items.select("item_id", "item_words", "words", "plain", "typed"), "decontamination-items")
     sizes = sorted({*(r[0] for r in items.where(F.col("item_words") < WINDOW).select("item_words").distinct().collect()), WINDOW})
@@ -150,10 +157,18 @@ def _matches(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
         windows = of if windows is None else windows.union(of)
     windows = staged(windows, "decontamination-windows")
     met = staged(_met(rows, windows, sizes).select("uid", "doc_id", "item_id", "item_words", "pos", "item_pos", (F.col("typed") | F.col("item_typed")).alias("typed")), "decontamination-met")
-    # slots only of texts that meet an item
-    slots = _slots(_templates(rows.join(met.select("uid").distinct(), "uid", "left_semi").drop("doc_id"))).select("uid", "slots")
-    item_slots = _slots(items).select("item_id", F.col("slots").alias("item_slots"))
+    # a document and item whose shared windows cover too little on the whole do so in every part
     size = F.least(F.lit(WINDOW), F.col("item_words"))
+    after = F.lead("item_pos").over(Window.partitionBy("uid", "item_id").orderBy("item_pos"))
+    reach = met.select("uid", "item_id", "item_words", "item_pos").distinct().withColumn("w", F.least(size, F.coalesce(after - F.col("item_pos"), size)))
+    reach = reach.groupBy("uid", "item_id", "item_words").agg(F.sum("w").alias("w")).where(F.col("w") >= F.least(F.lit(COVERED), F.col("item_words")))
+    reach = staged(reach.select("uid", "item_id"), "decontamination-reach")
+    met = met.join(reach, ["uid", "item_id"], "left_semi")
+    # slots only of texts that are left
+    wanted = reach.select("uid").distinct()
+    wanted = F.broadcast(wanted) if reach.count() <= BROADCAST_DOCS else wanted
+    slots = _slots(_templates(rows.join(wanted, "uid", "left_semi").drop("doc_id"))).select("uid", "slots")
+    item_slots = _slots(items).select("item_id", F.col("slots").alias("item_slots"))
 
     def inside(slots: str, start: str) -> Column:
         return F.filter(slots, lambda s: (s["pos"] >= F.col(start)) & (s["pos"] < F.col(start) + size))

@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_copy, staged, texts_of
+from .common import kept, row_copy, scratch, staged, texts_of
 from .components import components
 from .shingles import chunks, mix, shingle_sets
 
 #: Smallest hashes of a set, and how many two sets must share to be tried in the first step.
 SMALLEST, SHARED = 8, 3
+#: Rounds of the first step at most; each leaves fewer pairs for the second and changes no result.
+ROUNDS = 4
 #: Shingles in so many sets count as common and go last in the order; at most COMMON of them are broadcast
 #: (16 bytes each). The order changes cost alone, never results.
 OFTEN, COMMON = 32, 200_000
@@ -220,7 +222,8 @@ def jaccard_components(docs: DataFrame, length: int = 5, threshold: int = 75) ->
     their own; a null doc_id is no component's id unless all of its are null. An empty table gives an
     empty result; other columns are not read.
     """
-    return _components(texts_of(docs, "jaccard-texts"), length, threshold).drop("component")
+    with scratch(docs.sparkSession):
+        return kept(_components(texts_of(docs, "jaccard-texts"), length, threshold).drop("component"), "jaccard-result")
 
 
 def _components(rows: DataFrame, length: int, threshold: int) -> DataFrame:
@@ -232,14 +235,27 @@ def _components(rows: DataFrame, length: int, threshold: int) -> DataFrame:
     table = staged(full.join(classes, ["n", "s1", "s2"]).select("uid", "rep", "n", "smallest"), "jaccard-classes")
     reps = table.where("uid = rep")
 
-    # first step: the likeliest partner of each class, among those of about its size
-    small = reps.select("uid", "n", F.floor(F.log("n") / np.log(100 / threshold)).cast("int").alias("band"), F.explode("smallest").alias("token"))
-    hubs = small.groupBy("token", "band").agg(F.min("uid").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    tries = small.join(hubs, ["token", "band"]).where("uid <> hub").groupBy("uid", "hub").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARED)
-    best = tries.groupBy("uid").agg(F.max(F.struct("k", (-F.col("hub")).alias("h"))).alias("x"))
-    firsts = staged(best.select(F.col("uid").alias("a"), (-F.col("x.h")).alias("b")), "jaccard-first")
-    links = staged(_verified(rows, firsts, length, threshold), "jaccard-first-links")
-    near = components(links, "jaccard-stars")
+    # first step: in each round the likeliest partner of each class in another component, among those of about its size
+    band = F.floor(F.log("n") / np.log(100 / threshold)).cast("int").alias("band")
+    small = reps.select("uid", band, F.explode("smallest").alias("token"))
+    several = small.groupBy("token", "band").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    small = staged(small.join(several, ["token", "band"]), "jaccard-smallest")
+    links, near = None, None
+    for turn in range(ROUNDS):
+        placed = small.withColumn("component", F.col("uid")) if near is None else small.join(near.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+        # the hub of a shingle is another one in each round
+        order = F.struct(F.xxhash64("uid", F.lit(turn)).alias("o"), "uid", "component")
+        hubs = placed.groupBy("token", "band").agg(F.min(order).alias("hub")).select("token", "band", F.col("hub.uid").alias("hub"), F.col("hub.component").alias("hub_component"))
+        tries = placed.join(hubs, ["token", "band"]).where(F.col("component") != F.col("hub_component")).groupBy("uid", "hub").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARED)
+        best = tries.groupBy("uid").agg(F.max(F.struct("k", (-F.col("hub")).alias("h"))).alias("x"))
+        firsts = staged(best.select(F.col("uid").alias("a"), (-F.col("x.h")).alias("b")), "jaccard-first")
+        more = staged(_verified(rows, firsts, length, threshold), "jaccard-first-links")
+        found_links = more.count()
+        links = more if links is None else links.union(more)
+        if found_links or near is None:
+            near = components(links if near is None else near.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "jaccard-stars")
+        if 50 * found_links < firsts.count():
+            break
 
     # second step: prefixes that meet between those components
     posts = _postings(rows, length, threshold, _common(found))
@@ -272,8 +288,9 @@ def one_of_each(docs: DataFrame, length: int = 5, threshold: int = 75) -> DataFr
     a null doc_id counts as the greatest. An empty table gives an empty result.
     """
     rows, uid = row_copy(docs, "jaccard-rows")
-    found = _components(rows.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), length, threshold)
-    # a component may hold a third of all documents: its first is found by aggregation
-    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")
-    firsts = found.groupBy("component").agg(F.min(key).alias("k")).select(F.col("k.uid").alias(uid))
+    with scratch(docs.sparkSession):
+        found = _components(rows.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), length, threshold)
+        # a component may hold a third of all documents: its first is found by aggregation
+        key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")
+        firsts = kept(found.groupBy("component").agg(F.min(key).alias("k")).select(F.col("k.uid").alias(uid)), "jaccard-firsts")
     return rows.join(firsts, uid, "left_semi").drop(uid)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, row_copy, staged
+from .common import fresh, kept, row_copy, scratch, staged
 
 #: Lines with a character other than space, tab, line feed, vertical tab, form feed or return.
 _HAS_WORD = "[^ \\t-\\r]"
@@ -119,15 +119,17 @@ def line_dedup(docs: DataFrame, run: int = 2, lone: int | None = None) -> DataFr
     """
     rows, uid, texts = _texts(docs)
     gone = fresh([*docs.columns, uid], "gone")
-    lines = _repeats(texts, run, lone).select(F.col("place.uid").alias(uid), F.explode("nos").alias(gone))
-    rows = rows.join(lines.groupBy(uid).agg(F.collect_set(gone).alias(gone)), uid, "left")
+    with scratch(docs.sparkSession):
+        lines = _repeats(texts, run, lone).select(F.col("place.uid").alias(uid), F.explode("nos").alias(gone))
+        doomed = kept(lines.groupBy(uid).agg(F.collect_set(gone).alias(gone)), "lines-doomed")
+    rows = rows.join(doomed, uid, "left")
     split = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
     n_removed = F.coalesce(F.size(gone), F.lit(0))
-    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    out = rows.select(*(text.alias("text") if c == "text" else F.col(c) for c in kept), n_lines.alias("n_lines"), F.greatest(n_removed, F.lit(0)).cast("long").alias("n_removed"))
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    out = rows.select(*(text.alias("text") if c == "text" else F.col(c) for c in names), n_lines.alias("n_lines"), F.greatest(n_removed, F.lit(0)).cast("long").alias("n_removed"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out

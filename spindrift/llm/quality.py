@@ -16,9 +16,10 @@ SPACE = "[ \\t-\\r]+"
 WINDOW = 5
 #: Commonest words of a language that its histogram has; each makes up SHARE of all words at least.
 WORDS, SHARE = 16, 0.005
-#: Least lengths at which the histograms count, and the greatest distances (0 to 1) of kept documents.
-MIN_CHARS, MIN_WORDS = 200, 100
-MAX_CLASS, MAX_WORD = 0.25, 0.27
+#: Least lengths at which the histograms count, and the greatest distances (0 to 1) of kept documents. Texts under LONG words
+#: may be further off, as their histograms are rougher. The cuts lie between the distances of labelled good and bad texts.
+MIN_CHARS, MIN_WORDS, LONG = 200, 30, 100
+MAX_CLASS, MAX_WORD, MAX_WORD_SHORT = 0.25, 0.27, 0.35
 #: Languages whose references may be broadcast (under 2 kB each); more are joined by shuffle.
 BROADCAST_LANGS = 2000
 
@@ -27,11 +28,19 @@ def _without(pattern: str) -> Column:
     return F.length(F.regexp_replace("t", pattern, ""))
 
 
+def _followed(hashes: str, others: str, by: int) -> Column:
+    """Hash of each element with that of ``others`` which stands ``by`` places on; shorter by so many."""
+    n = F.greatest(F.size(others) - by, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(others, by + 1, n), lambda x, y: F.xxhash64(x, y))
+
+
 def _features(docs: DataFrame) -> DataFrame:
     """Base counts of every document; ``classes`` has the counts of its character classes."""
     rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("t"))
     rows = rows.withColumn("words", F.array_remove(F.split("t", SPACE), ""))
-    rows = rows.withColumn("hs", F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
+    # windows of five words from those of one, two and four
+    rows = rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("two", _followed("h", "h", 1))
+    rows = rows.withColumn("four", _followed("two", "two", 2)).withColumn("hs", _followed("four", "h", WINDOW - 1)).drop("two", "four", "h")
     lines = F.filter(F.split("t", "\n"), lambda line: line.rlike("[^ \\t-\\r]"))
     rows = rows.select(
         "doc_id",
@@ -130,5 +139,5 @@ def quality(docs: DataFrame) -> DataFrame:
     total, distance = _distance("hits", "word_ref")
     rows = rows.withColumn("_total", total).withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, distance)).drop("_total")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD)
+    near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS) & (F.coalesce("word_distance", F.lit(0.0)) <= F.when(F.col("n_words") >= LONG, MAX_WORD).otherwise(MAX_WORD_SHORT))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & near).alias("kept"), "class_distance", "word_distance")

@@ -106,7 +106,7 @@ jc AS (SELECT uid, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p +
 jw AS (SELECT uid, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) d FROM ho GROUP BY uid),
 f AS (SELECT c.*, coalesce(rw.n, 0) n_repeat_words, CASE WHEN chars >= {quality.MIN_CHARS} THEN jc.d END cd, CASE WHEN n_words >= {quality.MIN_WORDS} THEN jw.d END wd FROM c LEFT JOIN rw USING (uid) LEFT JOIN jc USING (uid) LEFT JOIN jw USING (uid)),
 v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words base_failed FROM f)
-SELECT doc_id, n_words, word_chars, n_symbols, len(ls) - len(list_distinct(ls)) n_dup_lines, CAST(n_repeat_words AS BIGINT) n_repeat_words, base_failed, NOT base_failed AND coalesce(cd, 0) <= {quality.MAX_CLASS} AND coalesce(wd, 0) <= {quality.MAX_WORD} AS kept, round(cd + 1e-8::DOUBLE, 6) class_distance, round(wd + 1e-8::DOUBLE, 6) word_distance FROM v""",
+SELECT doc_id, n_words, word_chars, n_symbols, len(ls) - len(list_distinct(ls)) n_dup_lines, CAST(n_repeat_words AS BIGINT) n_repeat_words, base_failed, NOT base_failed AND coalesce(cd, 0) <= {quality.MAX_CLASS} AND coalesce(wd, 0) <= CASE WHEN n_words >= {quality.LONG} THEN {quality.MAX_WORD} ELSE {quality.MAX_WORD_SHORT} END AS kept, round(cd + 1e-8::DOUBLE, 6) class_distance, round(wd + 1e-8::DOUBLE, 6) word_distance FROM v""",
     "op6_suffix_dedup": f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} w FROM documents),
 g AS (SELECT doc_id, i, hash(array_to_string(w[i + 1:i + 50], ' ')) h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) i FROM w)),

@@ -465,3 +465,117 @@ def test_toxicity_learns_and_leaves_held_out_labels_alone(spark, odd, none):
     assert toxicity.toxicity(none, lab).count() == 0 and toxicity.toxicity(odd, lab.limit(0)).count() == odd.count()
     kept = rows(toxicity.keep_clean(df, lab), "doc_id")
     assert kept == sorted(((i,) for i in got if not got[i]["predicted"]), key=repr)
+
+
+# ------------------------------------------------------------- ids, paths beyond a broadcast, pipeline stages
+
+def test_results_do_not_depend_on_how_files_are_split(spark, tmp_path):
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(80)]
+    docs = []
+    for i in range(120):
+        text = base[:] if i % 2 else [rng.choice(words) for _ in range(80)]
+        text[rng.randrange(80)] = rng.choice(words)
+        docs.append((i, " ".join(text[:40]) + "\n" + " ".join(text[40:])))
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(6).write.parquet(path)
+    seen = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    original = jaccard_join.staged
+
+    def moving(df, tag):  # files are split otherwise after each table that is written
+        out = original(df, tag)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(1000 + 777 * (hash(tag) % 9)))
+        return out
+
+    try:
+        for module in (jaccard_join, line_dedup, suffix_dedup, decontamination):
+            module.staged = moving
+        for size in ("4000", "134217728"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            df = spark.read.parquet(path)
+            seen.append((
+                rows(jaccard_join.jaccard_components(df), "doc_id", "component_id"), rows(jaccard_join.one_of_each(df), "doc_id"), rows(line_dedup.line_dedup(df), "doc_id", "text"),
+                rows(suffix_dedup.repeated_passages(df, 50), "doc_id", "start_word", "end_word"), rows(decontamination.decontaminate(df, spark.createDataFrame([(1, " ".join(base[:30]))], "item_id long, text string")), "doc_id"),
+            ))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        for module in (jaccard_join, line_dedup, suffix_dedup, decontamination):
+            module.staged = original
+    assert seen[0] == seen[1]
+    assert seen[0][0] == [(d, c) for d, _, c in brute_components(docs)]
+
+
+def test_paths_beyond_a_broadcast_give_the_same(spark, odd, monkeypatch):
+    rng = random.Random(13)
+    passage = [f"p{i}" for i in range(80)]
+    docs = [(i, " ".join([f"x{rng.random()}" for _ in range(rng.randrange(20))] + passage[rng.randrange(10) : rng.randrange(60, 80)])) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").union(odd.select("doc_id", "text"))
+    items = spark.createDataFrame([(1, " ".join(passage[20:50])), (2, "zyx 5 km away")], "item_id long, text string")
+
+    def found():
+        return (
+            rows(suffix_dedup.repeated_passages(df), "doc_id", "start_word", "end_word"), rows(jaccard_join.jaccard_components(df), "doc_id", "component_id"),
+            rows(decontamination.matches(df, items), "doc_id", "item_id", "covered"),
+        )
+
+    small = found()
+    monkeypatch.setattr(suffix_dedup, "FILTER_KEYS", 0)
+    monkeypatch.setattr(jaccard_join, "FILTER_IDS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_DOCS", 0)
+    assert found() == small and all(small)
+
+
+def test_line_dedup_keeps_columns_of_any_name_and_names_runs(spark):
+    docs = [(1, "a b c\nd e f\ng"), (2, "x\na b c\nd e f\ng"), (3, "d e f")]
+    df = spark.createDataFrame([(d, t, 1, 2, 3, 4) for d, t in docs], "doc_id long, text string, _uid int, _gone int, uid int, gone int")
+    got = line_dedup.line_dedup(df, 2, 3)
+    assert rows(got, "doc_id", "text", "_uid", "_gone", "uid", "gone") == [(1, "a b c\nd e f\ng", 1, 2, 3, 4), (2, "x", 1, 2, 3, 4), (3, "", 1, 2, 3, 4)]
+    runs = rows(line_dedup.repeated_runs(df, 2, 3), "doc_id", "start_line", "n_lines", "origin_doc_id", "origin_line")
+    assert runs == [(2, 1, 3, 1, 0), (3, 0, 1, 1, 1)]
+
+
+def test_template_tables_of_numbers_stay_linear(spark):
+    rng = random.Random(6)
+    table = " ".join(str(rng.randrange(100)) for _ in range(2000))
+    item = " ".join(table.split()[700:1000])
+    df = spark.createDataFrame([(1, table), (2, " ".join(str(rng.randrange(100)) for _ in range(2000))), (3, "7 " * 3000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "7 " * 300)], "item_id long, text string")
+    copy, _ = decontamination.row_copy(df, "test", "doc_id", "text")
+    assert rows(decontamination._matches(copy, items), "doc_id", "item_id") == [(1, 1), (3, 2)]
+    windows = decontamination._windows(decontamination._templates(items).withColumn("item_words", F.size("words")), [8]).withColumnRenamed("pos", "item_pos")
+    assert decontamination._met(copy, windows, [8]).count() < 20_000
+
+
+def test_recall_of_changed_questions(spark):
+    rng = random.Random(21)
+    words = "river stone market garden winter engine window doctor paper silver forest bridge letter summer island copper".split()
+    names = ["Tom", "Anna", "Peter", "Maria", "Igor", "Lucy"]
+
+    def question(r, parts, who, numbers):
+        return f"{who} buys {numbers[0]} {parts[0]} at the {parts[1]} for {numbers[1]} dollars and then walks {numbers[2]} km to the {parts[2]} where {who} sells {numbers[3]} {parts[0]} so how many {parts[0]} does {who} have after the {parts[3]}?"
+
+    items, docs = [], []
+    for i in range(40):
+        parts = [rng.choice(words) for _ in range(4)]
+        number = lambda: [rng.randrange(2, 400) for _ in range(4)]
+        items.append((i, question(rng, parts, rng.choice(names), number())))
+        filler = " ".join(rng.choice(words) for _ in range(60))
+        docs.append((i, f"{filler}. {question(rng, parts, rng.choice(names), number())} {filler}."))
+        docs.append((1000 + i, ". ".join(" ".join(rng.choice(words) for _ in range(9)) for _ in range(15))))
+    found = rows(decontamination.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")), "doc_id", "item_id")
+    assert sum(d == i for d, i in found) >= 36 and not any(d >= 1000 for d, _ in found)
+
+
+def test_pipeline_stages_take_odd_rows(spark, odd, none):
+    sf = "/root/testdata/sf0.001"
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, odd, sf)
+        assert out.columns == odd.columns and f(spark, none, sf).count() == 0
+        kept = rows(out, "doc_id")
+        assert (4,) in kept and (5,) in kept and (None,) in kept, name  # null and empty texts stay
+        assert out.count() == {"toxicity": 16, "line_dedup": out.count(), "ngram_jaccard_join": 12, "decontamination": 16}[name]
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, sf)
+    assert packed.where("start = 0").count() == odd.count() and corpus_pipeline.STAGES[-1][1](spark, none, sf).count() == 0
