@@ -57,17 +57,6 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-@contextmanager
-def collected() -> Iterator[list[str]]:
-    """The folders staged inside, but for those of a ``scratch``; whoever collects them deletes them."""
-    held: list[str] = []
-    token = _scratch.set(held)
-    try:
-        yield held
-    finally:
-        _scratch.reset(token)
-
-
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is staged inside is deleted at the end; results that outlive it are staged after it, from tables that are still there."""

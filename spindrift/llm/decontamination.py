@@ -134,7 +134,7 @@ def _met(rows: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
     if items.count() <= BROADCAST_WINDOWS:
         met = found.join(F.broadcast(items), "h")
     else:
-        met = found.withColumn("_deal", F.pmod("uid", F.lit(PARTS))).join(items.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).cast("long")), ["h", "_deal"]).drop("_deal")
+        met = found.withColumn("_deal", F.pmod("uid", F.lit(PARTS))).join(items.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))), ["h", "_deal"]).drop("_deal")
     once = Window.partitionBy("uid", "item_id", "h", "item_pos").orderBy("pos")
     return met.withColumn("k", F.row_number().over(once) - 1).where(F.col("k") % F.col("turns") == F.col("turn"))
 
