@@ -283,7 +283,8 @@ def each_safely(df: DataFrame, keys: list[str], compute, schema: str, errors: st
         import pandas as pd
 
         try:
-            return compute(pdf).assign(error=None)
+            out = compute(pdf)
+            return out.assign(error=pd.Series([""] * len(out), index=out.index, dtype=object))
         except Exception as e:
             if errors == "raise":
                 raise
@@ -293,4 +294,5 @@ def each_safely(df: DataFrame, keys: list[str], compute, schema: str, errors: st
 
     kind = StructType.fromDDL(schema).add("error", StringType())
     names = [f.name for f in kind.fields]
-    return df.groupBy(*keys).applyInPandas(lambda pdf: safe(pdf).reindex(columns=names), kind)
+    found = df.groupBy(*keys).applyInPandas(lambda pdf: safe(pdf).reindex(columns=names).astype({"error": object}), kind)
+    return found.withColumn("error", F.nullif(F.col("error"), F.lit("")))
