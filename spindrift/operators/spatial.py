@@ -214,7 +214,7 @@ def correlations_with(curves: DataFrame, chosen: DataFrame, key: str, along: str
 
 
 def normalised_by_peak(curves: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Curves divided by their greatest value, with ``place``: keys in order of the bin where that lies."""
+    """Curves divided by their greatest value; ``selection.ranked_by_peak`` puts them in order of its bin."""
     w = Window.partitionBy(*keys)
     return curves.withColumn(value, ratio(F.col(value), F.max(value).over(w)))
 
