@@ -26,8 +26,8 @@ from .shingles import chunks, mix, shingle_sets
 
 #: Smallest hashes of a set, and how many two sets must share to be tried in the first step.
 SMALLEST, SHARED = 8, 3
-#: Rounds of the first step at most; each leaves fewer pairs for the second and changes no result.
-ROUNDS = 4
+#: Rounds with hubs at most, by smallest hashes and by prefixes; each leaves fewer pairs for the join and changes no result.
+ROUNDS, PREFIX_ROUNDS = 1, 1
 #: Shingles in so many sets count as common and go last in the order; at most COMMON of them are broadcast
 #: (16 bytes each). The order changes cost alone, never results.
 OFTEN, COMMON = 32, 200_000
@@ -243,8 +243,8 @@ def _components(rows: DataFrame, length: int, threshold: int) -> DataFrame:
     links, near = None, None
     for turn in range(ROUNDS):
         placed = small.withColumn("component", F.col("uid")) if near is None else small.join(near.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-        # the hub of a shingle is another one in each round
-        order = F.struct(F.xxhash64("uid", F.lit(turn)).alias("o"), "uid", "component")
+        # the hub of a shingle: first its earliest row, as originals come before their copies, then another one in each round
+        order = F.struct((F.col("uid") if turn == 0 else F.xxhash64("uid", F.lit(turn))).alias("o"), "uid", "component")
         hubs = placed.groupBy("token", "band").agg(F.min(order).alias("hub")).select("token", "band", F.col("hub.uid").alias("hub"), F.col("hub.component").alias("hub_component"))
         tries = placed.join(hubs, ["token", "band"]).where(F.col("component") != F.col("hub_component")).groupBy("uid", "hub").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARED)
         best = tries.groupBy("uid").agg(F.max(F.struct("k", (-F.col("hub")).alias("h"))).alias("x"))
@@ -264,6 +264,18 @@ def _components(rows: DataFrame, length: int, threshold: int) -> DataFrame:
     labels = table.select("uid", "rep").join(near.select(F.col("node").alias("rep"), "component"), "rep", "left").select("uid", "rep", F.coalesce("component", "rep").alias("component"))
     labelled = met.join(labels, "uid").groupBy("token", "rep", "component").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     labelled = staged(labelled, "jaccard-labelled")
+    # hubs of a shingle's sets: the one with fewest shingles of its own before it, as an original has none beside its copies
+    for _ in range(PREFIX_ROUNDS):
+        hubs = labelled.groupBy("token").agg(F.min(F.struct("pos", "n", "rep", "component")).alias("hub"), F.max("component").alias("hi"), F.min("component").alias("lo")).where("lo < hi").select("token", "hub")
+        tries = labelled.join(hubs, "token").where(F.col("component") != F.col("hub.component")).groupBy("rep", F.col("hub.rep").alias("hub")).agg(F.count(F.lit(1)).alias("k"), F.min("hub.pos").alias("p"))
+        best = tries.groupBy("rep").agg(F.max(F.struct((-F.col("p")).alias("p"), "k", (-F.col("hub")).alias("h"))).alias("x"))
+        firsts = staged(best.select(F.col("rep").alias("a"), (-F.col("x.h")).alias("b")), "jaccard-hubs")
+        more = staged(_verified(rows, firsts, length, threshold), "jaccard-hub-links")
+        if more.isEmpty():
+            break
+        near = components(near.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "jaccard-stars")
+        moved = labelled.drop("component").join(near.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        labelled = staged(moved.select("token", "rep", "component", "n", "pos"), "jaccard-labelled")
     between = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_ = labelled.join(between, "token")
     x, y = open_.alias("x"), open_.alias("y")
