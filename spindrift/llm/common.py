@@ -40,13 +40,16 @@ _scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 _outer: ContextVar[list[str] | None] = ContextVar("outer", default=None)
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back; later jobs survive lost executors."""
+def staged(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back; later jobs survive lost executors.
+
+    ``by`` names a column of few values whose rows later steps read one value at a time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     if (held := _scratch.get()) is not None:
         held.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
