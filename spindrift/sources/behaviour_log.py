@@ -18,8 +18,8 @@ def parsed(lines: DataFrame, key: str = "file", text: str = "value", errors: str
     A line that is no message, or has no time, is left out (``skip``; ``broken_lines`` lists those), kept in a column
     ``broken`` (``keep``), or ends the job (``raise``). What a log says about itself (``settings``) is no message.
     """
-    rows = lines.where(F.length(F.trim(text)) > 0).select(key, F.from_json(text, SCHEMA).alias("m"), F.col(text).alias("_text"))
-    rows = rows.where(~F.col("_text").contains('"settings"'))
+    rows = lines.where(F.length(F.trim(text)) > 0).select(key, F.from_json(text, f"{SCHEMA}, settings string").alias("m"), F.col(text).alias("_text"))
+    rows = rows.where("m.settings is null").withColumn("m", F.col("m").dropFields("settings"))
     bad = F.col("m.time").isNull()
     if errors == "keep":
         return rows.select(key, "m.*", F.when(bad, F.col("_text")).alias("broken"))
