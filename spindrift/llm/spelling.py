@@ -5,8 +5,9 @@
    after it and the set of numbers of letters that may still follow, as bits, so that hopeless steps are not taken.
    At most 90 letters exist, so a node has at most 90 * 91 of these.
 3. States (word, position, node, edits) start on the word's own path and are joined with the node table, level by level:
-   a state without an edit steps on, or spends its edit on a replaced, inserted or deleted letter; a state with an edit
-   only follows its word. States at the end of their word on a node where a word ends are neighbours.
+   a state without an edit steps on, or spends its edit on a deleted letter or on one replaced by a greater; a state with an edit
+   only follows its word. States at the end of their word on a node where a word ends are neighbours, and so is the other way round:
+   what is an insertion or a replacement by a smaller letter from one end is among these from the other.
    Two words that differ by one edit share a prefix or a suffix of half their length, so there is a second trie of reversed
    words, and in both the edit is spent in the second half only, where nodes have few edges.
 4. Words beyond ``LONG`` letters (runs without a blank) would need a level for each letter. They meet by keys of the word with
@@ -73,7 +74,7 @@ def words(docs: DataFrame, least_letters: int = 7, least_count: int = 2, every:
 def node_table(spelt: DataFrame) -> DataFrame:
     """(level, d, node, kids): the tries of ``spelt`` (d, s), from the levels that half-length words may reach on."""
     n = F.length("s")
-    path = spelt.select("d", "s", F.explode(F.sequence(F.floor((n - 2) / 2).cast("int"), n)).alias("level"))
+    path = spelt.select("d", "s", F.explode(F.sequence(F.floor((n - 1) / 2).cast("int"), n)).alias("level"))
     edges = path.select(
         "level", "d", F.expr("substring(s, 1, level)").alias("node"), F.expr("substring(s, level + 1, 1)").alias("ch"), F.expr("substring(s, level + 2, 1)").alias("after"),
         F.expr("shiftleft(1L, greatest(length(s) - level - 1, 0))").alias("rest"),
@@ -88,8 +89,7 @@ CASE WHEN edits = 1 THEN
   transform(filter(kids, k -> k.ch = a AND k.after = b AND getbit(k.rests, greatest(left - 1, 0)) = 1), k -> struct(pos + 1 AS pos, concat(node, k.ch) AS node, 1 AS edits))
 ELSE concat(
   filter(array(struct(pos + 1 AS pos, concat(node, a) AS node, 0 AS edits)), k -> left > 0),
-  transform(filter(kids, k -> left > 0 AND k.ch <> '' AND k.ch <> a AND k.after = b AND getbit(k.rests, greatest(left - 1, 0)) = 1), k -> struct(pos + 1 AS pos, concat(node, k.ch) AS node, 1 AS edits)),
-  transform(filter(kids, k -> k.ch <> '' AND k.ch <> a AND k.after = a AND getbit(k.rests, left) = 1), k -> struct(pos AS pos, concat(node, k.ch) AS node, 1 AS edits)),
+  transform(filter(kids, k -> left > 0 AND k.ch > a AND k.after = b AND getbit(k.rests, greatest(left - 1, 0)) = 1), k -> struct(pos + 1 AS pos, concat(node, k.ch) AS node, 1 AS edits)),
   transform(filter(kids, k -> left > 1 AND k.ch = b AND b <> a AND k.after = c AND getbit(k.rests, greatest(left - 2, 0)) = 1), k -> struct(pos + 2 AS pos, concat(node, k.ch) AS node, 1 AS edits)),
   transform(filter(kids, k -> left = 1 AND k.ch = ''), k -> struct(pos + 1 AS pos, node AS node, 1 AS edits))
 ) END"""
@@ -120,7 +120,8 @@ def trie_neighbours(found: DataFrame) -> DataFrame:
     for e in ends[1:]:
         near = near.unionByName(e)
     back = F.col("d") == 1
-    return near.select(F.when(back, F.reverse("s")).otherwise(F.col("s")).alias("word"), F.when(back, F.reverse("node")).otherwise(F.col("node")).alias("near")).distinct()
+    near = near.select(F.when(back, F.reverse("s")).otherwise(F.col("s")).alias("word"), F.when(back, F.reverse("node")).otherwise(F.col("node")).alias("near")).distinct()
+    return near.unionByName(near.select(F.col("near").alias("word"), F.col("word").alias("near")))
 
 
 def _without_one(word: str) -> tuple[list[list[int]], list[int]]:
