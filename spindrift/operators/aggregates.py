@@ -39,6 +39,13 @@ def cumulants(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return sums.select(*keys, "k1", ratio(F.col("s2"), n - 1).alias("k2"), (n * n * m3 / F.nullif((n - 1) * (n - 2), F.lit(0.0))).alias("k3"), k4.alias("k4"))
 
 
+def complete_frames(df: DataFrame, together: list[str], frame: str, value: str = "value") -> DataFrame:
+    """Rows of the frames in which no region of ``together`` (an experiment's keys) misses its value; NaN is missing too."""
+    missing = F.col(value).isNull() | F.isnan(F.col(value).cast("double"))
+    gaps = df.where(missing).select(*together, frame).distinct()
+    return df.join(gaps, [*together, frame], "left_anti")
+
+
 def histogram(df: DataFrame, column: str, lower: float, upper: float, nbins: int, keys: list[str]) -> DataFrame:
     """Counts in equal bins of [lower, upper], the last closed; bins without values count 0."""
     width = (upper - lower) / nbins

@@ -87,10 +87,25 @@ def gaussian_rolling(df: DataFrame, column: str, width: int, sigma: float, name:
 
 
 def debounced(df: DataFrame, flag: str, seconds: float, fs: float, name: str, keys: list[str], order: str = "frame") -> DataFrame:
-    """Median filter of a boolean over an odd window, edges reflected by what the window still holds."""
+    """Median filter of a boolean over 2 (fs seconds // 2) + 1 rows; beyond its ends a trace is reflected, the last row first.
+
+    Rows near an end stand in for those beyond it, so the window is always whole and never ties. A null counts as false.
+    """
     half = int(fs * seconds) // 2
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, half)
-    return df.withColumn(name, F.avg(F.col(flag).cast("double")).over(w) > 0.5)
+    by = Window.partitionBy(*keys)
+    n = F.count(F.lit(1)).over(by)
+    rows = df.withColumn("_i", F.row_number().over(by.orderBy(order)).cast("int") - 1).withColumn("_n", n.cast("int"))
+    turns = F.ceil(F.lit(half) / (2 * F.col("_n"))).cast("int") + 1
+    places = F.flatten(F.transform(F.sequence(-turns, turns), lambda k: F.array(F.col("_i") + 2 * F.col("_n") * k, -1 - F.col("_i") + 2 * F.col("_n") * k)))
+    rows = rows.withColumn("_p", F.explode(F.filter(places, lambda p: (p >= -half) & (p < F.col("_n") + half))))
+    hits = F.sum(F.coalesce(F.col(flag).cast("int"), F.lit(0))).over(by.orderBy("_p").rowsBetween(-half, half))
+    return rows.withColumn(name, hits > half).where("_p = _i").drop("_i", "_n", "_p")
+
+
+def running(df: DataFrame, keys: list[str], fs: float = 10.0, threshold: int = 4, seconds: float = 4.0, name: str = "running", order: str = "frame") -> DataFrame:
+    """Frames of running: velocity, cut to whole numbers, over ``threshold``, debounced over ``seconds``."""
+    fast = df.withColumn("_fast", F.col("velocity").cast("double").cast("long") > threshold)
+    return debounced(fast, "_fast", seconds, fs, name, keys, order).drop("_fast")
 
 
 def zscore(df: DataFrame, column: str, name: str, keys: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,6 +113,21 @@ def velocity(df: DataFrame, keys: list[str], order: str = "frame", position: str
     return step.withColumn("velocity", F.coalesce(F.last(F.when(F.abs("_d") <= jump, F.col("_d")), True).over(upto), F.lit(0.0))).drop("_d")
 
 
+def smoothed_velocity(df: DataFrame, keys: list[str], interval: float, sigma: float = 0.1, track: float | None = None, order: str = "frame", whole: bool = False) -> DataFrame:
+    """``velocity`` per second, smoothed with a Gaussian of 8 sigma frames, zeros beyond the ends.
+
+    ``interval`` is a frame in seconds and ``sigma`` seconds; sigma becomes frames by rounding, or upwards with ``whole``. With ``track`` (mm), changes
+    of position become cm per second; without it velocities are taken as they are.
+    """
+    from .spatial import smooth_same
+
+    frames = max(1, math.ceil(sigma / interval - 1e-9) if whole else round(sigma / interval))
+    speed = F.col("velocity") if track is None else F.col("velocity") * (track / 10 / interval)
+    # the smoothing reads a column of its own name
+    rows = df.withColumnsRenamed({"value": "_value"}).withColumn("value", F.coalesce(speed, F.lit(0.0)))
+    return smooth_same(rows, keys, float(frames), order=(order,)).drop("value", "velocity").withColumnsRenamed({"smoothed": "velocity", "_value": "value"})
+
+
 def ar_coefficients(df: DataFrame, keys: list[str], value: str = "value", order: str = "frame") -> DataFrame:
     """Yule-Walker coefficients of orders 1 and 2 in closed form, from autocovariances at lags 0 to 2."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -143,8 +143,14 @@ def information(curves: DataFrame, keys: list[str], share: str | None = None, va
     return out.select(*keys, "skaggs", "entropy", (F.log2(F.col("_n").cast("double")) - F.col("entropy")).alias("tuning_score"))
 
 
-def centres(curves: DataFrame, keys: list[str], n: int, value: str = "value") -> DataFrame:
-    """Centre of mass by bin, and circular centroid (radians, bins on linspace(0, 2 pi, n) with the end)."""
+def centres(curves: DataFrame, keys: list[str], n: int, value: str = "value", part: float | None = None) -> DataFrame:
+    """Centre of mass by bin, and circular centroid (radians, bins on linspace(0, 2 pi, n) with the end).
+
+    With ``part``, values below that share of the curve's greatest count as 0.
+    """
+    if part is not None:
+        top = F.max(value).over(Window.partitionBy(*keys))
+        curves = curves.withColumn("_top", top).withColumn(value, F.when(F.col(value) < part * F.col("_top"), F.lit(0.0)).otherwise(F.col(value)))
     theta = F.col("bin") * F.lit(2 * math.pi / (n - 1))
     return curves.groupBy(*keys).agg(
         ratio(F.sum(F.col("bin") * F.col(value)), F.sum(value)).alias("com"), F.atan2(F.sum(F.sin(theta) * F.col(value)), F.sum(F.cos(theta) * F.col(value))).alias("centroid"), F.min_by("bin", F.struct(-F.col(value), "bin")).alias("peak")
@@ -242,6 +248,21 @@ def curve_correlations(curves: DataFrame, key: str, along: str, by: list[str], v
     return a.join(b, [*by, along]).where("a < b").groupBy(*by, "a", "b").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
 
 
+def population_correlations(first: DataFrame, second: DataFrame, along: str, by: list[str], value: str = "value") -> DataFrame:
+    """Pearson r and p of the population at each bin of one set of curves with that at each bin of another: by, a, b, r, n, p.
+
+    The sets are curves under two time filters, or the same twice. Regions (``along``) that miss a value in either bin are left out
+    of that pair; r is null where fewer than two are left or a population is constant, p where fewer than three are.
+    """
+    known = lambda df: df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    a = known(first).select(*by, along, F.col("bin").alias("a"), F.col(value).alias("x"))
+    b = known(second).select(*by, along, F.col("bin").alias("b"), F.col(value).alias("y"))
+    # bins are few: a pair of them is one row of sums, added up before the shuffle
+    found = a.join(b, [*by, along]).groupBy(*by, "a", "b").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
+    r = F.nanvl("r", F.lit(None).cast("double"))
+    return found.withColumn("r", r).withColumn("p", correlation_p(F.col("r"), F.col("n")))
+
+
 def cross_correlation(curves: DataFrame, lap: str, keys: list[str], n: int, first: int, last: int) -> DataFrame:
     """Population cross-correlation of all lap pairs (a < b) at shifts ``first`` to ``last``, wrapped round ``n`` bins."""
     a = curves.select(*keys, "bin", F.col(lap).alias("a"), F.col("value").alias("x"))

@@ -25,18 +25,20 @@ def spatial_tuning(df: DataFrame, keys: list[str], n: int, sigma: float | None =
 
 
 def simple_tuning(df: DataFrame, keys: list[str], n: int, sigma: float | None = None, circular: bool = False) -> DataFrame:
-    """Pooled curve with missing bins interpolated from both sides, smoothed with a kernel of 8 sigma points.
+    """Pooled curve with missing bins interpolated from both sides, smoothed with a kernel of 8 sigma points, and missing again after that.
 
     Linear tracks see zeros beyond their ends; on circular ones the curve goes on with itself.
     """
-    curve = interpolated(spatial.raster(df, keys, n), "value", "value", keys, "bin")
+    raw = spatial.raster(df, keys, n)
     if sigma is None:
-        return curve
+        return raw
+    curve = interpolated(raw.withColumn("_gap", F.col("value").isNull()), "value", "value", keys, "bin")
+    again = F.when(~F.col("_gap"), F.col("smoothed"))
     if not circular:
-        return spatial.smooth_same(curve, keys, sigma).drop("value").withColumnRenamed("smoothed", "value")
+        return spatial.smooth_same(curve, keys, sigma).withColumn("value", again).drop("smoothed", "_gap")
     thrice = curve.withColumn("_turn", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("bin", F.col("bin") + F.col("_turn") * n)
     smooth = spatial.smooth_same(thrice, keys, sigma).where("_turn = 0")
-    return smooth.drop("_turn", "value").withColumnRenamed("smoothed", "value")
+    return smooth.withColumn("value", again).drop("_turn", "smoothed", "_gap")
 
 
 def event_tuning(events: DataFrame, positions: DataFrame, rois: DataFrame, n: int, keys: list[str]) -> DataFrame:

@@ -50,7 +50,10 @@ def rolling_gaussian(spark, sf_dir):
     return out.select("roi", "frame", stable("s").alias("s"))
 
 
-@query("debounce", with_views("sig_short") + " SELECT roi, frame, avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY roi ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) > 0.5 AS running FROM sig_short")
+_REFLECTED = ", f AS (SELECT roi, frame, CASE WHEN {} THEN 1 ELSE 0 END f, row_number() OVER (PARTITION BY roi ORDER BY frame) - 1 i, count(*) OVER (PARTITION BY roi) n FROM sig_short), e AS (SELECT roi, f, n, i + 2 * n * k p FROM f CROSS JOIN range(-3, 4) g(k) UNION ALL SELECT roi, f, n, 2 * n * k - 1 - i FROM f CROSS JOIN range(-3, 4) g(k)), w AS (SELECT * FROM e WHERE p >= -2 AND p < n + 2) SELECT a.roi, a.frame, sum(w.f) > 2 AS running FROM f a JOIN w ON w.roi = a.roi AND w.p BETWEEN a.i - 2 AND a.i + 2 GROUP BY a.roi, a.frame"
+
+
+@query("debounce", with_views("sig_short") + _REFLECTED.format("value > 20"))
 def debounce(spark, sf_dir):
     rows = views.sig_short(spark, sf_dir).withColumn("f", F.col("value") > 20)
     return rolling.debounced(rows, "f", 4, 1, "running", ROI).select("roi", "frame", "running")

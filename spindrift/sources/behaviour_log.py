@@ -179,12 +179,34 @@ def actions(messages: DataFrame, kind: str, key: str = "file") -> DataFrame:
     return messages.where(m.isNotNull()).select(key, name.alias("name"), F.col("time").alias("t"), action.alias("action")).where("action is not null")
 
 
-def velocity(messages: DataFrame, dt: float, key: str = "file") -> DataFrame:
-    """Movement per second in bins of ``dt`` seconds, 0 where no update came."""
+def velocity(messages: DataFrame, dt: float, key: str = "file", sigma: float | None = None) -> DataFrame:
+    """Movement per second in bins of ``dt`` seconds, 0 where no update came; with ``sigma`` (seconds), smoothed over as many whole frames as cover it."""
+    from ..operators.signals import smoothed_velocity
+
     d = messages.where("position_controller is not null").select(key, F.floor(F.col("time") / F.lit(dt)).cast("int").alias("frame"), F.col("position_controller.position.dy").alias("dy"))
     sums = d.groupBy(key, "frame").agg(F.sum("dy").alias("dy"))
     spine = sums.groupBy(key).agg(F.max("frame").alias("m")).select(key, F.explode(F.sequence(F.lit(0), "m")).alias("frame"))
-    return spine.join(sums, [key, "frame"], "left").select(key, "frame", (F.coalesce("dy", F.lit(0.0)) / F.lit(dt)).alias("velocity"))
+    found = spine.join(sums, [key, "frame"], "left").select(key, "frame", (F.coalesce("dy", F.lit(0.0)) / F.lit(dt)).alias("velocity"))
+    return found if sigma is None else smoothed_velocity(found, [key], dt, sigma, whole=True)
+
+
+def shuffled_cues(intervals: DataFrame, keys: list[str], total: float, seed: int = 0) -> DataFrame:
+    """Cues dealt anew: the intervals of each group keep their lengths and their order is drawn by hash, and the gaps between them likewise.
+
+    Starts and ends stay inside [0, total], no two cues overlap. Cues that miss an end go; a group's cues must not overlap to begin with.
+    """
+    w = Window.partitionBy(*keys)
+    rows = intervals.where("onset is not null and offset is not null").withColumn("_i", F.row_number().over(w.orderBy("onset", "offset"))).withColumn("_n", F.count(F.lit(1)).over(w))
+    before = F.coalesce(F.lag("offset").over(w.orderBy("_i")), F.lit(0.0))
+    rows = rows.withColumn("_gap", F.col("onset") - before).withColumn("_long", F.col("offset") - F.col("onset")).withColumn("_end", F.lit(float(total)) - F.max("offset").over(w))
+    # n + 1 gaps stand before, between and behind n cues; the last one is dealt with the others
+    gaps = rows.select(*keys, "_i", "_gap").unionByName(rows.where("_i = _n").select(*keys, (F.col("_i") + 1).alias("_i"), F.col("_end").alias("_gap")))
+    drawn = lambda what: F.row_number().over(w.orderBy(F.xxhash64(F.lit(f"{seed} {what}"), *keys, "_i"), "_i"))
+    gaps = gaps.withColumn("_to", drawn("gap")).select(*keys, F.col("_to").alias("_i"), "_gap")
+    cues = rows.withColumn("_to", drawn("cue")).drop("_i", "_gap", "_n", "_end", "onset", "offset").withColumnRenamed("_to", "_i")
+    upto = w.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    met = cues.join(gaps, [*keys, "_i"]).withColumn("offset", F.sum(F.col("_gap") + F.col("_long")).over(upto)).withColumn("onset", F.col("offset") - F.col("_long"))
+    return met.select(*intervals.columns)
 
 
 def interval_frames(intervals: DataFrame, dt: float, total: float, keys: list[str]) -> DataFrame:
