@@ -1,12 +1,11 @@
 """Spelling variants: one-edit neighbours from a frontier of states over a distributed trie.
 
 1. Words are counted in tasks and added up by Spark.
-2. The trie is a table: one row for each node (a prefix), with its outgoing edges. An edge holds its letter, the letter
-   after it and the set of numbers of letters that may still follow, as bits, so that hopeless steps are not taken.
-   At most 90 letters exist, so a node has at most 90 * 91 of these.
-3. States (word, position, node, edits) start on the word's own path and are joined with the node table, level by level:
-   a state without an edit steps on, or spends its edit on a deleted letter or on one replaced by a greater; a state with an edit
-   only follows its word. States at the end of their word on a node where a word ends are neighbours, and so is the other way round:
+2. The trie is a table of edges: from a node (a prefix) by a letter, with the letter after it and the set of numbers of letters
+   that may still follow, as bits, so that hopeless steps are not taken. At most 90 letters exist, so a node has at most
+   91 * 91 of these.
+3. States (word, position, node, edits) are joined with the edges, level by level. A state without an edit is on the word's own
+   path; it spends its edit on a deleted letter or on one replaced by a greater. A state with an edit only follows its word. States at the end of their word on a node where a word ends are neighbours, and so is the other way round:
    what is an insertion or a replacement by a smaller letter from one end is among these from the other.
    Two words that differ by one edit share a prefix or a suffix of half their length, so there is a second trie of reversed
    words, and in both the edit is spent in the second half only, where nodes have few edges.
@@ -71,51 +70,49 @@ def words(docs: DataFrame, least_letters: int = 7, least_count: int = 2, every:
     return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
 
 
-def node_table(spelt: DataFrame) -> DataFrame:
-    """(level, d, node, kids): the tries of ``spelt`` (d, s), from the levels that half-length words may reach on."""
+def edge_table(spelt: DataFrame) -> DataFrame:
+    """(level, d, node, ch, after, rests): the tries of ``spelt`` (d, s), from the levels that states may reach on; the end of a word is an edge without a letter."""
     n = F.length("s")
     path = spelt.select("d", "s", F.explode(F.sequence(F.floor((n - 1) / 2).cast("int"), n)).alias("level"))
     edges = path.select(
         "level", "d", F.expr("substring(s, 1, level)").alias("node"), F.expr("substring(s, level + 1, 1)").alias("ch"), F.expr("substring(s, level + 2, 1)").alias("after"),
         F.expr("shiftleft(1L, greatest(length(s) - level - 1, 0))").alias("rest"),
     )
-    edges = edges.groupBy("level", "d", "node", "ch", "after").agg(F.bit_or("rest").alias("rests"))
-    return edges.groupBy("level", "d", "node").agg(F.collect_list(F.struct("ch", "after", "rests")).alias("kids"))
-
-
-#: States after one step. a, b, c: the word's next letters, '' behind its end; left: how many there are.
-_STEP = """
-CASE WHEN edits = 1 THEN
-  transform(filter(kids, k -> k.ch = a AND k.after = b AND getbit(k.rests, greatest(left - 1, 0)) = 1), k -> struct(pos + 1 AS pos, concat(node, k.ch) AS node, 1 AS edits))
-ELSE concat(
-  filter(array(struct(pos + 1 AS pos, concat(node, a) AS node, 0 AS edits)), k -> left > 0),
-  transform(filter(kids, k -> left > 0 AND k.ch > a AND k.after = b AND getbit(k.rests, greatest(left - 1, 0)) = 1), k -> struct(pos + 1 AS pos, concat(node, k.ch) AS node, 1 AS edits)),
-  transform(filter(kids, k -> left > 1 AND k.ch = b AND b <> a AND k.after = c AND getbit(k.rests, greatest(left - 2, 0)) = 1), k -> struct(pos + 2 AS pos, concat(node, k.ch) AS node, 1 AS edits)),
-  transform(filter(kids, k -> left = 1 AND k.ch = ''), k -> struct(pos + 1 AS pos, node AS node, 1 AS edits))
-) END"""
+    return edges.groupBy("level", "d", "node", "ch", "after").agg(F.bit_or("rest").alias("rests"))
 
 
 def trie_neighbours(found: DataFrame) -> DataFrame:
     """(word, near) for words of up to ``LONG`` letters, both ways round; inside a ``scratch``."""
-    spelt = found.select(F.explode(F.array(F.struct(F.lit(0).alias("d"), F.col("word").alias("s")), F.struct(F.lit(1).alias("d"), F.reverse("word").alias("s")))).alias("x")).select("x.*")
-    nodes = staged(node_table(spelt), "spelling-nodes", by="level")
-    start = F.floor((F.length("s") - 1) / 2).cast("int")
-    starts = spelt.select(start.alias("level"), "d", "s", start.alias("pos"), F.substring("s", F.lit(1), start).alias("node"), F.lit(0).alias("edits"))
-    starts = staged(starts, "spelling-starts", by="level")
+    spelt = staged(found.select(F.explode(F.array(F.struct(F.lit(0).alias("d"), F.col("word").alias("s")), F.struct(F.lit(1).alias("d"), F.reverse("word").alias("s")))).alias("x")).select("x.*"), "spelling-spelt")
+    edges = staged(edge_table(spelt), "spelling-edges", by="level")
     bounds = found.agg(F.min(F.length("word")), F.max(F.length("word"))).first()
     if bounds[0] is None:
         return found.select("word", F.col("word").alias("near")).limit(0)
-    ends, states = [], None
-    columns = ["d", "s", "pos", "node", "edits"]
+
+    def ahead(states: DataFrame) -> DataFrame:
+        """With the word's next letters a, b, c ('' behind its end) and how many are left."""
+        return states.withColumns({"left": F.length("s") - F.col("pos"), **{x: F.expr(f"substring(s, pos + {i + 1}, 1)") for i, x in enumerate("abc")}})
+
+    ends, edited = [], None
+    fits = F.expr("getbit(rests, need) = 1")
+    step = [F.col("d"), F.col("s"), F.col("pos"), F.concat("node", "ch").alias("node")]
     for level in range((bounds[0] - 1) // 2, bounds[1] + 1):
-        entering = starts.where(F.col("level") == level).select(*columns)
-        states = entering if states is None else states.unionByName(entering)
-        met = states.join(nodes.where(F.col("level") == level).drop("level"), ["d", "node"])
-        met = met.withColumns({"left": F.length("s") - F.col("pos"), **{x: F.expr(f"substring(s, pos + {i + 1}, 1)") for i, x in enumerate("abc")}})
-        made = staged(met.select("d", "s", F.explode(F.expr(_STEP)).alias("x")).select("d", "s", "x.*"), "spelling-states")
-        done = (F.col("edits") == 1) & (F.col("pos") == F.length("s"))
+        here = edges.where(F.col("level") == level).drop("level")
+        # without an edit a word is on its own path
+        plain = spelt.where((F.floor((F.length("s") - 1) / 2) <= level) & (F.length("s") > level)).select("d", "s", F.lit(level).alias("pos"), F.expr(f"substring(s, 1, {level})").alias("node"))
+        plain = ahead(plain)
+        # a letter left out: on with the next but one; the last one: on to the end
+        one = plain.where("a <> b").select("d", "s", "node", F.expr("least(pos + 2, length(s))").alias("pos"), F.col("b").alias("ch"), F.col("c").alias("after"), F.greatest(F.col("left") - 2, F.lit(0)).alias("need"))
+        if edited is not None:
+            one = one.unionByName(ahead(edited).select("d", "s", "node", (F.col("pos") + 1).alias("pos"), F.col("a").alias("ch"), F.col("b").alias("after"), (F.col("left") - 1).alias("need")))
+        followed = one.join(here, ["d", "node", "ch", "after"]).where(fits).select(*step)
+        # a greater letter instead
+        other = plain.select("d", "s", "node", (F.col("pos") + 1).alias("pos"), "a", F.col("b").alias("after"), (F.col("left") - 1).alias("need"))
+        replaced = other.join(here, ["d", "node", "after"]).where(fits & F.expr("ch > a")).select(*step)
+        made = staged(followed.unionByName(replaced), "spelling-states")
+        done = F.col("pos") == F.length("s")
         ends.append(made.where(done))
-        states = made.where(~done).select(*columns)
+        edited = made.where(~done)
     near = ends[0]
     for e in ends[1:]:
         near = near.unionByName(e)
