@@ -31,6 +31,16 @@ def annotate(signals: DataFrame, metadata: DataFrame, keys: list[str]) -> DataFr
     return signals.join(cast, keys, "left")
 
 
+def composed(*tables: DataFrame, keys: list[str]) -> DataFrame:
+    """Metadata of several files as one: outer joins on ``keys``, each other column once, its first value that is not null."""
+    out = tables[0]
+    for table in tables[1:]:
+        both = [c for c in table.columns if c in out.columns and c not in keys]
+        met = out.join(table.withColumnsRenamed({c: f"_2_{c}" for c in both}), keys, "full")
+        out = met.withColumns({c: F.coalesce(c, f"_2_{c}") for c in both}).drop(*(f"_2_{c}" for c in both))
+    return out
+
+
 def pair_within(left: DataFrame, right: DataFrame, key: str, seconds: float) -> DataFrame:
     """Pairs of rows of one key whose times are at most ``seconds`` apart, the nearest right row for each left one.
 

@@ -135,7 +135,9 @@ def inter_trial(df: DataFrame, active: str, position: str, keys: list[str], lap:
 def real_time_frames(frames: DataFrame, events: DataFrame, pre: float, post: float, keys: list[str]) -> DataFrame:
     """Frames (keys, frame, t) from the first at or after onset - pre up to, but without, the last at or before offset + post."""
     e = events.withColumn("_a", F.col("onset") - pre).withColumn("_b", F.col("offset") + post).withColumn("_e", F.monotonically_increasing_id())
-    width = 60.0
+    # as wide as the median window, so that most events are in two buckets at most
+    middle = e.where("_a <= _b").agg(F.percentile_approx(F.col("_b") - F.col("_a"), 0.5)).first()[0]
+    width = max(float(middle or 0.0), 1e-3)
     bucket = lambda c: F.floor(c / F.lit(width))
     reach = e.where("_a <= _b").select(*keys, "_a", "_b", "_e", F.explode(F.sequence(bucket(F.col("_a")), bucket(F.col("_b")))).alias("_bucket"))
     near = frames.withColumn("_bucket", bucket(F.col("t"))).join(reach, [*keys, "_bucket"]).where("t >= _a and t <= _b")

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import around
+from .catalog import Filter
+from .intervals import around, frames_in
 
 
 def responsive(points: DataFrame, triggers: DataFrame, pre: float, post: float, keys: list[str], threshold: float = 0.5) -> DataFrame:
@@ -61,6 +62,46 @@ def fit_classifier(features: DataFrame, label: str, columns: list[str]):
     return Pipeline(stages=steps).fit(features.na.fill(0.0, columns))
 
 
+def ranked_by_centroid(curves: DataFrame, keys: list[str], by: list[str] | None = None, value: str = "value") -> DataFrame:
+    """Keys in order of their curve's centre of mass by bin, counted from 0 by ``place`` within ``by`` (sessions, say); without one come last.
+
+    A curve is one row before the ranking; a session's regions are ranked together.
+    """
+    at = curves.groupBy(*keys).agg((F.sum(F.col("bin") * F.col(value)) / F.nullif(F.sum(value), F.lit(0.0))).alias("centroid"))
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("centroid").asc_nulls_last(), *keys)
+    return at.withColumn("place", F.row_number().over(w) - 1)
+
+
+class FieldEdge:
+    """The start or stop of a place field, for conditions as they are written: ``(0.2 < start) & (start < 0.5)``.
+
+    Positions are shares of the track of ``n`` bins; comparing gives a filter over rows with the edge's column.
+    """
+
+    def __init__(self, column: str, n: int):
+        self.column, self.n = column, n
+
+    def _bin(self, position: float) -> int:
+        return int(position * (self.n - 1) + 1e-9)
+
+    def __gt__(self, position: float) -> Filter:
+        return Filter(F.col(self.column) > self._bin(position))
+
+    def __lt__(self, position: float) -> Filter:
+        return Filter(F.col(self.column) < self._bin(position))
+
+    def __ge__(self, position: float) -> Filter:
+        return Filter(F.col(self.column) >= self._bin(position))
+
+    def __le__(self, position: float) -> Filter:
+        return Filter(F.col(self.column) <= self._bin(position))
+
+
+def in_reward(frames: DataFrame, intervals: DataFrame, keys: list[str], inside: bool = True, name: str = "reward") -> DataFrame:
+    """Frames inside (or outside) the intervals (keys, name, onset, offset) called ``reward``."""
+    return frames_in(frames, intervals.where(F.col("name") == name), keys, "frame", inside=inside)
+
+
 def ranked_by_peak(curves: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Keys in order of the bin of their greatest value, the order counted from 0 by ``place``."""
     peaks = curves.groupBy(*keys).agg(F.min_by("bin", F.struct(-F.col(value), "bin")).alias("peak"))

@@ -170,6 +170,39 @@ def downsampled(df: DataFrame, keys: list[str], factor: int, value: str = "value
     return df.groupBy(*keys).applyInPandas(resample, f"{kinds}, `{value}` double")
 
 
+def resampled(df: DataFrame, keys: list[str], num: int, fs: float, max_truncation: float | None = None, truncate_output: bool = False, value: str = "value", order: str = "frame") -> DataFrame:
+    """Traces of ``num`` samples by the Fourier method, fewer than they had; keys, order (from 0), value.
+
+    With ``max_truncation`` (seconds), a trace is first cut to a multiple of the greatest power of two of samples that span at most that
+    long, which transforms fast; ``truncate_output`` cuts the result by the same rule at its own rate. A trace shorter than ``num`` is an error.
+    """
+
+    def cut(length: int, rate: float) -> int:
+        power = 1 << int(np.log2(rate * max_truncation))
+        if power < 2:
+            raise ValueError("the truncation must span two samples at least")
+        return length // power * power
+
+    def resample(pdf):
+        import pandas as pd
+
+        x = pdf.sort_values(order)[value].to_numpy(float)
+        length, m = len(x), num
+        if num > length:
+            raise ValueError("only fewer samples are supported")
+        if max_truncation is not None:
+            x = x[: cut(length, fs)]
+            m = cut(num, fs * num / length) if truncate_output else num
+        f = np.fft.rfft(x)[: m // 2 + 1].copy()
+        if m % 2 == 0 and m < len(x):
+            f[m // 2] = 2 * f[m // 2].real  # both halves of the highest frequency fall together
+        y = np.fft.irfft(f, m) * m / len(x) if m else np.zeros(0)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * m for k in keys}, order: np.arange(m), value: y})
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, order])
+    return df.groupBy(*keys).applyInPandas(resample, f"{kinds}, `{value}` double")
+
+
 def oasis_ar2(df: DataFrame, keys: list[str], decay: float, rise: float, name: str = "spikes", order: str = "frame", value: str = "value", rounds: int = 400) -> DataFrame:
     """Non-negative deconvolution by a kernel of two time constants (``decay`` > ``rise``, as factors a frame).
 

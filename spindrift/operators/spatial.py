@@ -263,10 +263,12 @@ def population_correlations(first: DataFrame, second: DataFrame, along: str, by:
     return found.withColumn("r", r).withColumn("p", correlation_p(F.col("r"), F.col("n")))
 
 
-def cross_correlation(curves: DataFrame, lap: str, keys: list[str], n: int, first: int, last: int) -> DataFrame:
-    """Population cross-correlation of all lap pairs (a < b) at shifts ``first`` to ``last``, wrapped round ``n`` bins."""
+def cross_correlation(curves: DataFrame, lap: str, keys: list[str], n: int, first: int, last: int, crop: bool = False) -> DataFrame:
+    """Population cross-correlation of all lap pairs (a < b) at shifts ``first`` to ``last``, wrapped round ``n`` bins; ``crop`` leaves the wrapped part out."""
     a = curves.select(*keys, "bin", F.col(lap).alias("a"), F.col("value").alias("x"))
     b = curves.select(*keys, F.col(lap).alias("b"), F.col("value").alias("y"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("lag"), F.col("bin").alias("_b")).withColumn("bin", F.pmod(F.col("_b") - F.col("lag"), F.lit(n)).cast("int"))
+    if crop:
+        b = b.where((F.col("_b") - F.col("lag") >= 0) & (F.col("_b") - F.col("lag") < n))
     return a.join(b, [*keys, "bin"]).where("a < b").groupBy("a", "b", "lag").agg(F.corr("x", "y").alias("r"))
 
 

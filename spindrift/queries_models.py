@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import views
 from .functions.numeric import stable
-from .operators import aggregates, autoregression, dynamics, hidden_states, movies, registration, rolling, signals, spatial, thresholds
+from .operators import aggregates, autoregression, dynamics, hidden_states, movies, records, registration, rolling, selection, signals, spatial, thresholds
 from .operators.sequences import sequences
 from .plans import population, tuning
 from .queries import _REFLECTED
@@ -230,3 +230,35 @@ def rasters_padded(spark, sf_dir):
     t = spatial.tuning(views.sig_long(spark, sf_dir), ["roi", "lap"], 10)
     first = t.groupBy("roi").agg((F.min("lap") + 2).alias("first_lap"))
     return rounded(population.padded_laps(t, first, ROI, 20, "bin"), "value")
+
+
+@query(
+    "cross_correlation_cropped",
+    with_views("sig_long")
+    + f", t AS (SELECT roi, lap, CAST(floor(position * 10.0::DOUBLE) AS INT) bin, avg(value) v FROM sig_long GROUP BY ALL) SELECT a.lap AS a, b.lap AS b, CAST(l.l AS INT) AS lag, {st('corr(a.v, b.v)', 'r')} FROM t a CROSS JOIN range(-2, 3) l(l) JOIN t b ON a.roi = b.roi AND a.lap < b.lap AND b.bin = a.bin + l.l GROUP BY ALL",
+)
+def cross_correlation_cropped(spark, sf_dir):
+    """Correlation of the population between laps at small shifts, without the part that a shift wraps round."""
+    t = spatial.tuning(views.sig_long(spark, sf_dir), ["roi", "lap"], 10)
+    return rounded(spatial.cross_correlation(t, "lap", ROI, 10, -2, 2, crop=True), "r")
+
+
+@query(
+    "weight_report",
+    "WITH w AS (SELECT c_name mouse_name, o_totalprice weight, o_orderdate date FROM customer JOIN orders ON o_custkey = c_custkey)"
+    + f" SELECT mouse_name, date, weight, {st('average', 'average')} FROM (SELECT *, avg(weight) OVER (PARTITION BY mouse_name) average FROM w) QUALIFY row_number() OVER (PARTITION BY mouse_name ORDER BY date DESC, weight DESC) <= 3",
+)
+def weight_report(spark, sf_dir):
+    """The newest three records of each mouse and the mean of all: customers as mice, orders as weights."""
+    mice = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mouse_id"), F.col("c_name").alias("mouse_name"))
+    weights = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("mouse_id"), F.col("o_totalprice").alias("weight"), F.col("o_orderdate").alias("date"))
+    return rounded(records.weight_report(records.weight_history(mice, weights), 3), "average")
+
+
+@query(
+    "centroid_order",
+    with_views("curves") + f", c AS (SELECT context, roi, sum(bin * value) / nullif(sum(value), 0) c FROM curves GROUP BY ALL) SELECT context, roi, {st('c', 'centroid')}, CAST(row_number() OVER (PARTITION BY context ORDER BY c NULLS LAST, roi) - 1 AS INT) AS place FROM c",
+)
+def centroid_order(spark, sf_dir):
+    """Regions of each session in order of their curve's centre of mass."""
+    return rounded(selection.ranked_by_centroid(views.curves(spark, sf_dir), ["context", "roi"], ["context"]), "centroid")

@@ -9,9 +9,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import staged
+
 KEYS = ["channel", "label", "signal_type"]
 
 
+def _as_value(df: DataFrame, column: str) -> DataFrame:
+    return df if column not in df.columns else df.drop("value").withColumnRenamed(column, "value")
+
+
 class Exists(ValueError):
     """Raised instead of overwriting."""
 
@@ -59,6 +65,31 @@ class Store:
         self.write(chosen, source[0], to_label, source[2], overwrite)
         return self.read(source[0], to_label, source[2])
 
+    def move(self, label: str, rois: DataFrame, to_label: str, kinds: list[tuple[str, str]], rest: bool = False, overwrite: bool = False, dry_run: bool = False) -> list[tuple[str, str]]:
+        """Move ``rois`` (or all others) of a label, in all its (channel, type) ``kinds`` that exist, to a new label; which ones are moved.
+
+        The new label is written and checked first, then the old one is put in place without them.
+        """
+        found = [(c, t) for c, t in kinds if self._exists(self._at(c, label, t))]
+        if not overwrite and (there := [k for k in found if self._exists(self._at(k[0], to_label, k[1]))]):
+            raise Exists(self._at(there[0][0], to_label, there[0][1]))
+        if dry_run:
+            return found
+        for channel, kind in found:
+            whole = self.read(channel, label, kind)
+            self.write(whole.join(rois.select("roi"), "roi", "left_anti" if rest else "left_semi"), channel, to_label, kind, True)
+            stay = staged(whole.join(rois.select("roi"), "roi", "left_semi" if rest else "left_anti"), "stay")
+            self.write(stay, channel, label, kind, True)
+        return found
+
+    def calculate_dfof(self, strategy: Callable[[DataFrame], DataFrame], label: str, channel: str = "Ch2", source: str = "raw", overwrite: bool = False) -> DataFrame:
+        """dF/F of stored raw signals, saved as type ``dfof``; the strategy's column ``dfof`` becomes the value."""
+        return self.calculate(lambda df: _as_value(strategy(df), "dfof"), (channel, label, source), "dfof", overwrite)
+
+    def infer_spikes(self, strategy: Callable[[DataFrame], DataFrame], label: str, channel: str = "Ch2", source: str = "dfof", overwrite: bool = False) -> DataFrame:
+        """Spikes of stored dF/F, saved as type ``spikes``; the strategy's column ``spikes`` becomes the value."""
+        return self.calculate(lambda df: _as_value(strategy(df), "spikes"), (channel, label, source), "spikes", overwrite)
+
     def write_events(self, events: DataFrame, label: str, event_type: str, channel: str, overwrite: bool = False) -> None:
         """Save one type of events (with onset and offset)."""
         at = f"{self.path}/events/label={label}/event_type={event_type}/channel={channel}"
@@ -116,10 +147,13 @@ class Store:
         if zscore:
             from ..operators.rolling import zscore as standardised
 
-            out = standardised(out, "value", "value", [c for c in out.columns if c == "roi"])
+            out = standardised(out, "value", "value", [c for c in out.columns if c not in ("frame", "t", "value")])
         if metadata is not None:
             out = out.join(metadata, "roi", "left")
-        return out if times is None else out.join(times.select("frame", "t"), "frame", "left")
+        if times is None:
+            return out
+        shared = [c for c in times.columns if c != "t" and c in out.columns]  # an experiment's key too, where both have one
+        return out.join(times.select(*shared, "t"), shared, "left")
 
     def delete_rois(self, label: str, channel: str, types: list[str], dry_run: bool = True) -> list[str]:
         """Remove a label's signals of these types; by default only say which ones are there."""
@@ -152,6 +186,12 @@ def trim_to(signals: DataFrame, behaviour: DataFrame, keys: list[str]) -> DataFr
     return signals.join(last, keys).where(F.col("frame") <= F.col("_last")).drop("_last")
 
 
+def trim_to_duration(signals: DataFrame, recordings: DataFrame, keys: list[str]) -> DataFrame:
+    """Signals of the frames that behaviour was recorded for: the first int(duration / frame_period) of each recording (keys, duration, frame_period)."""
+    frames = F.floor(F.col("duration") / F.col("frame_period") + 1e-9).cast("long")
+    return signals.join(recordings.select(*keys, frames.alias("_n")), keys).where(F.col("frame") < F.col("_n")).drop("_n")
+
+
 def binary(spikes: DataFrame, value: str = "value") -> DataFrame:
     """Spikes as 1 where positive, 0 elsewhere."""
     return spikes.withColumn(value, (F.coalesce(F.col(value), F.lit(0.0)) > 0).cast("double"))

@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import aggregates, models, rolling, signals, spatial, thresholds
+from spindrift.operators import aggregates, catalog, models, records, rolling, selection, signals, spatial, thresholds
 from spindrift.plans import population, tuning
-from spindrift.sources import behaviour_log
+from spindrift.sources import behaviour_log, store
 
 
 def reflected_median(x, half):
@@ -142,3 +142,79 @@ def test_population_correlations_of_two_filters(spark):
         density = gamma((v + 1) / 2) / (np.sqrt(v * pi) * gamma(v / 2)) * (1 + s**2 / v) ** (-(v + 1) / 2)
         inside = ((density[1:] + density[:-1]) / 2 * np.diff(s)).sum()
         assert abs(r["p"] - (1 - 2 * inside)) < 1e-6
+
+
+def test_records_of_weights_viruses_and_pages(spark):
+    mice = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "mouse_id int, mouse_name string")
+    weights = spark.createDataFrame([(1, 20.0, "2024-01-01"), (1, 22.0, "2024-01-03"), (1, 27.0, "2024-01-02"), (2, 9.0, "2024-01-01")], "mouse_id int, weight double, date string")
+    more = records.with_weight(weights, mice, "a", 31)
+    report = records.weight_report(records.weight_history(mice, more, ["a"]), 2).orderBy("weight").collect()
+    assert [(r["weight"], r["average"]) for r in report] == [(22.0, 25.0), (31.0, 25.0)]
+    for name in ("b", "z"):
+        with pytest.raises(KeyError):
+            records.with_weight(weights, mice, name, 1.0)
+    viruses = spark.createDataFrame([(7, "x"), (8, "y")], "virus_id int, label string")
+    attrs = spark.createDataFrame([(7, "titre", "1"), (7, "titre", "2"), (7, "site", "CA1"), (7, None, "?")], "virus_id int, attribute string, value string")
+    assert {r["virus_id"]: r["attributes"] for r in records.with_attributes(viruses, attrs, "virus_id").collect()} == {7: {"titre": "2", "site": "CA1"}, 8: {}}
+    pages = spark.createDataFrame([(1, "note", "well"), (2, "note", "ill")], "mouse_id int, attribute string, value string")
+    assert [tuple(r) for r in records.mouse_page(mice, pages, "a").collect()] == [("note", "well")]
+
+
+def test_resampling_keeps_low_frequencies(spark):
+    t = np.arange(1037) / 10
+    x = 2 + np.sin(2 * np.pi * 5 * np.arange(1037) / 1024)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "roi int, frame int, value double")
+    got = [r["value"] for r in signals.resampled(df, ["roi"], 256, 10.0, max_truncation=60.0).orderBy("frame").collect()]
+    np.testing.assert_allclose(got, 2 + np.sin(2 * np.pi * 5 * np.arange(256) / 256), atol=1e-9)  # cut to 1024 samples
+    short = signals.resampled(df, ["roi"], 256, 10.0, max_truncation=60.0, truncate_output=True)
+    assert short.count() == 256 // 128 * 128
+    even = signals.resampled(df.where("frame < 8"), ["roi"], 4, 10.0).orderBy("frame").collect()
+    f = np.fft.fft(x[:8])
+    y = np.array([f[0], f[1], f[2] + f[6], f[7]]) / 8
+    np.testing.assert_allclose([r["value"] for r in even], [sum(y[k] * np.exp(2j * np.pi * k * i / 4) for k in range(4)).real for i in range(4)], atol=1e-9)
+    assert len(t) == 1037
+
+
+def test_field_edges_compare_as_written(spark):
+    fields = spark.createDataFrame([(i, b) for i, b in enumerate((0, 19, 20, 49, 50, 99))], "roi int, start_bin int")
+    start = selection.FieldEdge("start_bin", 100)
+    assert [r["roi"] for r in ((0.2 < start) & (start < 0.5)).keep(fields).orderBy("roi").collect()] == [2]
+    assert [r["roi"] for r in (~(start >= 0.2)).keep(fields).orderBy("roi").collect()] == [0]
+    frames = spark.createDataFrame([(1, f) for f in range(6)], "expt int, frame int")
+    spans = spark.createDataFrame([(1, "reward", 1, 3), (1, "tone", 4, 6)], "expt int, name string, onset int, offset int")
+    assert sorted(r["frame"] for r in selection.in_reward(frames, spans, ["expt"]).collect()) == [1, 2]
+    assert sorted(r["frame"] for r in selection.in_reward(frames, spans, ["expt"], inside=False).collect()) == [0, 3, 4, 5]
+
+
+def test_metadata_of_several_files(spark):
+    a = spark.createDataFrame([(1, "x", None), (2, "y", 5)], "roi int, layer string, depth int")
+    b = spark.createDataFrame([(1, "z", 7), (3, "w", 9)], "roi int, layer string, depth int")
+    c = spark.createDataFrame([(1, True)], "roi int, red boolean")
+    got = catalog.composed(a, b, c, keys=["roi"])
+    assert sorted(got.columns) == ["depth", "layer", "red", "roi"]
+    assert {r["roi"]: (r["layer"], r["depth"], r["red"]) for r in got.collect()} == {1: ("x", 7, True), 2: ("y", 5, None), 3: ("w", 9, None)}
+
+
+def test_store_moves_all_types_and_joins_times_by_experiment(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([(e, r, f, float(10 * r + f)) for e in (1, 2) for r in (1, 2, 3) for f in range(3)], "expt_id int, roi int, frame int, value double")
+    for kind in ("raw", "dfof"):
+        s.write(rows, "Ch2", "all", kind)
+    red = spark.createDataFrame([(2,)], "roi int")
+    kinds = [("Ch2", "raw"), ("Ch2", "dfof"), ("Ch1", "raw")]
+    assert s.move("all", red, "red", kinds, dry_run=True) == kinds[:2] and s.read("Ch2", "all", "raw").count() == 18
+    s.move("all", red, "red", kinds)
+    assert {r["roi"] for r in s.read("Ch2", "red", "dfof").collect()} == {2} and {r["roi"] for r in s.read("Ch2", "all", "raw").collect()} == {1, 3}
+    with pytest.raises(store.Exists):
+        s.move("all", red, "red", kinds)
+    times = spark.createDataFrame([(e, f, e * 100.0 + f) for e in (1, 2) for f in range(3)], "expt_id int, frame int, t double")
+    got = s.signals("imaging", "all", times=times)
+    assert got.count() == 12 and all(r["t"] == r["expt_id"] * 100 + r["frame"] for r in got.collect())
+    z = s.signals("imaging", "all", zscore=True).where("frame = 1").collect()
+    assert all(abs(r["value"]) < 1e-9 for r in z)
+    s.calculate_dfof(lambda df: df.withColumn("dfof", F.col("value") * 2), "red", overwrite=True)
+    assert {r["value"] for r in s.read("Ch2", "red", "dfof").collect()} == {40.0, 42.0, 44.0}
+    s.infer_spikes(lambda df: df.withColumn("spikes", F.lit(1.0)), "red")
+    assert {r["value"] for r in s.read("Ch2", "red", "spikes").collect()} == {1.0}
+    spans = spark.createDataFrame([(1, 0.25, 0.1), (2, 1.0, 0.1)], "expt_id int, duration double, frame_period double")
+    assert store.trim_to_duration(rows, spans, ["expt_id"]).groupBy("expt_id").count().orderBy("expt_id").collect()[0]["count"] == 6
