@@ -61,14 +61,15 @@ def named_actions(found: DataFrame, about: DataFrame, key: str = "file") -> Data
 
 
 def every_action(messages: DataFrame, key: str = "file") -> DataFrame:
-    """Start and stop messages of all kinds: key, kind, id, pin, t, action."""
-    out = None
-    for kind in ("context", "valve", "tone", "lick"):
+    """Start and stop messages of all kinds: key, kind, id, pin, t, action; one pass over the messages."""
+
+    def one(kind: str):
         m = F.col(f"behavior_controller.{kind}")
         action = F.when(m["action"].isin("start", "open"), "start").when(m["action"].isin("stop", "close"), "stop")
-        part = messages.where(m.isNotNull()).select(key, F.lit(kind).alias("kind"), m["id"].alias("id"), m["pin"].alias("pin"), F.col("time").alias("t"), action.alias("action")).where("action is not null")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return F.when(action.isNotNull(), F.struct(F.lit(kind).alias("kind"), m["id"].alias("id"), m["pin"].alias("pin"), action.alias("action")))
+
+    found = messages.select(key, F.col("time").alias("t"), F.explode(F.array_compact(F.array(*(one(k) for k in ("context", "valve", "tone", "lick"))))).alias("x"))
+    return found.select(key, "x.kind", "x.id", "x.pin", "t", "x.action")
 
 
 def sync_offset(intervals: DataFrame, key: str = "file", backup: str = "AOD_sync_pin", pin: str = "sync_pin") -> DataFrame:
