@@ -6,24 +6,29 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet below ``spark.checkpoint.dir`` and read back, so that plans stay short and jobs survive lost executors.
+def folder(spark: SparkSession, tag: str) -> str:
+    """A path of its own below ``spark.checkpoint.dir``.
 
-    Where the setting is unset, a local session gets a folder of its own; on a cluster that is an error.
+    Where the setting is unset, a local session gets a folder; on a cluster that is an error, as executors would not see each other's files.
     """
-    spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
-        where = _own.setdefault(app, None) or tempfile.mkdtemp(prefix="spark-staged-")
-        _own[app] = where
-    path = f"{where.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="spark-staged-")
+        where = _own[app]
+    return f"{where.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written as Parquet into a ``folder`` and read back, so that plans stay short and jobs survive lost executors."""
+    path = folder(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

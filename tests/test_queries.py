@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from spindrift import queries_behaviour, queries_catalog, queries_models  # noqa: F401 - they register theirs
+from spindrift import queries_behaviour, queries_catalog, queries_models, queries_parts  # noqa: F401 - they register theirs
 from spindrift.queries import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
