@@ -83,7 +83,7 @@ def edge_table(spelt: DataFrame) -> DataFrame:
 
 def trie_neighbours(found: DataFrame) -> DataFrame:
     """(word, near) for words of up to ``LONG`` letters, both ways round; inside a ``scratch``."""
-    spelt = staged(found.select(F.explode(F.array(F.struct(F.lit(0).alias("d"), F.col("word").alias("s")), F.struct(F.lit(1).alias("d"), F.reverse("word").alias("s")))).alias("x")).select("x.*"), "spelling-spelt")
+    spelt = staged(found.select(F.explode(F.array(F.struct(F.lit(0).alias("d"), F.col("word").alias("s")), F.struct(F.lit(1).alias("d"), F.reverse("word").alias("s")))).alias("x"), F.length("word").alias("n")).select("x.*", "n"), "spelling-spelt", by="n")
     edges = staged(edge_table(spelt), "spelling-edges", by="level")
     bounds = found.agg(F.min(F.length("word")), F.max(F.length("word"))).first()
     if bounds[0] is None:
@@ -94,22 +94,19 @@ def trie_neighbours(found: DataFrame) -> DataFrame:
         return states.withColumns({"left": F.length("s") - F.col("pos"), **{x: F.expr(f"substring(s, pos + {i + 1}, 1)") for i, x in enumerate("abc")}})
 
     ends, edited = [], None
-    fits = F.expr("getbit(rests, need) = 1")
-    step = [F.col("d"), F.col("s"), F.col("pos"), F.concat("node", "ch").alias("node")]
+    fits = F.expr("getbit(rests, need) = 1 AND IF(greater, ch > letter, ch = letter)")
+    columns = ["d", "s", "node", "pos", "letter", "greater", "after", "need"]
     for level in range((bounds[0] - 1) // 2, bounds[1] + 1):
         here = edges.where(F.col("level") == level).drop("level")
         # without an edit a word is on its own path
-        plain = spelt.where((F.floor((F.length("s") - 1) / 2) <= level) & (F.length("s") > level)).select("d", "s", F.lit(level).alias("pos"), F.expr(f"substring(s, 1, {level})").alias("node"))
-        plain = ahead(plain)
-        # a letter left out: on with the next but one; the last one: on to the end
-        one = plain.where("a <> b").select("d", "s", "node", F.expr("least(pos + 2, length(s))").alias("pos"), F.col("b").alias("ch"), F.col("c").alias("after"), F.greatest(F.col("left") - 2, F.lit(0)).alias("need"))
+        plain = spelt.where((F.floor((F.col("n") - 1) / 2) <= level) & (F.col("n") > level)).select("d", "s", F.lit(level).alias("pos"), F.expr(f"substring(s, 1, {level})").alias("node"))
+        # a greater letter instead; or one left out: on with the next but one, behind the last one to the end
+        replaced = F.struct((F.col("pos") + 1).alias("pos"), F.col("a").alias("letter"), F.lit(True).alias("greater"), F.col("b").alias("after"), (F.col("left") - 1).alias("need"))
+        deleted = F.when(F.col("a") != F.col("b"), F.struct(F.expr("least(pos + 2, length(s))").alias("pos"), F.col("b").alias("letter"), F.lit(False).alias("greater"), F.col("c").alias("after"), F.greatest(F.col("left") - 2, F.lit(0)).alias("need")))
+        asked = ahead(plain).select("d", "s", "node", F.explode(F.array_compact(F.array(replaced, deleted))).alias("x")).select("d", "s", "node", "x.*").select(*columns)
         if edited is not None:
-            one = one.unionByName(ahead(edited).select("d", "s", "node", (F.col("pos") + 1).alias("pos"), F.col("a").alias("ch"), F.col("b").alias("after"), (F.col("left") - 1).alias("need")))
-        followed = one.join(here, ["d", "node", "ch", "after"]).where(fits).select(*step)
-        # a greater letter instead
-        other = plain.select("d", "s", "node", (F.col("pos") + 1).alias("pos"), "a", F.col("b").alias("after"), (F.col("left") - 1).alias("need"))
-        replaced = other.join(here, ["d", "node", "after"]).where(fits & F.expr("ch > a")).select(*step)
-        made = staged(followed.unionByName(replaced), "spelling-states")
+            asked = asked.unionByName(ahead(edited).select("d", "s", "node", (F.col("pos") + 1).alias("pos"), F.col("a").alias("letter"), F.lit(False).alias("greater"), F.col("b").alias("after"), (F.col("left") - 1).alias("need")))
+        made = staged(asked.join(here, ["d", "node", "after"]).where(fits).select("d", "s", "pos", F.concat("node", "ch").alias("node")), "spelling-states")
         done = F.col("pos") == F.length("s")
         ends.append(made.where(done))
         edited = made.where(~done)
