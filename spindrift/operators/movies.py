@@ -6,32 +6,36 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.staging import staged
 
 
-def _blocks_of(c: str, size: int, block: int, overlap: int) -> Column:
-    """Array of (b, w): the blocks along one axis that hold a pixel, with its weight in each.
-
-    Blocks begin every block - overlap pixels, while a whole overlap is left; the last ends at the edge. A weight rises over the part shared
-    with the block before and falls over the part shared with the next, so that a pixel's weights add up to 1.
-    """
+def _weight(c: Column, b: Column, size: int, block: int, overlap: int) -> Column:
+    """Weight of a pixel in block ``b`` along one axis: it rises over the part shared with the block before and falls over the part shared with the next, so that a pixel's weights add up to 1."""
     step = block - overlap
-    last = max(0, math.ceil((size - block) / step))
-    first = F.greatest(F.lit(0), F.ceil((F.col(c) - block + 1) / F.lit(step)).cast("int"))
-    found = F.sequence(first, F.least(F.lit(last), F.floor(F.col(c) / F.lit(step)).cast("int")))
+    inside = c - b * step
+    up = F.when((b == 0) | (inside >= overlap), F.lit(1.0)).otherwise((inside + 1) / F.lit(overlap + 1.0))
+    ahead = inside - step  # place in the next block
+    down = F.when((b == _last(size, block, overlap)) | (ahead < 0), F.lit(1.0)).otherwise(1 - (ahead + 1) / F.lit(overlap + 1.0))
+    return up * down
 
-    def weighed(b: Column) -> Column:
-        inside = F.col(c) - b * step
-        up = F.when((b == 0) | (inside >= overlap), F.lit(1.0)).otherwise((inside + 1) / F.lit(overlap + 1.0))
-        ahead = inside - step  # place in the next block
-        down = F.when((b == last) | (ahead < 0), F.lit(1.0)).otherwise(1 - (ahead + 1) / F.lit(overlap + 1.0))
-        return F.struct(b.alias("b"), (up * down).alias("w"))
 
-    return F.transform(found, weighed)
+def _last(size: int, block: int, overlap: int) -> int:
+    """Number of the last block along an axis: blocks begin every block - overlap pixels until one reaches the edge."""
+    return max(0, math.ceil((size - block) / (block - overlap)))
+
+
+def _blocks_of(c: str, size: int, block: int, overlap: int) -> Column:
+    """Array of (b, w): the blocks along one axis that hold a pixel, with its weight in each."""
+    step = block - overlap
+    first = F.greatest(F.lit(0), F.ceil((F.col(c) - block + 1) / F.lit(step)).cast("int"))
+    found = F.sequence(first, F.least(F.lit(_last(size, block, overlap)), F.floor(F.col(c) / F.lit(step)).cast("int")))
+    return F.transform(found, lambda b: F.struct(b.alias("b"), _weight(F.col(c), b, size, block, overlap).alias("w")))
 
 
 def blocks(movie: DataFrame, keys: list[str], height: int, width: int, block: int = 40, overlap: int = 10) -> DataFrame:
@@ -42,55 +46,80 @@ def blocks(movie: DataFrame, keys: list[str], height: int, width: int, block: in
     return rows.select(*keys, F.col("_y.b").alias("by"), F.col("_x.b").alias("bx"), "y", "x", "frame", "value", (F.col("_y.w") * F.col("_x.w")).alias("weight"))
 
 
-def low_rank(movie: DataFrame, keys: list[str], height: int, width: int, block: int = 40, overlap: int = 10, components: int = 50, noise: float | None = None, part: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _dense(row: dict, pixels: int) -> tuple[np.ndarray, np.ndarray]:
+    """(frames, matrix of frames by pixels) of one chunk."""
+    frames, t = np.unique(np.asarray(row["frame"], np.int64), return_inverse=True)
+    m = np.zeros((len(frames), pixels))
+    m[t, np.asarray(row["p"], np.int64)] = np.asarray(row["value"], float)
+    return frames, m
+
+
+def _rank(s2: np.ndarray, total: float, shape: tuple[int, int], components: int, noise: float | None, part: float) -> int:
+    """How many components a block keeps, from its squared singular values in falling order."""
+    if noise is not None:
+        return min(int((np.sqrt(s2) > noise * (np.sqrt(shape[0]) + np.sqrt(shape[1]))).sum()), components)
+    if total <= 0:
+        return 0
+    enough = int(np.argmax(total - np.cumsum(s2) <= (1 - part + 1e-12) * total)) + 1 if (total - s2.sum() <= (1 - part + 1e-12) * total) else len(s2)
+    return min(enough, int((s2 > 1e-12 * s2[0]).sum()), components)
+
+
+def low_rank(
+    movie: DataFrame, keys: list[str], height: int, width: int, block: int = 40, overlap: int = 10, components: int = 50, noise: float | None = None, part: float = 1.0, chunk: int = 200
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(u, v, errors): each block of a movie as a few images times a few courses.
 
     ``u`` has keys, by, bx, k, y, x, weight, u; ``v`` has keys, by, bx, k, frame, v; ``errors`` has keys, by, bx, rank, error, total: the squares
     left out, and all. A block keeps its leading components, up to ``components``: with ``noise`` (the standard deviation of a
     pixel's noise) those whose singular value exceeds noise (sqrt(pixels) + sqrt(frames)), the largest that noise alone
-    gives; else as many as leave 1 - ``part`` of the squares at most. The images and courses come from the smaller of the two Gram matrices.
+    gives; else as many as leave 1 - ``part`` of the squares at most.
 
-    A block is one row of arrays and one task's work: block x block x frames numbers. Pixels without a finite value count as 0, and a
-    frame that a block lacks is all 0 there.
+    Frames are stored in chunks of ``chunk``. The images are the leading vectors of the Gram matrix of a block's pixels, added up while its
+    chunks stream by; the courses are made chunk by chunk. So memory holds block ** 4 numbers and one chunk, however long the movie
+    is. Pixels without a finite value count as 0.
     """
-    dealt = blocks(movie, keys, height, width, block, overlap)
-    cells = dealt.groupBy(*keys, "by", "bx").agg(*(F.collect_list(c).alias(c) for c in ("y", "x", "frame", "weight")), F.collect_list(F.coalesce(F.nanvl(F.col("value").cast("double"), F.lit(0.0)), F.lit(0.0))).alias("value"))
-    names = [*keys, "by", "bx"]
-    kinds = ", ".join(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in names)
-
-    def factor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(len(pdf)):
-                row = pdf.iloc[i]
-                y, x, f = np.asarray(row["y"]), np.asarray(row["x"]), np.asarray(row["frame"])
-                pixels, p = np.unique(np.stack([y, x]), axis=1, return_inverse=True)
-                frames, t = np.unique(f, return_inverse=True)
-                m = np.zeros((pixels.shape[1], len(frames)))
-                m[p.ravel(), t] = np.asarray(row["value"])
-                weight = np.zeros(pixels.shape[1])
-                weight[p.ravel()] = np.asarray(row["weight"])
-                tall = m.shape[0] > m.shape[1]
-                s2, q = np.linalg.eigh(m.T @ m if tall else m @ m.T)
-                s2, q = np.maximum(s2[::-1], 0), q[:, ::-1]
-                total = float((m * m).sum())
-                if noise is not None:
-                    rank = int((np.sqrt(s2) > noise * (np.sqrt(m.shape[0]) + np.sqrt(m.shape[1]))).sum())
-                else:
-                    left = total - np.cumsum(s2)
-                    rank = int(np.argmax(left <= (1 - part) * total + 1e-12 * total)) + 1 if total > 0 else 0
-                    rank = min(rank, int((s2 > 1e-12 * max(s2[0], 1e-300)).sum())) if len(s2) else 0
-                rank = min(rank, components)
-                q = q[:, :rank]
-                u, v = (m @ q, q.T) if tall else (q, q.T @ m)
-                error = max(total - float(s2[:rank].sum()), 0.0)
-                yield pd.DataFrame({**{c: [row[c]] for c in names}, "rank": [rank], "error": [error], "total": [total], "y": [pixels[0]], "x": [pixels[1]], "weight": [weight], "frames": [frames], "u": [list(u.T)], "v": [list(v)]})
-
-    whole = "rank int, error double, total double, y array<int>, x array<int>, weight array<double>, frames array<int>, u array<array<double>>, v array<array<double>>"
-    found = staged(cells.mapInPandas(factor, f"{kinds}, {whole}"), "blocks")
-    one = found.select(*names, "y", "x", "weight", F.posexplode("u").alias("k", "_u"))
-    u = one.select(*names, "k", F.explode(F.arrays_zip("y", "x", "weight", F.col("_u").alias("u"))).alias("_p")).select(*names, "k", "_p.*")
-    one = found.select(*names, "frames", F.posexplode("v").alias("k", "_v"))
-    v = one.select(*names, "k", F.explode(F.arrays_zip(F.col("frames").alias("frame"), F.col("_v").alias("v"))).alias("_p")).select(*names, "k", "_p.*")
+    pixels, step, names = block * block, block - overlap, [*keys, "by", "bx"]
+    place = (F.col("y") - F.col("by") * step) * block + F.col("x") - F.col("bx") * step
+    value = F.coalesce(F.nanvl(F.col("value").cast("double"), F.lit(0.0)), F.lit(0.0))
+    dealt = blocks(movie, keys, height, width, block, overlap).select(*names, F.floor(F.col("frame") / chunk).alias("_c"), "frame", place.cast("int").alias("p"), value.alias("value"))
+    chunks = staged(dealt.groupBy(*names, "_c").agg(*(F.collect_list(c).alias(c) for c in ("frame", "p", "value"))).drop("_c"), "chunks")
+    kinds = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in names)
+
+    def images(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, frames = np.zeros((pixels, pixels)), 0
+        for batch in batches:
+            for row in batch.select(["frame", "p", "value"]).to_pylist():
+                seen, m = _dense(row, pixels)
+                gram += m.T @ m
+                frames += len(seen)
+        at = [k.as_py() for k in key]
+        real = min(block, height - at[-2] * step) * min(block, width - at[-1] * step)
+        total = float(np.trace(gram))
+        s2, q = np.linalg.eigh(gram)
+        s2, q = np.maximum(s2[::-1], 0), q[:, ::-1]
+        rank = _rank(s2, total, (real, frames), components, noise, part)
+        made = {**{c: [v] for c, v in zip(names, at, strict=True)}, "rank": [rank], "error": [max(total - float(s2[:rank].sum()), 0.0)], "total": [total], "u": [[list(x) for x in q[:, :rank].T]]}
+        yield pa.RecordBatch.from_pydict(made, schema=shape)
+
+    kind = f"{kinds}, rank int, error double, total double, u array<array<double>>"
+    shape = to_arrow_schema(StructType.fromDDL(kind))
+    found = staged(chunks.groupBy(*names).applyInArrow(images, kind), "images")
+    one = found.select(*names, F.posexplode("u").alias("k", "_u")).select(*names, "k", F.posexplode("_u").alias("p", "u"))
+    y, x = (F.col("by") * step + F.floor(F.col("p") / block)).cast("int"), (F.col("bx") * step + F.col("p") % block).cast("int")
+    u = one.select(*names, "k", y.alias("y"), x.alias("x"), "u").where((F.col("y") < height) & (F.col("x") < width))
+    u = u.select(*names, "k", "y", "x", (_weight(F.col("y"), F.col("by"), height, block, overlap) * _weight(F.col("x"), F.col("bx"), width, block, overlap)).alias("weight"), "u")
+
+    def courses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                frames, m = _dense(row, pixels)
+                v = m @ np.asarray(row["u"], float).T
+                n, rank = v.shape
+                made = {**{c: [row[c]] * (n * rank) for c in names}, "k": np.tile(np.arange(rank, dtype=np.int32), n), "frame": np.repeat(frames, rank).astype(np.int32), "v": v.ravel()}
+                yield pa.RecordBatch.from_pydict(made, schema=line)
+
+    line = to_arrow_schema(StructType.fromDDL(f"{kinds}, k int, frame int, v double"))
+    v = chunks.join(found.where("rank > 0").select(*names, "u"), names).mapInArrow(courses, f"{kinds}, k int, frame int, v double")
     return u, v, found.select(*names, "rank", "error", "total")
 
 

@@ -44,7 +44,7 @@ def test_weights_add_up(spark):
 
 def test_movies_of_low_rank_come_back(spark):
     data = {0: synthetic(1, 40, 20, 26, 3, 0.0), 1: synthetic(2, 40, 20, 26, 2, 0.0)}
-    u, v, errors = movies.low_rank(frame(spark, data), ["movie"], 20, 26, 10, 3)
+    u, v, errors = movies.low_rank(frame(spark, data), ["movie"], 20, 26, 10, 3, chunk=7)
     for m, a in data.items():
         got = dense(movies.recomposed(u.where(f"movie = {m}"), v.where(f"movie = {m}"), ["movie"]), a.shape)
         np.testing.assert_allclose(got, a, atol=1e-6)
