@@ -1,4 +1,4 @@
-"""Training-data operators: ten jobs over a ``documents`` table (doc_id, text, ...).
+"""Training-data operators: thirteen jobs over ``documents`` (doc_id, text, ...) and ``embeddings``.
 
 Nothing else in the library imports this subpackage.
 """
