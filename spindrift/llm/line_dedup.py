@@ -122,7 +122,7 @@ def line_dedup(docs: DataFrame, run: int = 2, lone: int | None = None) -> DataFr
     with scratch(docs.sparkSession):
         lines = _repeats(texts, run, lone).select(F.col("place.uid").alias(uid), F.explode("nos").alias(gone))
         doomed = kept(lines.groupBy(uid).agg(F.collect_set(gone).alias(gone)), "lines-doomed")
-    rows = rows.join(doomed, uid, "left")
+    rows = rows.join(doomed.hint("merge"), uid, "left")  # grows with the corpus: one plan for every size
     split = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
