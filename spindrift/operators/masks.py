@@ -23,8 +23,9 @@ def centroids(pixels: DataFrame, keys: list[str]) -> DataFrame:
 def filled_in_time(movie: DataFrame, value: str = "value") -> DataFrame:
     """Missing values of each pixel become its last known one, or its first where there is none before."""
     w = Window.partitionBy("y", "x").orderBy("frame")
-    past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return movie.withColumn(value, F.coalesce(F.last(value, True).over(past), F.first(value, True).over(ahead)))
+    past, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # where nothing is known before, the next known value is the pixel's first; a frame from each row to the end would be read anew for each row
+    return movie.withColumn(value, F.coalesce(F.last(value, True).over(past), F.first(value, True).over(whole)))
 
 
 def time_average(movie: DataFrame, value: str = "value") -> DataFrame:

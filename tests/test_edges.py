@@ -1,10 +1,13 @@
 """Edges, gaps and fits of operators against small cases by hand."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import aggregates, catalog, models, records, rolling, selection, signals, spatial, thresholds
+from spindrift.operators import aggregates, catalog, masks, models, records, registration, rolling, selection, signals, simulate, spatial, thresholds
 from spindrift.plans import population, tuning
 from spindrift.sources import behaviour_log, store
 
@@ -218,3 +221,49 @@ def test_store_moves_all_types_and_joins_times_by_experiment(spark, tmp_path):
     assert {r["value"] for r in s.read("Ch2", "red", "spikes").collect()} == {1.0}
     spans = spark.createDataFrame([(1, 0.25, 0.1), (2, 1.0, 0.1)], "expt_id int, duration double, frame_period double")
     assert store.trim_to_duration(rows, spans, ["expt_id"]).groupBy("expt_id").count().orderBy("expt_id").collect()[0]["count"] == 6
+
+
+def test_frames_to_the_end_are_not_read_for_each_row(spark):
+    """Filling in time and straight lines over gaps read each row a fixed number of times."""
+    movie = spark.createDataFrame([(f, 0, 0, None if f in (0, 1, 3) else float(f)) for f in range(6)], "frame int, y int, x int, value double")
+    full = masks.filled_in_time(movie)
+    assert [r["value"] for r in full.orderBy("frame").collect()] == [2.0, 2.0, 2.0, 2.0, 4.0, 5.0]
+    line = rolling.interpolated(movie.withColumnRenamed("y", "roi"), "value", "v", ["roi"], "frame")
+    assert [r["v"] for r in line.orderBy("frame").collect()] == [2.0, 2.0, 2.0, 3.0, 4.0, 5.0]
+    for df in (full, line):
+        assert "currentrow$(), unboundedfollowing$()" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_null_thresholds_are_those_of_the_shuffled_rows(spark):
+    """Thresholds made where the laps are equal the quantiles of shuffled rows, missing values, bins and laps among them, smoothed or not; no shuffle is a row."""
+    rng = random.Random(5)
+    rows = [(r, f, None if f % 29 == 3 else f // 13, None if f % 17 == 5 else rng.random(), None if r == 1 or f % 11 == 2 else rng.gauss(5, 2)) for r in range(3) for f in range(60)]
+    df = spark.createDataFrame(rows, "roi int, frame int, lap int, position double, value double")
+    for sigma in (None, 1.0):
+        null = spatial.shuffled(df, ["roi"], "lap", 6, 20).groupBy("shuffle", "roi", "bin").agg(F.avg("value").alias("value"))
+        if sigma:
+            null = spatial.smooth_wrapped(null, ["shuffle", "roi"], sigma).withColumnRenamed("smoothed", "value")
+        want = {(r[0], r[1]): r[2] for r in null.groupBy("roi", "bin").agg(F.percentile("value", F.lit(0.9))).collect()}
+        found = spatial.null_threshold(df, ["roi"], "lap", 6, 20, 0.1, sigma)
+        got = {(r[0], r[1]): r[2] for r in found.collect()}
+        assert got.keys() == want.keys() and all((got[k] is None) == (v is None) and (v is None or math.isclose(got[k], v, rel_tol=1e-12)) for k, v in want.items())
+        assert "shuffle" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_centres_of_one_file_meet_references_in_many_tasks(spark):
+    """Few references are broadcast; centres are dealt out before they meet them."""
+    c = spark.range(200).select(F.lit(1).alias("f"), F.col("id").alias("b"), (F.col("id") % 7).cast("double").alias("y"), (F.col("id") % 11).cast("double").alias("x")).coalesce(1)
+    found = registration.near_references(c, c.withColumnRenamed("b", "a"), ["f"], 2.0)
+    places = found.withColumn("t", F.spark_partition_id()).select("t").distinct().count()
+    assert places > 1
+    assert found.count() == sum(abs(i % 7 - j % 7) < 2 and abs(i % 11 - j % 11) < 2 for i in range(200) for j in range(200))
+
+
+def test_spike_counts_add_up_spikes(spark):
+    """Counts over laps equal the sum of the laps' spikes, without a row for each lap."""
+    r = simulate.rates(spark.createDataFrame([(1, 3.0), (2, None)], "roi int, centre double"), 12)
+    want = simulate.spikes(r, 10, 0.1).groupBy("roi", "bin").agg(F.sum("spike").alias("spikes"))
+    got = simulate.spike_counts(r, 10, 0.1)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.schema == want.schema
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Generate") <= 1
