@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,10 +106,58 @@ def shuffled(df: DataFrame, keys: list[str], lap: str, n_bins: int, n_shuffles:
     return pairs.select("shuffle", *keys, F.col("_x.bin").alias("bin"), F.col("_x.value").alias("value"))
 
 
-def null_threshold(df: DataFrame, keys: list[str], lap: str, n_bins: int, n_shuffles: int, p: float) -> DataFrame:
-    """By keys and bin, the (1 - p) quantile of pooled curves of shuffled positions."""
-    null = shuffled(df, keys, lap, n_bins, n_shuffles).groupBy("shuffle", *keys, "bin").agg(F.avg("value").alias("value"))
-    return null.groupBy(*keys, "bin").agg(F.percentile("value", F.lit(1 - p)).alias("threshold"))
+def null_threshold(df: DataFrame, keys: list[str], lap: str, n_bins: int, n_shuffles: int, p: float, sigma: float | None = None, value: str = "value", seed: int = 17) -> DataFrame:
+    """By keys and bin, the (1 - p) quantile of pooled curves of shuffled positions, smoothed as by ``smooth_wrapped`` with ``sigma``.
+
+    The curves of ``shuffled``, made where the laps of a key are: one row of arrays for each key comes in, one threshold for each bin goes out.
+    """
+    none = -(1 << 31)  # stands for a missing bin, in its place in the order
+    sample = F.struct(lap, "frame", F.coalesce(bin_floor(F.col("position"), n_bins), F.lit(none)).alias("b"), F.col(value).cast("double").alias("v"))
+    got = df.where(F.col(lap).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(sample)).alias("_s"))
+    rows = got.select(*keys, F.transform("_s", lambda x: x[lap].cast("long")).alias("_l"), F.transform("_s", lambda x: x["b"]).alias("_b"), F.transform("_s", lambda x: F.coalesce(x["v"], F.lit(0.0))).alias("_v"), F.transform("_s", lambda x: x["v"].isNotNull()).alias("_k"))
+    kernel = None
+    if sigma:
+        r = int(4 * sigma + 0.5)
+        g = [math.exp(-0.5 * (o / sigma) ** 2) for o in range(-r, r + 1)]
+        kernel = [x / sum(g) for x in g]
+    shuffle = np.arange(n_shuffles, dtype=np.int64)
+
+    def thresholds(laps: np.ndarray, bins: np.ndarray, values: np.ndarray, known: np.ndarray) -> tuple[list, np.ndarray]:
+        ends = np.r_[0, np.flatnonzero(np.diff(laps)) + 1, len(laps)]
+        starts, sizes = ends[:-1], np.diff(ends)
+        x = np.fmod(seed + 7919 * shuffle[:, None] + 104729 * laps[starts][None], _PRIME)  # as ``offsets``
+        for more in (shuffle[:, None], laps[starts][None], 12345):
+            x = np.fmod(x * x + more, _PRIME)
+        of = np.repeat(np.arange(len(starts)), sizes)
+        at = np.arange(len(laps)) - starts[of]
+        rolled = (at[None] - np.fmod(x, sizes[None])[:, of]) % sizes[of] + starts[of]
+        names, code = np.unique(bins, return_inverse=True)
+        n = len(names)
+        cell = (code[rolled] + n * shuffle[:, None]).ravel()
+        weights = np.broadcast_to(known.astype(float), rolled.shape).ravel()
+        sums = np.bincount(cell, np.broadcast_to(values, rolled.shape).ravel(), n * n_shuffles).reshape(n_shuffles, n)
+        counts = np.bincount(cell, weights, n * n_shuffles).reshape(n_shuffles, n)
+        there = counts > 0
+        curves = sums / np.where(there, counts, 1)
+        if kernel is not None:
+            curves = sum((np.roll(np.where(there, curves, 0.0), len(kernel) // 2 - j, axis=1) * w for j, w in enumerate(kernel)), np.zeros_like(curves))
+            there, names = np.ones_like(there), np.arange(n)
+        ordered, m = np.sort(np.where(there, curves, np.inf), axis=0), there.sum(axis=0)
+        place = np.maximum(m - 1, 0) * (1 - p)
+        low, high = np.floor(place).astype(int), np.ceil(place).astype(int)
+        u, v = ordered[low, np.arange(n)], ordered[high, np.arange(n)]
+        with np.errstate(invalid="ignore"):
+            found = np.where((low == high) | (u == v), u, (high - place) * u + (place - low) * v)
+        return [None if b == none else int(b) for b in names], np.where(m > 0, found, np.nan)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(len(pdf)):
+                bins, found = thresholds(*(np.asarray(pdf[c].iloc[i]) for c in ("_l", "_b", "_v", "_k")))
+                yield pd.DataFrame({**{k: [pdf[k].iloc[i]] * len(bins) for k in keys}, "bin": pd.array(bins, dtype="Int32"), "threshold": found})
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.mapInPandas(run, f"{kinds}, bin int, threshold double")
 
 
 def fields(df: DataFrame, curve: DataFrame, keys: list[str], lap: str, n_bins: int, narrowest: int, widest: int, circular: bool = True) -> DataFrame:

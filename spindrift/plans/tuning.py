@@ -72,8 +72,7 @@ def place_fields(df: DataFrame, keys: list[str], lap: str, n_bins: int = 100, n_
     Blocks and contexts are keys like any other: all are tested in one plan.
     """
     smooth = lambda curves, by: curves if not sigma else (spatial.smooth_wrapped(curves, by, sigma).withColumnRenamed("smoothed", "value"))
-    null = spatial.shuffled(df, keys, lap, n_bins, n_shuffles).groupBy("shuffle", *keys, "bin").agg(F.avg("value").alias("value"))
-    threshold = smooth(null, ["shuffle", *keys]).groupBy(*keys, "bin").agg(F.percentile("value", F.lit(1 - p)).alias("threshold"))
+    threshold = spatial.null_threshold(df, keys, lap, n_bins, n_shuffles, p, sigma)
     curve = smooth(spatial.tuning(df, keys, n_bins), keys)
     fields = spatial.fields(df, curve.join(threshold, [*keys, "bin"]), keys, lap, n_bins, int(round(narrowest * n_bins)), int(round(widest * n_bins)), circular)
     laps = df.groupBy(*keys).agg(F.count_distinct(lap).alias("_laps"))
