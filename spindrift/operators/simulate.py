@@ -24,8 +24,22 @@ def rates(cells: DataFrame, n_bins: int, width: float = 5.0, peak: float = 10.0)
 def spikes(rates_: DataFrame, n_laps: int, dt: float, seed: int = 11) -> DataFrame:
     """Spikes (0 or 1) by lap and bin, with probability rate x dt; drawn from a hash, so that each run agrees."""
     rows = rates_.withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(n_laps - 1))))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "roi", "lap", "bin"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.withColumn("spike", (draw < 1 - F.exp(-F.col("rate") * F.lit(dt))).cast("int"))
+    return rows.withColumn("spike", _spike(F.col("lap"), dt, seed))
+
+
+def _spike(lap: Column, dt: float, seed: int) -> Column:
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("roi"), lap, F.col("bin")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return (draw < 1 - F.exp(-F.col("rate") * F.lit(dt))).cast("int")
+
+
+def spike_counts(rates_: DataFrame, n_laps: int, dt: float, seed: int = 11) -> DataFrame:
+    """(roi, bin, spikes): ``spikes`` added up over the laps where each rate is, one row for each row of ``rates_``."""
+    each = lambda lap: _spike(lap, dt, seed).cast("long")
+    if n_laps <= 64:  # written out, so that it is compiled
+        total = sum((each(F.lit(k)) for k in range(1, n_laps)), each(F.lit(0)))
+    else:
+        total = F.aggregate(F.sequence(F.lit(0), F.lit(n_laps - 1)), F.lit(0).cast("long"), lambda n, lap: n + each(lap))
+    return rates_.select("roi", "bin", total.alias("spikes"))
 
 
 def drifting_fields(spark: SparkSession, cells: int, n_laps: int, n_bins: int, step: float = 0.0, first_lap: int = 0) -> DataFrame:

@@ -522,5 +522,4 @@ def registered_rois(spark, sf_dir):
 def simulated_spikes(spark, sf_dir):
     """Spike counts of cells centred where the curves' centres of mass are."""
     cells = spatial.centres(views.curves(spark, sf_dir), ROI, 64).select("roi", F.col("com").alias("centre"))
-    found = simulate.spikes(simulate.rates(cells, 64), 10, 0.1)
-    return found.groupBy("roi", "bin").agg(F.sum("spike").alias("spikes"))
+    return simulate.spike_counts(simulate.rates(cells, 64), 10, 0.1)
