@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,16 +24,88 @@ def guarded(value: Column, counted: str, window, least: int) -> Column:
     return F.when(F.count(counted).over(window) >= max(1, least), value)
 
 
-def by_trace(df: DataFrame, keys: list[str], order: str, column: str, name: str, compute) -> DataFrame:
-    """Add ``name``: ``compute`` of the values of ``column`` in order, one trace at a time; missing values are NaN there."""
+def by_traces(df: DataFrame, keys: list[str], order: str, made: dict[str, tuple[str, Callable[[np.ndarray], np.ndarray]]]) -> DataFrame:
+    """Add columns: for each name, a function of the values of one column in order, one trace at a time; missing values are NaN there.
 
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        pdf[name] = compute(pdf[column].astype(float))
-        return pdf
+    Rows come sorted, in batches of many traces, so that traces cost what is computed on them; a task holds a batch and one trace.
+    """
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, order)
+    names = [f.name for f in df.schema.fields if f.name not in made]
+
+    def filled(pdf: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
+        new = {}
+        for name, (column, compute) in made.items():
+            x = pdf[column].to_numpy(float)
+            new[name] = np.concatenate([np.asarray(compute(x[i:j]), float) for i, j in zip(ends[:-1], ends[1:], strict=True)])
+        return pdf[names].assign(**new)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pd.concat([held[-1].iloc[-1:], pdf], ignore_index=True) if held else pdf
+            new = np.zeros(len(pdf), bool)
+            for k in keys:
+                x, y = pdf[k], pdf[k].shift()
+                new |= (x.ne(y) & ~(x.isna() & y.isna())).to_numpy()
+            new[0] = False
+            starts = np.flatnonzero(new)
+            if held:  # the row before is there to compare with
+                pdf, starts = pdf.iloc[1:], starts - 1
+            if not len(starts):
+                held.append(pdf)
+                continue
+            whole = pd.concat([*held, pdf.iloc[: starts[-1]]], ignore_index=True)
+            before = len(whole) - starts[-1]
+            ends = np.r_[0, starts + before]
+            yield filled(whole, ends)
+            held = [pdf.iloc[starts[-1] :]]
+        if held:
+            whole = pd.concat(held, ignore_index=True)
+            yield filled(whole, np.array([0, len(whole)]))
+
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), *(f"`{c}` double" for c in made)])
+    return rows.mapInPandas(run, schema)
+
+
+def chained(*steps: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """One function of a trace after another."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        for step in steps:
+            x = np.asarray(step(x), float)
+        return x
+
+    return run
+
+
+def slider(how: str, width: int, least: int = 1, q: float = 0.5) -> Callable[[np.ndarray], np.ndarray]:
+    """A rolling ``how`` of a trace, as ``rolling`` takes it."""
+
+    def slide(x: np.ndarray) -> np.ndarray:
+        w = pd.Series(x).rolling(width, center=True, min_periods=max(1, least))
+        return w.quantile(q) if how == "quantile" else w.std(ddof=0) if how == "std" else getattr(w, how)()
+
+    return slide
+
+
+def smoother(width: int, sigma: float) -> Callable[[np.ndarray], np.ndarray]:
+    """The Gaussian-weighted rolling mean of a trace, as ``gaussian_rolling`` takes it."""
+    kernel = np.array(gaussian_weights(width, sigma))[::-1]
+
+    def full(v: np.ndarray) -> np.ndarray:
+        size = 1 << (len(v) + width - 1).bit_length()
+        made = np.fft.irfft(np.fft.rfft(v, size) * np.fft.rfft(kernel, size), size) if width > 512 else np.convolve(v, kernel)
+        return made[(width - 1) // 2 : (width - 1) // 2 + len(v)]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name) + f", `{name}` double"
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    def smooth(x: np.ndarray) -> np.ndarray:
+        seen = ~np.isnan(x)
+        under = full(seen.astype(float))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(under > 1e-12, full(np.where(seen, x, 0.0)) / under, np.nan)
+
+    return smooth
 
 
 def rolling(df: DataFrame, how: str, column: str, width: int, name: str, keys: list[str], least: int = 1, q: float = 0.5, order: str = "frame") -> DataFrame:
@@ -41,12 +115,7 @@ def rolling(df: DataFrame, how: str, column: str, width: int, name: str, keys: l
     the window's sum, order or extremes from one row to the next.
     """
     if width > LAGGED:
-
-        def slide(x):
-            w = x.rolling(width, center=True, min_periods=max(1, least))
-            return w.quantile(q) if how == "quantile" else w.std(ddof=0) if how == "std" else getattr(w, how)()
-
-        return by_trace(df, keys, order, column, name, slide)
+        return by_traces(df, keys, order, {name: (column, slider(how, width, least, q))})
     w = centred(width, keys, order)
     made = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "std": F.stddev_pop, "median": lambda c: F.percentile(c, F.lit(0.5)), "quantile": lambda c: F.percentile(c, F.lit(q))}[how](column)
     return df.withColumn(name, guarded(made.over(w), column, w, least))
@@ -69,21 +138,7 @@ def gaussian_rolling(df: DataFrame, column: str, width: int, sigma: float, name:
         top = sum((F.coalesce(x * F.lit(g), F.lit(0.0)) for x, g in zip(near, weights, strict=True)), F.lit(0.0))
         under = sum((F.when(x.isNotNull(), F.lit(g)).otherwise(0.0) for x, g in zip(near, weights, strict=True)), F.lit(0.0))
         return df.withColumn(name, F.when(under > 0, top / under))
-    kernel = np.array(weights)[::-1]
-
-    def full(v: np.ndarray) -> np.ndarray:
-        size = 1 << (len(v) + width - 1).bit_length()
-        made = np.fft.irfft(np.fft.rfft(v, size) * np.fft.rfft(kernel, size), size) if width > 512 else np.convolve(v, kernel)
-        return made[(width - 1) // 2 : (width - 1) // 2 + len(v)]
-
-    def smooth(x):
-        x = x.to_numpy(float)
-        seen = ~np.isnan(x)
-        under = full(seen.astype(float))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return np.where(under > 1e-12, full(np.where(seen, x, 0.0)) / under, np.nan)
-
-    return by_trace(df, keys, order, column, name, smooth)
+    return by_traces(df, keys, order, {name: (column, smoother(width, sigma))})
 
 
 def debounced(df: DataFrame, flag: str, seconds: float, fs: float, name: str, keys: list[str], order: str = "frame") -> DataFrame:

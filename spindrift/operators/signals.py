@@ -10,21 +10,27 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from .intervals import hysteresis
-from .rolling import gaussian_rolling, rolling
+from .rolling import LAGGED, by_traces, chained, gaussian_rolling, rolling, slider, smoother
 
 
 def quantile_dfof(df: DataFrame, keys: list[str], q: float = 0.08, window: int = 300, sigma: float = 5, least: float = 0.2) -> DataFrame:
     """(F - B) / B over a rolling quantile of the smoothed trace."""
-    out = gaussian_rolling(df, "value", window, sigma, "_s", keys)
-    out = rolling(out, "quantile", "_s", window, "baseline", keys, int(least * window), q)
-    return out.withColumn("dfof", ratio(F.col("value") - F.col("baseline"), F.col("baseline"))).drop("_s")
+    if window > LAGGED:
+        out = by_traces(df, keys, "frame", {"baseline": ("value", chained(smoother(window, sigma), slider("quantile", window, int(least * window), q)))})
+    else:
+        out = gaussian_rolling(df, "value", window, sigma, "_s", keys)
+        out = rolling(out, "quantile", "_s", window, "baseline", keys, int(least * window), q).drop("_s")
+    return out.withColumn("dfof", ratio(F.col("value") - F.col("baseline"), F.col("baseline")))
 
 
 def jia_dfof(df: DataFrame, keys: list[str], t1: int = 90, t2: int = 1800, slow: int | None = None, least: float = 0.2) -> DataFrame:
     """Baseline: rolling minimum of a rolling mean; with ``slow``, the rolling median of the result is taken off."""
-    out = rolling(df, "mean", "value", t1, "_m", keys, int(least * t1))
-    out = rolling(out, "min", "_m", t2, "baseline", keys, int(least * t2))
-    out = out.withColumn("dfof", ratio(F.col("value") - F.col("baseline"), F.col("baseline"))).drop("_m")
+    if min(t1, t2) > LAGGED:
+        out = by_traces(df, keys, "frame", {"baseline": ("value", chained(slider("mean", t1, int(least * t1)), slider("min", t2, int(least * t2))))})
+    else:
+        out = rolling(df, "mean", "value", t1, "_m", keys, int(least * t1))
+        out = rolling(out, "min", "_m", t2, "baseline", keys, int(least * t2)).drop("_m")
+    out = out.withColumn("dfof", ratio(F.col("value") - F.col("baseline"), F.col("baseline")))
     if slow:
         out = rolling(out, "median", "dfof", slow, "_t", keys).withColumn("dfof", F.col("dfof") - F.col("_t")).drop("_t")
     return out
@@ -37,16 +43,26 @@ def maxmin_dfof(df: DataFrame, keys: list[str], window: int = 1800, sigma: float
 
 
 def maxmin_baseline(df: DataFrame, keys: list[str], window: int, sigma: float, value: str, name: str) -> DataFrame:
-    out = gaussian_rolling(df, value, window, sigma, "_s", keys)
-    out = rolling(out, "min", "_s", window, "_n", keys)
-    return rolling(out, "max", "_n", window, name, keys).drop("_s", "_n")
+    return maxmin_baselines(df, keys, window, sigma, {name: value})
+
+
+def maxmin_baselines(df: DataFrame, keys: list[str], window: int, sigma: float, values: dict[str, str]) -> DataFrame:
+    """Add the rolling maximum of the rolling minimum of smoothed traces, of several columns by name; wide windows in one pass over each trace."""
+    if window > LAGGED:
+        steps = chained(smoother(window, sigma), slider("min", window), slider("max", window))
+        return by_traces(df, keys, "frame", {name: (value, steps) for name, value in values.items()})
+    out = df
+    for name, value in values.items():
+        out = gaussian_rolling(out, value, window, sigma, "_s", keys)
+        out = rolling(out, "min", "_s", window, "_n", keys)
+        out = rolling(out, "max", "_n", window, name, keys).drop("_s", "_n")
+    return out
 
 
 def neuropil_dfof(df: DataFrame, keys: list[str], window: int = 600, sigma: float = 10) -> DataFrame:
     """((F - N) - B(F - N)) / (B(F - N) + B(N)) of columns ``raw`` and ``npil``; B as in ``maxmin_baseline``."""
     out = df.withColumn("_d", F.col("raw") - F.col("npil"))
-    out = maxmin_baseline(out, keys, window, sigma, "_d", "_bd")
-    out = maxmin_baseline(out, keys, window, sigma, "npil", "_bn")
+    out = maxmin_baselines(out, keys, window, sigma, {"_bd": "_d", "_bn": "npil"})
     return out.withColumn("dfof", ratio(F.col("_d") - F.col("_bd"), F.col("_bd") + F.col("_bn"))).drop("_d", "_bd", "_bn")
 
 
@@ -82,27 +98,38 @@ def oasis_ar1(df: DataFrame, keys: list[str], g: float, name: str = "spikes", or
     After the published active-set method (Friedrich, Zhou and Paninski 2017); sequential, hence one trace at a time.
     """
 
-    def solve(pdf):
-        pdf = pdf.sort_values(order)
-        y = np.nan_to_num(pdf[value].to_numpy(float))
-        pools: list[list[float]] = []  # value, weight, start, length
-        for t, v in enumerate(y):
+    return by_traces(df, keys, order, {name: (value, _pools(g))})
+
+
+def _pools(g: float):
+    """Spikes of one trace, for ``oasis_ar1``."""
+
+    def solve(x: np.ndarray) -> np.ndarray:
+        y = np.nan_to_num(x)
+        powers = (g ** np.arange(len(y) + 1)).tolist()
+        pools: list[list] = []  # value, weight, start, length
+        for t, v in enumerate(y.tolist()):
             pools.append([v, 1.0, t, 1])
-            while len(pools) > 1 and pools[-1][0] < pools[-2][0] * g ** pools[-2][3]:
+            while len(pools) > 1 and pools[-1][0] < pools[-2][0] * powers[pools[-2][3]]:
                 v2, w2, _, l2 = pools.pop()
                 v1, w1, s1, l1 = pools[-1]
-                decay = g**l1
+                decay = powers[l1]
                 pools[-1] = [(w1 * v1 + decay * w2 * v2) / (w1 + decay**2 * w2), w1 + decay**2 * w2, s1, l1 + l2]
-        calcium = np.zeros(len(y))
-        for v, _, s, n in pools:
-            calcium[s : s + n] = max(v, 0.0) * g ** np.arange(n)
+        calcium = np.concatenate([max(v, 0.0) * np.array(powers[:n]) for v, _, _, n in pools])
         spikes = np.zeros(len(y))
         spikes[1:] = calcium[1:] - g * calcium[:-1]
-        pdf[name] = np.where(spikes > 1e-12, spikes, 0.0)
-        return pdf
+        return np.where(spikes > 1e-12, spikes, 0.0)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name) + f", `{name}` double"
-    return df.groupBy(*keys).applyInPandas(solve, schema)
+    return solve
+
+
+def _over_deviations(n_mad: float):
+    """Values of one trace over ``n_mad`` median deviations, others as 0: ``mad_filter`` where the trace is."""
+
+    def keep(x: np.ndarray) -> np.ndarray:
+        return np.where(x > n_mad * np.median(np.abs(x - np.median(x))), x, 0.0)
+
+    return keep
 
 
 def velocity(df: DataFrame, keys: list[str], order: str = "frame", position: str = "position", jump: float = 0.2) -> DataFrame:
@@ -280,17 +307,15 @@ def custom_dfof(df: DataFrame, baseline, smooth=None, value: str = "value") -> D
 def neuropil_dfof_constant(df: DataFrame, keys: list[str], window: int = 600, sigma: float = 10) -> DataFrame:
     """``neuropil_dfof`` over one denominator for each trace: the median of its baselines."""
     out = df.withColumn("_d", F.col("raw") - F.col("npil"))
-    out = maxmin_baseline(out, keys, window, sigma, "_d", "_bd")
-    out = maxmin_baseline(out, keys, window, sigma, "npil", "_bn")
+    out = maxmin_baselines(out, keys, window, sigma, {"_bd": "_d", "_bn": "npil"})
     middle = out.groupBy(*keys).agg(F.percentile(F.col("_bd") + F.col("_bn"), F.lit(0.5)).alias("_m"))
     return out.join(middle, keys).withColumn("dfof", ratio(F.col("_d") - F.col("_bd"), F.col("_m"))).drop("_d", "_bd", "_bn", "_m")
 
 
 def spikes_ar1(df: DataFrame, keys: list[str], tau: float = 0.7, fs: float = 10.0, n_mad: float | None = 3.0, value: str = "value", binary: bool = False) -> DataFrame:
     """Deconvolved spikes of a decay of ``tau`` seconds at ``fs`` frames a second, without those under ``n_mad`` median deviations."""
-    found = oasis_ar1(df, keys, float(np.exp(-1 / (tau * fs))), value=value)
-    if n_mad is not None:
-        found = mad_filter(found, "spikes", "spikes", keys, n_mad)
+    steps = [_pools(float(np.exp(-1 / (tau * fs))))] + ([] if n_mad is None else [_over_deviations(n_mad)])
+    found = by_traces(df, keys, "frame", {"spikes": (value, chained(*steps))})
     return found.withColumn("spikes", (F.col("spikes") > 0).cast("double")) if binary else found
 
 
