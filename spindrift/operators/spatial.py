@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import log2_term, ratio
+from . import blocks
 from .intervals import runs
 
 
@@ -265,9 +266,8 @@ def correlation_p(r: Column, n: Column) -> Column:
 
 def correlations_with(curves: DataFrame, chosen: DataFrame, key: str, along: str, by: list[str], value: str = "value") -> DataFrame:
     """Pearson r of each of the ``chosen`` keys with every other key, over ``along``: by, a (chosen), b, r, n."""
-    x = curves.join(chosen.select(key).distinct(), key, "left_semi").select(*by, along, F.col(key).alias("a"), F.col(value).alias("_x"))
-    y = curves.select(*by, along, F.col(key).alias("b"), F.col(value).alias("_y"))
-    return x.join(y, [*by, along]).where("a <> b").groupBy(*by, "a", "b").agg(F.corr("_x", "_y").alias("r"), F.count(F.lit(1)).alias("n"))
+    rows = curves.dropna(subset=[*by, key, along]).groupBy(*by, F.col(key).alias("id")).agg(F.collect_list(F.struct(F.col(along).alias("i"), F.col(value).cast("double").alias("v"))).alias("x"))
+    return blocks.correlations(rows.join(chosen.select(F.col(key).alias("id")).distinct(), "id", "left_semi"), rows, by)
 
 
 def normalised_by_peak(curves: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -285,3 +285,63 @@ def test_traces_pass_python_once(spark):
     for made in (signals.neuropil_dfof(df.selectExpr("roi", "frame", "value raw", "value / 9 npil"), ["roi"]), signals.spikes_ar1(df, ["roi"])):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("InPandas") == 1 and "Join" not in plan
+
+
+def test_correlations_by_blocks_leave_nothing_out(spark, monkeypatch):
+    """Correlations with chosen keys over several blocks: missing rows and values, flat curves; each pair once, none joined by place."""
+    from spindrift.operators import blocks
+
+    rng = np.random.default_rng(2)
+    x = {k: {i: None if (k + i) % 9 == 4 else 3.0 if k == 5 else float(v) for i, v in enumerate(rng.normal(size=12)) if (k * i) % 7 != 3} for k in range(40)}
+    df = spark.createDataFrame([(k, i, v) for k, c in x.items() for i, v in c.items()], "roi int, bin int, value double")
+    monkeypatch.setattr(blocks, "BLOCK", 9)
+    found = spatial.correlations_with(df, df.where("roi % 4 = 1"), "roi", "bin", [])
+    got = {(r["a"], r["b"]): (r["r"], r["n"]) for r in found.collect()}
+    assert len(got) == found.count() == 10 * 39
+    for (a, b), (r, n) in got.items():
+        both = x[a].keys() & x[b].keys()
+        u, v = zip(*[(x[a][i], x[b][i]) for i in both if x[a][i] is not None and x[b][i] is not None], strict=True)
+        assert n == len(both) and (r is None if 5 in (a, b) else math.isclose(r, np.corrcoef(u, v)[0, 1], rel_tol=1e-9, abs_tol=1e-12))
+    assert "Join Inner, (bin" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_groups_of_small_and_large_keys_are_solved_alike(spark, monkeypatch):
+    """Pairs of a key fall into groups in one row, or by rounds of labels beyond a size: the same totals; small keys take no rounds."""
+    rng = random.Random(8)
+    pairs = {(f, a, b): rng.random() for f in range(4) for g in range(3) for a in range(4 * g, 4 * g + 3) for b in range(5 * g, 5 * g + 4) if rng.random() < 0.7}
+    df = spark.createDataFrame([(*k, d) for k, d in pairs.items()], "f int, a int, b int, distance double")
+    total = {}
+    for whole in (20_000, 20):
+        monkeypatch.setattr(models, "WHOLE", whole)
+        if whole > 20:
+            monkeypatch.setattr(models, "_labels", None)
+        for missing in (None, 0.5):
+            got = models.assigned(df, ["f"], 0.9, missing=missing).collect()
+            assert len({(r["f"], r["a"]) for r in got}) == len({(r["f"], r["b"]) for r in got}) == len(got)
+            assert all(pairs[r["f"], r["a"], r["b"]] == r["distance"] for r in got)
+            cost = (len(got), round(sum(r["distance"] for r in got), 9))
+            assert total.setdefault(missing, cost) == cost
+        monkeypatch.undo()
+
+
+def test_sequences_in_step_are_as_each_alone():
+    """Likelihood and posteriors of sequences of several lengths side by side are those of each by itself."""
+    rng = np.random.default_rng(6)
+    traces = [rng.poisson(2, n).astype(float) for n in (1, 5, 5, 17)]
+    start, move, level = np.array([0.7, 0.3]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([1.0, 4.0])
+
+    def run(some):
+        for which, x, n in models._in_step(some):
+            live = np.arange(x.shape[1])[None] < n[:, None]
+            yield which, n, models._forward_backward(models._log_emissions(models._log_poisson, x, level, live), n, start, move)
+
+    ((which, n, (g, steps, ll)),) = run(traces)
+    alone = [next(run([t]))[2] for t in traces]
+    assert np.allclose(steps, sum(s for _, s, _ in alone))
+    for i, j in enumerate(which):
+        assert np.isclose(ll[i], alone[j][2][0]) and np.allclose(g[i, : n[i]], alone[j][0][0])
+    paths = np.array(np.meshgrid(*[[0, 1]] * 5)).reshape(5, -1).T
+    x = traces[1]
+    e = models._log_poisson(x, level)
+    each = [start[p[0]] * np.exp(e[np.arange(5), p].sum()) * np.prod(move[p[:-1], p[1:]]) for p in paths]
+    assert np.isclose(alone[1][2][0], np.log(sum(each)))
