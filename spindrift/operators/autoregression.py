@@ -81,18 +81,27 @@ def likelihood(y: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[np.ndarra
     noise = shock[:, :, None] * shock[:, None, :]
     both = np.einsum("nij,nkl->nikjl", move, move).reshape(n, r * r, r * r)
     cov = np.linalg.solve(np.eye(r * r) - both, noise.reshape(n, r * r, 1)).reshape(n, r, r)
-    state, squares, logs, seen = np.zeros((n, r)), np.zeros(n), np.zeros(n), np.zeros(n)
-    back = move.transpose(0, 2, 1)
+    # rows last, so that each step is a few sums over all of them
+    first = np.ascontiguousarray(move[:, :, 0].T)
+    cov, noise, samples = np.ascontiguousarray(cov.transpose(1, 2, 0)), np.ascontiguousarray(noise.transpose(1, 2, 0)), np.ascontiguousarray(y.T)
+    state, squares, logs, seen = np.zeros((r, n)), np.zeros(n), np.zeros(n), np.zeros(n)
+
+    def moved(m: np.ndarray) -> np.ndarray:
+        """The model's step on the first axis: its first column times the first entry, and the next entry."""
+        out = first.reshape(r, *(1,) * (m.ndim - 2), n) * m[:1]
+        out[:-1] += m[1:]
+        return out
+
     for t in range(y.shape[1]):
-        there = np.isfinite(y[:, t])
-        f = np.where(there, np.maximum(cov[:, 0, 0], 1e-300), 1.0)
-        v = np.where(there, y[:, t] - state[:, 0], 0.0)
+        there = np.isfinite(samples[t])
+        f = np.where(there, np.maximum(cov[0, 0], 1e-300), 1.0)
+        v = np.where(there, samples[t] - state[0], 0.0)
         squares += v * v / f
         logs += np.log(f)
         seen += there
-        gain = np.where(there[:, None], cov[:, :, 0], 0.0)
-        state = np.einsum("nij,nj->ni", move, state + gain * (v / f)[:, None])
-        cov = move @ (cov - gain[:, :, None] * gain[:, None, :] / f[:, None, None]) @ back + noise
+        gain = np.where(there, cov[:, 0], 0.0)
+        state = moved(state + gain * (v / f))
+        cov = moved(moved(cov - gain[:, None] * gain[None] / f).transpose(1, 0, 2)).transpose(1, 0, 2) + noise
     sigma2 = np.maximum(squares / np.maximum(seen, 1), 1e-300)
     return -0.5 * (seen * (np.log(2 * np.pi * sigma2) + 1) + logs), sigma2
 
