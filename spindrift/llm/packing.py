@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import gapless_rank, numbered, staged
 from .tokens import Vocabulary
 
-#: Entries of a memo's young half (some 20 MB); a Python worker holds four halves at most. Changes speed only.
-MEMO_WORDS = 80_000
+#: Words of a memo (some 40 MB); a Python worker holds two at most. Changes speed only.
+MEMO_WORDS = 160_000
 #: Characters of texts that are encoded together, but for a text that is longer by itself. Changes memory only.
 CHARS = 1_000_000
 #: Runs of the plan that may be broadcast (48 bytes each); a longer plan is joined by shuffle.
@@ -31,35 +31,33 @@ BROADCAST_RUNS = 200_000
 _PIECES = "uid long, doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
-class _Memo:
-    """A bounded memo in two halves: a full young half becomes the old one, and what is used again moves to the young one."""
+class _Memo(dict):
+    """Ids of words as bytes; what is missing is taken from the memo before this one, or made."""
 
-    def __init__(self):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, old: dict[str, bytes], make: Callable[[str], bytes]):
+        super().__init__()
+        self.old, self.make = old, make
 
-    def turn(self) -> None:
-        if len(self.young) > MEMO_WORDS:
-            self.young, self.old = {}, self.young
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """Keys in neither half; those of the old half move to the young one."""
-        left = keys.difference(self.young)
-        again = left.intersection(self.old)
-        self.young.update((k, self.old[k]) for k in again)
-        return list(left.difference(again))
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = self.make(word)
+        self[word] = got
+        return got
 
 
 class _IdBytes:
     """Token ids of texts as little-endian 32-bit bytes, with a memo from word to the bytes of its ids.
 
-    No pre-token of such a vocabulary reaches over white space, so white-space words are encoded once each.
+    No pre-token of such a vocabulary reaches over white space, so white-space words are encoded once each, and a pre-token
+    is a word of its own. The memo is bounded: a full one becomes the old one, and what is used again moves to the next.
     """
 
     _made: dict[str, _IdBytes] = {}
 
     def __init__(self, path: str):
-        self.vocabulary, self.words, self.pieces = Vocabulary.at(path), _Memo(), _Memo()
+        self.vocabulary = Vocabulary.at(path)
+        self.words = _Memo({}, self._make)
 
     @classmethod
     def at(cls, path: str) -> _IdBytes:
@@ -68,25 +66,25 @@ class _IdBytes:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 5000):
-            part = words[i : i + 5000]
-            split = [self.vocabulary.pieces(w) for w in part]
-            self.pieces.turn()
-            new = self.pieces.missing({p for s in split for p in s})
-            of = self.pieces.young
-            of.update((p, _le32(ids)) for p, ids in zip(new, self.vocabulary.encode_pieces(new), strict=True))
-            self.words.young.update((w, b"".join([of[p] for p in s])) for w, s in zip(part, split, strict=True))
+    def _make(self, word: str) -> bytes:
+        # letters alone are one pre-token
+        parts = [word] if word.isalpha() else self.vocabulary.parts(word)
+        if len(parts) == 1:
+            return _le32(self.vocabulary.encode_part(word))
+        return b"".join([self.words[p] for p in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of all texts; they should be few or short enough for their words to be held at once."""
-        split = [self.vocabulary.words(t) for t in texts]
-        self.words.turn()
-        missing = self.words.missing({w for s in split if s is not None for w in s})
-        if missing:
-            self._learn(missing)
-        of = self.words.young
-        return [_le32(self.vocabulary.encode([t])[0]) if s is None else b"".join([of[w] for w in s]) for t, s in zip(texts, split, strict=True)]
+        """Ids of all texts; one text's words are held at once."""
+        out = []
+        for text in texts:
+            words = self.vocabulary.words(text)
+            if words is None:
+                out.append(_le32(self.vocabulary.encode([text])[0]))
+                continue
+            out.append(b"".join(map(self.words.__getitem__, words)))
+            if len(self.words) > MEMO_WORDS:
+                self.words = _Memo(dict(self.words), self._make)
+        return out
 
 
 def _le32(ids: list[int]) -> bytes:

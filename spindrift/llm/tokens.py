@@ -31,6 +31,10 @@ _L, _N = _char_class("L"), _char_class("N")
 BYTE_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+(?!\\S)|\\s+")
 WORD_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
 
+#: The character that stands for each byte in such a vocabulary: printable ones for themselves, the others from U+0100 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: b for b in _SHOWN} | {b: 0x100 + i for i, b in enumerate(sorted(set(range(0x100)) - set(_SHOWN)))}
+
 
 class Vocabulary:
     """A vocabulary file of the ``tokenizers`` library; made once per Python worker and file."""
@@ -77,13 +81,18 @@ class Vocabulary:
             return None
         return text.lower().split()
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """``encode`` for pieces that white space separates: one call of the library for all."""
-        got = self.library.encode("\n".join(pieces), add_special_tokens=False)
-        out: list[list[int]] = [[] for _ in pieces]
-        for i, w in zip(got.ids, got.word_ids, strict=True):
-            out[w].append(i)
-        return out
+    def parts(self, word: str) -> list[str]:
+        """The pre-tokens of one of ``words``."""
+        return WORD_SPLIT.findall(word)
+
+    @cached_property
+    def _model(self):
+        return self.library.model
+
+    def encode_part(self, part: str) -> list[int]:
+        """``encode`` for one of ``parts``, by the library's model without its steps before and after."""
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return [t.id for t in self._model.tokenize(shown)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]

@@ -41,6 +41,19 @@ def test_pieces_encode_as_the_library_does(text):
     assert packing._IdBytes.at(WORD).encode([text])[0] == packing._le32(Vocabulary.at(WORD).encode([text])[0])
 
 
+def test_words_are_encoded_once_while_their_memo_lasts(monkeypatch):
+    """By the model alone, a part of a word like a word of its own; a small memo changes nothing but what is made anew."""
+    ids, made = packing._IdBytes(WORD), []
+    part = ids.vocabulary.encode_part
+    monkeypatch.setattr(ids.vocabulary, "encode_part", lambda p: made.append(p) or part(p), raising=False)
+    first = ["Straße, straße \xe9t\xe9 it's a.b 12", "STRASSE: a b. \u0101\u012f '", ""]
+    want = [packing._le32(Vocabulary(WORD).encode([t])[0]) for t in first]
+    assert ids.encode(first) == want
+    assert sorted(made) == sorted(["straße", ",", "\xe9t\xe9", "it", "'s", "a", ".", "b", "1", "2", "strasse", ":", "\u0101\u012f", "'"])
+    monkeypatch.setattr(packing, "MEMO_WORDS", 2)
+    assert ids.encode(first * 3) == want * 3 and len(ids.words) <= 2
+
+
 def test_token_counts_equal_the_library(spark, odd, none):
     tok = Tokenizer.from_file(BYTE)
     got = rows(token_counts.token_counts(odd, BYTE), "doc_id", "n_bytes", "n_tokens", "over_limit")
