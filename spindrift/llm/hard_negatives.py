@@ -9,6 +9,7 @@
    has: its worst positive, then, for each positive's window, the worst negative in it or the window's lower end. So what
    it has is certified, and results are exact; only cost depends on the codebooks.
 4. What anchors ask of a block is joined to the block, scored as a product of matrices, and cut to the best few for each anchor.
+   Asks grow with anchors times blocks, which no estimate of Spark's knows: joins are by shuffle, never through the driver.
 """
 
 from __future__ import annotations
@@ -175,13 +176,15 @@ class Index:
             return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *(batch.column(f).take(of) for f in fields[1:])], fields)
 
         kind = "block long, uid long, label long, q array<long>, windows array<struct<lo:long,hi:long,enough:long>>"
-        return anchors.select("uid", "label", "q", "windows").mapInArrow(run, kind)
+        # an anchor asks for more than its few bytes tell: dealt to all tasks
+        parts = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return anchors.select("uid", "label", "q", "windows").repartition(parts, "uid").mapInArrow(run, kind)
 
     def hits(self, blocks: DataFrame, asked: DataFrame, chunks: int, same: bool, best: int) -> DataFrame:
         """(uid, w, score, id, other): for each ask and window, the best rows of the block."""
         dims = self.dims
         grouped = asked.groupBy("block", F.pmod(F.xxhash64("uid"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("uid", "label", "q", "windows")).alias("asks"))
-        met = grouped.join(blocks, "block").drop("block", "chunk")
+        met = grouped.join(blocks.hint("merge"), "block").drop("block", "chunk")
         names, kinds = ["uid", "w", "score", "id", "other"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +223,7 @@ class Index:
             if got is not None:
                 full = got.where(F.col("rank") == best).groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("w", "score"))).alias("full"))
                 windows = F.transform("windows", lambda x, w: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"), F.coalesce(F.try_element_at("full", w), F.lit(_FLOOR)).alias("enough")))
-                asking = anchors.join(full, "uid", "left").withColumn("windows", windows)
+                asking = anchors.join(full.hint("merge"), "uid", "left").withColumn("windows", windows)
             hits = self.hits(blocks, self.asks(asking, (done, share)), chunks, same, best)
             hits = hits if got is None else hits.unionByName(got.drop("rank"))
             got = staged(hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best), "negatives-best")
@@ -257,9 +260,9 @@ def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = 5, negat
         bounds = F.struct("positive", F.expr(f"(score * {low} + 99) div 100").alias("lo"), F.expr(f"score * {high} div 100").alias("hi"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
         near = near.withColumn("positive", F.col("rank") - 1).where("score >= 0")
         near = near.groupBy("uid").agg(F.sort_array(F.collect_list(bounds)).alias("near"))
-        anchors = staged(anchors.join(near, "uid").withColumn("windows", F.transform("near", lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi")))), "negatives-anchors")
+        anchors = staged(anchors.join(near.hint("merge"), "uid").withColumn("windows", F.transform("near", lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi")))), "negatives-anchors")
         found = index.search(blocks, anchors, chunks, False, negatives)
-        out = found.join(anchors.select("uid", "vec_id", "near"), "uid").withColumn("p", F.col("near")[F.col("w")])
+        out = found.join(anchors.select("uid", "vec_id", "near").hint("merge"), "uid").withColumn("p", F.col("near")[F.col("w")])
 
         def id_of(c: str) -> Column:
             return F.when(F.col(c) != _NO_ID, F.col(c))

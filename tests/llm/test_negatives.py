@@ -85,3 +85,20 @@ def test_visits_fall_and_are_whole():
     got = list(hn.visits(a, b))
     assert [g[0] for g in got] == sorted((x + y for x in a for y in b), reverse=True)
     assert sorted(g[1:] for g in got) == [(i, j) for i in range(7) for j in range(5)]
+
+
+def test_nothing_but_the_list_of_cells_is_broadcast(spark, monkeypatch):
+    """Asks grow with anchors times blocks: however small they look to Spark, they don't go through the driver."""
+    plans = {}
+    for name in ("staged", "kept"):
+
+        def seen(df, tag, write=getattr(hn, name)):
+            plans.setdefault(tag, []).append(df._jdf.queryExecution().executedPlan().toString())
+            return write(df, tag)
+
+        monkeypatch.setattr(hn, name, seen)
+    data = vectors(220, 4, 3)
+    assert mined(spark, data) == brute(data)
+    assert "BroadcastHashJoin" in plans.pop("negatives-blocks")[0]
+    assert {"negatives-best", "negatives-anchors", "negatives"} <= plans.keys()
+    assert not [tag for tag, some in plans.items() if any("Broadcast" in plan for plan in some)]
