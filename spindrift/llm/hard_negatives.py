@@ -176,9 +176,9 @@ class Index:
             return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *(batch.column(f).take(of) for f in fields[1:])], fields)
 
         kind = "block long, uid long, label long, q array<long>, windows array<struct<lo:long,hi:long,enough:long>>"
-        # an anchor asks for more than its few bytes tell: dealt to all tasks
+        # an anchor asks for more than its few bytes tell: dealt to all tasks (a deal by uid would be taken as done by the join before)
         parts = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return anchors.select("uid", "label", "q", "windows").repartition(parts, "uid").mapInArrow(run, kind)
+        return anchors.select("uid", "label", "q", "windows").repartition(parts).mapInArrow(run, kind)
 
     def hits(self, blocks: DataFrame, asked: DataFrame, chunks: int, same: bool, best: int) -> DataFrame:
         """(uid, w, score, id, other): for each ask and window, the best rows of the block."""
